@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thicket.llm.ann import op6_ann
 from thicket.llm.chat import op7_chat
+from thicket.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
+from thicket.llm.decontaminate import op9_decontaminate
+from thicket.llm.jaccard import ORACLE as JACCARD_SQL
+from thicket.llm.jaccard import op8_jaccard
 from thicket.llm.license_scan import op10_license
+from thicket.llm.mix import op2_mix
+from thicket.llm.quality import op1_quality
 from thicket.llm.shard import op5_shard
+from thicket.llm.suffix_dedup import op4_suffix_dedup
 from thicket.llm.token_count import op3_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_mix": op2_mix,
     "op3_tokens": op3_tokens,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_shard": op5_shard,
+    "op6_ann": op6_ann,
     "op7_chat": op7_chat,
+    "op8_jaccard": op8_jaccard,
+    "op9_decontaminate": op9_decontaminate,
     "op10_license": op10_license,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_jaccard": JACCARD_SQL, "op9_decontaminate": DECONTAMINATE_SQL}
