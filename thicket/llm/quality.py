@@ -29,8 +29,9 @@ _ODD = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or
 _NOT_ODD = bytes(b for b in range(256) if b not in _ODD)
 _STRIP = b".,;:!?'\"()"
 
-#: A labeller votes 1 (good), 0 (bad) or 2 (abstains).
-LABELLERS = ("runs", "capitals", "symbols", "function words", "variety", "exclamations", "lines", "sentences")
+#: A labeller votes 1 (good), 0 (bad) or 2 (abstains).  Most look for one kind of junk: its absence says little,
+#: so they abstain then; function words and sentences speak for good text too.
+LABELLERS = ("runs", "capitals", "symbols", "shouts", "lines", "variety", "separators", "function words", "sentences")
 ABSTAIN = 2
 
 
@@ -40,27 +41,25 @@ def votes(raw: bytes) -> tuple[int, ...]:
     n = len(words)
     if n < 5:
         return (ABSTAIN,) * len(LABELLERS)
-    pick = lambda bad, good: 0 if bad else 1 if good else ABSTAIN
+    bad = lambda x: 0 if x else ABSTAIN
     same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n - 1)
-    letters = len(raw.translate(None, _NOT_LETTER))
-    upper = len(raw.translate(None, _NOT_UPPER)) / max(1, letters)
-    visible = max(1, len(raw.translate(None, _SPACE)))
-    odd = len(raw.translate(None, _NOT_ODD)) / visible
+    upper = len(raw.translate(None, _NOT_UPPER)) / max(1, len(raw.translate(None, _NOT_LETTER)))
+    odd = len(raw.translate(None, _NOT_ODD)) / max(1, len(raw.translate(None, _SPACE)))
     common = sum(w.strip(_STRIP) in _COMMON for w in map(bytes.lower, words)) / n
     pairs = len(set(zip(words, words[1:], strict=False))) / (n - 1)
-    shouts = raw.count(b"!") / n
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeated = 1 - len(set(lines)) / len(lines)
+    lone = sum(len(w) == 1 and w in _ODD for w in words) / n
     ends = sum(w[-1] in b".!?" for w in words) / n
     return (
-        pick(same > 0.3, same < 0.05),
-        pick(upper > 0.5, upper < 0.15),
-        pick(odd > 0.08, odd < 0.02),
-        pick(common < 0.02 and n >= 30, common > 0.15),
-        pick(pairs < 0.5 and n >= 30, pairs > 0.8),
-        pick(shouts > 0.2, shouts < 0.02),
-        pick(len(lines) >= 4 and repeated > 0.6, len(lines) >= 2 and repeated < 0.1),
-        pick(ends < 0.005 and n >= 60, 0.02 < ends < 0.5),
+        bad(same > 0.3),
+        bad(upper > 0.5),
+        bad(odd > 0.08),
+        bad(raw.count(b"!") / n > 0.2),
+        bad(len(lines) >= 4 and len(set(lines)) < 0.4 * len(lines)),
+        bad(pairs < 0.5 and n >= 30),
+        bad(lone > 0.2),
+        0 if common < 0.02 and n >= 30 else 1 if common > 0.1 else ABSTAIN,
+        0 if ends < 0.005 and n >= 60 else 1 if 0.02 < ends < 0.5 else ABSTAIN,
     )
 
 
