@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,22 @@ def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
     return ranked(dealt, "shard", "__block", order, "slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", rows_per_block: int = 50_000) -> DataFrame:
+    """All columns of docs and shard, slot: slot numbers a shard's rows from 0 in the order in which docs was written.
+
+    That order is the number of the part file and the place in it; a table that isn't read from files has none,
+    and its slots follow the key, nulls first.  Columns of docs that are called shard or slot are replaced.
+    """
+    try:
+        name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        placed = docs.withColumn("__order", F.coalesce(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.lit(0)) * (1 << 40) + row)
+    except AnalysisException:
+        placed = docs.withColumn("__order", F.col(key).cast("long"))
+    splits = block_splits(placed.select("__order"), "__order", rows_per_block)
+    dealt = placed.drop("shard", "slot").withColumn("shard", shard_of(key, shards)).withColumn("__block", block_of(F.col("__order"), splits))
+    return ranked(dealt, "shard", "__block", [F.col("__order").asc_nulls_first()], "slot").drop("__order", "__block")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id") -> None:
     """Writes the rows as one folder for each shard; a hot shard is written by several tasks."""
     out = docs.withColumn("shard", shard_of(key, shards))
