@@ -100,7 +100,7 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int
     return plan
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 32, power: float = 0.5, source: str = "source", key: str = "doc_id", rows_per_block: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 32, power: float = 0.5, source: str = "source", key: str = "doc_id", rows_per_block: int = 2_000) -> DataFrame:
     """All columns of docs and block, slot, place: the block of the row in its source, the block's slot in the
     interleaved order, and the row's place in the block.
 

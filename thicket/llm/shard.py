@@ -41,7 +41,7 @@ def shard_of(key: str, shards: int):
     return deal(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")))
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", rows_per_block: int = 50_000) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", rows_per_block: int = 2_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     The law is `key`: the key and the number of shards alone decide, so equal keys share a shard and one more
@@ -61,7 +61,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
     return ranked(dealt, "shard", "__block", order, "slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", rows_per_block: int = 50_000) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", rows_per_block: int = 2_000) -> DataFrame:
     """All columns of docs and shard, slot: slot numbers a shard's rows from 0 in the order in which docs was written.
 
     That order is the number of the part file and the place in it; a table that isn't read from files has none,
