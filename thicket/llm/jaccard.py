@@ -110,6 +110,13 @@ def _sets(docs: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
     return saved(docs.withColumn("__rid", F.monotonically_increasing_id()).mapInArrow(run, schema), "sets")
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in an ascending array, by binary search."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _pick(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     """rows whose key is in ids (one column, `id`), or isn't (left_anti)."""
     n = ids.count()
@@ -128,9 +135,9 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
             toks, sizes = [], batch.column(2).to_numpy()
             for prefix, raw in zip(batch.column(1).to_pylist(), utf8(batch.column(3)), strict=True):
                 p = np.array(prefix, dtype=np.int64)
-                if len(frequent) and np.isin(p, frequent).any():
+                if _among(p, frequent).any():
                     s = _as_long(shingle_set(raw, n, known))
-                    last = np.isin(s, frequent)
+                    last = _among(s, frequent)
                     p = np.concatenate([s[~last], s[last]])[: len(p)]
                 toks.append(p)
             lens = np.array([len(p) for p in toks], dtype=np.int64)
