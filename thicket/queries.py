@@ -20,6 +20,7 @@ from thicket.operators import forest as fo
 from thicket.operators import metrics as me
 from thicket.operators import posterior as po
 from thicket.operators import preprocess as pp
+from thicket.operators import sampling as sa
 from thicket.operators import stats as st
 from thicket.sources.files import table
 from thicket.sources.scenarios import SCENARIOS, signal_sql
@@ -945,6 +946,73 @@ def tuning_antijoin(spark, sf):
     return an.not_yet_run(grid, done, ["m", "k"])
 
 
+# -- sampling ----------------------------------------------------------------------------------------------------------------------------
+
+_U0, _U1, _U4 = (sa.uniform_sql("event_id", k, 5) for k in (0, 1, 4))
+
+
+@query(f"SELECT CAST(least(floor(({_U0}) * 5), 4) AS INTEGER) AS fold, count(*) AS n, round(avg(value), 4) + 0.0 AS mean FROM events GROUP BY 1")
+def kfold(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy(sa.fold(F.col("event_id"), 5, 5).alias("fold")).agg(F.count("*").alias("n"), r(F.avg("value"), 4).alias("mean"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE {_U1} >= 0.25) AS train, count(*) FILTER (WHERE {_U1} < 0.25) AS test FROM events")
+def train_test_split(spark, sf):
+    train, test = sa.split(table(spark, sf, "events"), "event_id", 0.25, 5)
+    return train.agg(F.count("*").alias("train")).join(F.broadcast(test.agg(F.count("*").alias("test"))), F.lit(True))
+
+
+@query(f"SELECT k, CAST(row_number() OVER (ORDER BY {sa.uniform_sql('k', 2, 9)}, k) - 1 AS INTEGER) AS place FROM (SELECT unnest(range(200)) AS k)")
+def posterior_queue(spark, sf):
+    """The order in which 200 posterior draws are used up."""
+    return sa.permutation(spark.range(200).withColumnRenamed("id", "k"), [], "k", 9)
+
+
+_W = "[1.0, 0.5, 2.0, 0.25, 3.25]"
+
+
+@query(f"SELECT event_id, CAST(least(4, (({_U4}) * 7.0 > 1.0)::INT + (({_U4}) * 7.0 > 1.5)::INT + (({_U4}) * 7.0 > 3.5)::INT + (({_U4}) * 7.0 > 3.75)::INT) AS INTEGER) AS pick FROM events")
+def weighted_choice(spark, sf):
+    w = F.array(*[F.lit(v) for v in (1.0, 0.5, 2.0, 0.25, 3.25)])
+    return table(spark, sf, "events").select("event_id", sa.choose_weighted(w, sa.uniform(F.col("event_id"), 4, 5)).cast("int").alias("pick"))
+
+
+@query(f"SELECT event_id, CAST(({_U4}) * (1 + exp(1.0) + exp(-1.0)) > 1 AS INTEGER) + CAST(({_U4}) * (1 + exp(1.0) + exp(-1.0)) > 1 + exp(1.0) AS INTEGER) AS pick FROM events")
+def softmax_choice(spark, sf):
+    scores_ = F.array(F.lit(0.0), F.lit(1.0), F.lit(-1.0))
+    return table(spark, sf, "events").select("event_id", sa.choose_softmax(scores_, sa.uniform(F.col("event_id"), 4, 5)).cast("int").alias("pick"))
+
+
+@query(f"SELECT event_id, event_type, CAST(least(floor(({_U0}) * 3), 2) AS INTEGER) AS pick FROM events")
+def uniform_choice(spark, sf):
+    pick = sa.choose(F.array(F.lit(0), F.lit(1), F.lit(2)), sa.uniform(F.col("event_id"), 0, 5))
+    return table(spark, sf, "events").select("event_id", "event_type", pick.cast("int").alias("pick"))
+
+
+@query()
+def bootstrap_means(spark, sf):
+    b = sa.bootstrap(table(spark, sf, "events").select("event_id", "value"), "event_id", 20, 5)
+    by = b.groupBy("round").agg((F.sum(F.col("value") * F.col("copies")) / F.sum("copies")).alias("mean"))
+    return an.bootstrap_summary(by.withColumn("all", F.lit(1)), "mean", ["all"]).select(r("mean", 4).alias("mean"), r("sd", 4).alias("sd"), r("lo", 4).alias("lo"), r("hi", 4).alias("hi"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 3 AS VARCHAR) AS due, hour(o_orderdate + INTERVAL 20 HOUR) AS hour, CAST(strptime(strftime(o_orderdate, '%d/%m/%Y %H:%M'), '%d/%m/%Y %H:%M') AS VARCHAR) AS parsed FROM orders")
+def datetime_parts(spark, sf):
+    o = table(spark, sf, "orders")
+    stamp = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 20 * 3600)
+    local = F.from_utc_timestamp(stamp, "UTC")
+    text = F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")
+    return o.select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 3).cast("string").alias("due"), F.hour(local).cast("long").alias("hour"), F.to_timestamp_ntz(text, F.lit("dd/MM/yyyy HH:mm")).cast("string").alias("parsed"))
+
+
+@query(f"SELECT draw, round(sqrt(avg((f - z) * (f - z))), 6) + 0.0 AS rmse FROM (SELECT unnest({_LIST}) AS f, unnest(range({len(TRACE)})) AS draw, {_Z} AS z FROM {ITEMS}) GROUP BY 1")
+def rmse_by_draw(spark, sf):
+    long = po.long_draws(drawn(spark, sf).withColumn("z", (F.col("y") - 50000.0) / 100000.0), ["z"])
+    made = me.regression_metrics(long, F.col("z"), F.col("f"), ("draw",))
+    return made.select(F.col("draw").cast("long").alias("draw"), r("rmse").alias("rmse"))
+
+
 # -- models (random draws: no SQL) -------------------------------------------------------------------------------------------------------
 
 TRAIN_ROWS = 400  # the training sample of the fits below; evaluation is over all rows

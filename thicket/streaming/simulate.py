@@ -203,9 +203,11 @@ def to_json_lines(sim: DataFrame, path: str) -> None:
 
 
 def read_json_lines(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
-    """Back to rows; agents whose name matches `without` are left out."""
+    """Back to rows; agents whose name matches `without` are left out, and an agent that several files hold for the
+    same simulation counts once."""
     raw = spark.read.schema("scenario string, sim long, agents array<struct<agent:string,points:array<struct<draw:long,regret:double,secs:double>>>>").json(path)
     rows = raw.select("scenario", "sim", F.inline("agents")).select("scenario", "sim", "agent", F.inline("points"))
+    rows = rows.dropDuplicates(["scenario", "sim", "agent", "draw"])
     return rows.where(~F.col("agent").rlike(without)) if without else rows
 
 
