@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,29 +117,33 @@ def predictive(df: DataFrame, key: str, sigma: list[float], seed: int, draws: st
     return df.withColumn(out, add(F.col(key).cast("long"), F.col(draws)))
 
 
-def predictive_binary(df: DataFrame, key: str, seed: int, proba: str = "proba", out: str = "predicted") -> DataFrame:
-    """A 0/1 draw for each probability."""
+def _appended(df: DataFrame, key: str, given: str, out: str, make: Callable[[int, list], np.ndarray]) -> DataFrame:
+    """Appends an integer array that `make` draws from a row's key and its column `given`."""
+    schema = df.withColumn(out, F.array(F.lit(0))).schema
+    k, p = df.columns.index(key), df.columns.index(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [make(int(a), b).tolist() for a, b in zip(batch.column(k).to_pylist(), batch.column(p).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], names=schema.names)
 
-    @F.pandas_udf("array<int>")
-    def flip(keys: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([list((_noise(int(k), seed, len(v), False) < np.asarray(v)).astype(int)) for k, v in zip(keys, p, strict=True)])
+    return df.mapInArrow(run, schema)
 
-    return df.withColumn(out, flip(F.col(key).cast("long"), F.col(proba)))
+
+def predictive_binary(df: DataFrame, key: str, seed: int, proba: str = "proba", out: str = "predicted") -> DataFrame:
+    """A 0/1 draw for each probability."""
+    return _appended(df, key, proba, out, lambda k, p: (_noise(k, seed, len(p), False) < np.array(p)).astype(np.int32))
 
 
 def predictive_class(df: DataFrame, key: str, seed: int, proba: str = "proba", out: str = "predicted") -> DataFrame:
     """One class for each draw, by inverse distribution function over array<array<double>> (draw, class)."""
 
-    @F.pandas_udf("array<int>")
-    def pick(keys: pd.Series, p: pd.Series) -> pd.Series:
-        made = []
-        for k, rows in zip(keys, p, strict=True):
-            q = np.cumsum(np.stack([np.asarray(r) for r in rows]), axis=1)
-            u = _noise(int(k), seed, len(q), False)[:, None] * q[:, -1:]
-            made.append(list((q <= u).sum(1).clip(max=q.shape[1] - 1)))
-        return pd.Series(made)
+    def pick(k: int, p: list) -> np.ndarray:
+        q = np.cumsum(np.array(p), axis=1)
+        u = _noise(k, seed, len(q), False)[:, None] * q[:, -1:]
+        return (q <= u).sum(1).clip(max=q.shape[1] - 1).astype(np.int32)
 
-    return df.withColumn(out, pick(F.col(key).cast("long"), F.col(proba)))
+    return _appended(df, key, proba, out, pick)
 
 
 def probit_proba(draws: Column) -> Column:

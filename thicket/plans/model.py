@@ -216,8 +216,8 @@ class Model:
         return made.select(key, F.explode(F.arrays_zip(F.col("__d").alias("value"), places.alias("at"))).alias("z")).select(key, "z.at.chain", "z.at.draw", "z.value")
 
     def collect(self, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """Any function of each chain's part of the trace."""
-        return self.trace.groupBy("chain").applyInPandas(func, schema)
+        """Any function of each chain's part of the trace, with the trees as JSON text."""
+        return self.trace.withColumn("trees", F.to_json("trees")).groupBy("chain").applyInPandas(func, schema)
 
     def without(self, k: int) -> Model:
         """The model without posterior draw k."""
