@@ -31,6 +31,25 @@ def descends(node: np.ndarray, root: int) -> np.ndarray:
         up = np.where(live, (up - 1) >> 1, up)
 
 
+def below(node: int, root: int) -> bool:
+    while node > root:
+        node = (node - 1) >> 1
+    return node == root
+
+
+def group(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct heap indices in order, and the place of each row's index among them."""
+    top = int(at.max(initial=0))
+    if top > 4096 + 8 * len(at):
+        return np.unique(at, return_inverse=True)
+    used = np.zeros(top + 1, dtype=bool)
+    used[at] = True
+    leaf = np.flatnonzero(used)
+    place = np.empty(top + 1, dtype=np.int64)
+    place[leaf] = np.arange(len(leaf))
+    return leaf, place[at]
+
+
 @dataclass
 class Tree:
     rules: dict[int, tuple[int, float]]
@@ -55,7 +74,7 @@ class Tree:
         node = np.full(len(rows), start, dtype=np.int64)
         live = np.arange(len(rows))
         while len(live):
-            split = [k for k in np.unique(node[live]).tolist() if k in self.rules]
+            split = [k for k in group(node[live])[0].tolist() if k in self.rules]
             moved = []
             for k in split:
                 own = live[node[live] == k]
@@ -87,19 +106,17 @@ class Tree:
 
     def prune(self, node: int) -> Tree:
         """Makes a split a leaf, with all below it."""
-        inside = lambda k: bool(descends(np.array([k]), node)[0])
-        rules = {k: r for k, r in self.rules.items() if not inside(k)}
-        leaves = {k: v for k, v in self.leaves.items() if not inside(k)} | {node: 0.0}
+        rules = {k: r for k, r in self.rules.items() if not below(k, node)}
+        leaves = {k: v for k, v in self.leaves.items() if not below(k, node)} | {node: 0.0}
         return Tree(rules, leaves, np.where(descends(self.at, node), node, self.at))
 
     def with_rules(self, x: np.ndarray, new: dict[int, tuple[int, float]]) -> Tree | None:
         """Other rules at some nodes; None if a leaf would be empty."""
         out = Tree(self.rules | new, self.leaves, self.at.copy())
         top = min(new)
-        rows = np.flatnonzero(descends(self.at, top))
+        rows = np.flatnonzero(descends(self.at, top)) if top else np.arange(len(self.at))
         out.at[rows] = out.route(x, rows, top)
-        below = [k for k in self.leaves if bool(descends(np.array([k]), top)[0])]
-        return out if len(np.unique(out.at[rows])) == len(below) else None
+        return out if len(group(out.at[rows])[0]) == sum(below(k, top) for k in self.leaves) else None
 
     def swap(self, x: np.ndarray, parent: int, child: int) -> Tree | None:
         return self.with_rules(x, {parent: self.rules[child], child: self.rules[parent]})
@@ -166,8 +183,8 @@ class Gaussian:
         self.f_sigma2 = 0.25 / (s.f_k**2 * s.n_trees)
 
     def stats(self, at: np.ndarray, resid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        leaf, inverse, n = np.unique(at, return_inverse=True, return_counts=True)
-        return leaf, n, np.bincount(inverse, resid, len(leaf))
+        leaf, place = group(at)
+        return leaf, np.bincount(place, minlength=len(leaf)), np.bincount(place, resid, len(leaf))
 
     def log_marginal(self, at: np.ndarray, resid: np.ndarray, sigma2: float) -> float:
         _, n, total = self.stats(at, resid)
@@ -204,9 +221,9 @@ class Logistic:
         self.c, self.d, self.mixture = logistic_shape(s.n_trees)[0], logistic_shape(s.n_trees)[1], s.mixture_draw
 
     def parts(self, at: np.ndarray, match: np.ndarray, rate: np.ndarray):
-        leaf, inverse = np.unique(at, return_inverse=True)
-        r = np.bincount(inverse, match.astype(float), len(leaf))
-        t = np.bincount(inverse, rate, len(leaf))
+        leaf, place = group(at)
+        r = np.bincount(place, match.astype(float), len(leaf))
+        t = np.bincount(place, rate, len(leaf))
         z1 = log_gig_norm(-self.c + r, 2 * self.d, 2 * t)
         z2 = log_gig_norm(self.c + r, 0.0, 2 * (self.d + t))
         return leaf, r, t, z1, z2
