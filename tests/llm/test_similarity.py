@@ -10,7 +10,7 @@ from thicket.llm import jaccard
 from thicket.llm.ann import Forest, nearest
 from thicket.llm.decontaminate import contaminated, decontaminated
 from thicket.llm.graph import components
-from thicket.llm.jaccard import Answers, Threshold, one_of_each, shingle_set, similar_groups
+from thicket.llm.jaccard import Answers, Threshold, one_of_each, shingle_set, shingle_sets, similar_groups
 from thicket.llm.suffix_dedup import _span_batch, cut, prefix_hashes, remove_repeats, runs
 from thicket.llm.suffix_dedup import Powers
 
@@ -60,6 +60,7 @@ def test_similar_groups_are_the_components_of_brute_force(spark, monkeypatch, n,
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "MEMBERS", 5)
     monkeypatch.setattr(jaccard, "MEETING", 6)
+    monkeypatch.setattr(jaccard, "TOKENS", 900)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_shingles string")
     got = {r["doc_id"]: r for r in similar_groups(docs, n, num, den).collect()}
     sets = [sets_of(t, n) for t in TEXTS]
@@ -101,11 +102,41 @@ def test_answers_derived_from_a_similar_set():
         assert sizes.tolist() == [len(m) for m in members]
 
 
+def test_family_links_join_all_similar_sets():
+    r = np.random.default_rng(4)
+    t = Threshold(7, 10)
+    for _ in range(40):
+        base = np.unique(r.integers(0, 500, 60).astype(np.uint64))
+        sets = [np.unique(np.concatenate([r.choice(base, r.integers(30, len(base)), replace=False), r.integers(0, 500, r.integers(0, 9)).astype(np.uint64)])) for _ in range(25)]
+        chunk = r.integers(0, 2, 25)
+        links = []
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            at = [k for k in range(25) if chunk[k] in (i, j)]
+            if len(at) > 1:
+                links += [(at[x], at[y]) for x, y in jaccard.family_links([sets[k] for k in at], chunk[at] == i, chunk[at] == j, t)]
+        parent = list(range(25))
+        for x, y in links:
+            assert t.similar(len(np.intersect1d(sets[x], sets[y])), len(sets[x]), len(sets[y]))
+            parent = [parent[x] if p == parent[y] else p for p in parent]
+        want = brute_components([set(map(int, s)) for s in sets], 7, 10)
+        assert len(set(zip(parent, want, strict=True))) == len(set(parent)) == len(set(want))
+
+
 def test_threshold_prefix_loses_nothing():
     t = Threshold(85, 100)
     for size in range(1, 200):
         assert size - (t.prefix(size) - 1) >= 0.85 * size - 1e-9
-    assert len(shingle_set(b"a b c", 4, jaccard.WordHashes())) == 1
+    assert len(shingle_set(b"a b c", 4)) == 1
+
+
+def test_shingle_sets_do_not_depend_on_how_texts_are_grouped(monkeypatch):
+    r = random.Random(11)
+    texts = [None if r.random() < 0.1 else " \n".join(r.choice(["A", "bb", "CcC", "\u00e9t\u00e9", "x" * 90]) for _ in range(r.randint(0, 40))).encode() for _ in range(60)]
+    whole = list(shingle_sets(texts, 3))
+    monkeypatch.setattr(jaccard, "CHUNK", 40)  # most texts are then hashed by pieces
+    assert all(np.array_equal(a, b) for a, b in zip(whole, shingle_sets(texts, 3), strict=True))
+    for t, s in zip(texts, whole, strict=True):
+        assert len(s) == len(sets_of((t or b"").decode(), 3))
 
 
 def test_components(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,15 +32,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df under the shared folder and reads it back: cuts lineage, and is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/thicket-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
-    """The texts of an Arrow string column as bytes, without decoding them."""
-    if pa.types.is_large_string(column.type):
-        return column.cast(pa.large_binary()).to_pylist()
-    return column.cast(pa.binary()).to_pylist()
+def utf8(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
+    """The texts of an Arrow string column as bytes, without decoding them and few at a time."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).cast(kind).to_pylist()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -6,22 +6,23 @@ Sets that are equal are one node.  Each node's prefix, its first tokens in one g
 token; two sets that are similar enough share a token of their prefixes.  The order puts frequent tokens last,
 so that passages which many documents share don't meet in prefixes.
 
-First round: each list links its sets to one leader.  The verified links form clusters of highly similar sets.
-Second round: in each list the sets of a cluster form a block; a set meets a block of another cluster only if
-the block's sizes and positions allow a link.  Its overlaps with all sets of that cluster are derived from its
-overlap with the cluster's first set and the few tokens in which the others differ.  No pair of similar sets
-that the first round left in different clusters escapes the second.
+First round: each list compares its sets with one leader.  Pairs that are at all alike form families of highly
+similar sets.  Second round: inside a family, overlaps are derived from the sets' differences to the tokens that
+most of them have, and only links that join something new are returned, never all pairs.  Across families, the sets
+of a family form a block in each list; a set meets a block only if the block's sizes, positions and common tokens
+allow a link, and its overlaps with all sets of the family are derived from its overlap with the family's first set
+and the few tokens in which the others differ.  No similar pair escapes both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.llm.common import mix64, saved, table, utf8
@@ -31,32 +32,110 @@ from thicket.llm.graph import components
 FREQUENT, MOST_FREQUENT = 16, 300_000
 #: Ids are sent to all tasks up to this number (8 bytes each); beyond it they are joined by shuffle.
 IDS_AT_ONCE = 500_000
-#: Sets of a cluster, and sets that meet it, in one task's group.
-MEMBERS, MEETING = 400, 2000
+#: Sets of a family, and sets that meet it, in one task's group; tokens of a family's sets in one.
+MEMBERS, MEETING, TOKENS = 400, 2000, 1_000_000
+#: Sets of this share of the asked similarity are of one family.
+ALIKE = 0.35
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, filled as words come, cleared when full."""
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Bytes of texts hashed at once.
+CHUNK = 1 << 20
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_up = _down = np.ones(1, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    global _up, _down
+    if len(_up) < n:
+        with np.errstate(over="ignore"):
+            _up, _down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b)]), dtype=np.uint64) for b in (BASE, INVERSE))
+    return _up, _down
 
-def shingle_set(raw: bytes | None, n: int, known: WordHashes) -> np.ndarray:
-    """The sorted distinct hashes of the text's n-word shingles; fewer words make one, none make an empty set."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = max(1, len(h) - n + 1)
-    out = np.full(k, len(words) if len(words) < n else n, dtype=np.uint64)
+
+def _prefix(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(raw) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(min(n, len(h))):
-            out = mix64(out ^ h[i : i + k])
-    return np.unique(out)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw) + 1)[0][: len(raw)], out=out[1:])
+    return out
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, from prefix polynomial hashes of all bytes."""
+    text = np.frombuffer(raw, dtype=np.uint8)
+    space = np.concatenate([[True], _SPACE[text], [True]])
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    h = _prefix(text)
+    with np.errstate(over="ignore"):
+        return mix64((h[end] - h[start]) * _powers(len(text) + 1)[1][start]), start
+
+
+def _long_words(raw: bytes) -> np.ndarray:
+    """The same hashes for a text that is hashed in pieces; a word may be longer than a piece."""
+    out = []
+    for word in raw.split():
+        total, shift = 0, 1
+        for a in range(0, len(word), CHUNK):
+            piece = np.frombuffer(word[a : a + CHUNK], dtype=np.uint8)
+            total = (total + int(_prefix(piece)[-1]) * shift) % (1 << 64)
+            shift = shift * pow(int(BASE), len(piece), 1 << 64) % (1 << 64)
+        out.append(total)
+    return mix64(np.array(out, dtype=np.uint64))
+
+
+def _sets_of(words: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles of each text; words of all texts are in one array."""
+    out, begin = [], 0
+    rolled = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
+    for i in range(n):
+        rolled = mix64(rolled ^ words[i : i + len(rolled)])
+    for end in ends.tolist():
+        k = end - begin
+        if k >= n:
+            out.append(np.unique(rolled[begin : end - n + 1]))
+        elif k:
+            h = np.array([k], dtype=np.uint64)
+            for i in range(begin, end):
+                h = mix64(h ^ words[i : i + 1])
+            out.append(h)
+        else:
+            out.append(words[:0])
+        begin = end
+    return out
+
+
+def shingle_sets(texts: Iterable[bytes | None], n: int) -> Iterator[np.ndarray]:
+    """The set of each text: sorted distinct hashes of its n-word shingles, A-Z lower-cased; fewer words make one
+    shingle, none make an empty set.  Short texts are hashed many at a time."""
+    group: list[bytes] = []
+    size = 0
+    for raw in texts:
+        raw = (raw or b"").lower()
+        if len(raw) > CHUNK:
+            yield from _group_sets(group, n)
+            words = _long_words(raw)
+            yield from _sets_of(words, np.array([len(words)]), n)
+            group, size = [], 0
+            continue
+        group.append(raw)
+        size += len(raw)
+        if size > CHUNK:
+            yield from _group_sets(group, n)
+            group, size = [], 0
+    yield from _group_sets(group, n)
+
+
+def _group_sets(group: list[bytes], n: int) -> list[np.ndarray]:
+    words, start = _words(b" ".join(group))
+    limits = np.cumsum([len(t) + 1 for t in group])
+    return _sets_of(words, np.searchsorted(start, limits), n)
+
+
+def shingle_set(raw: bytes | None, n: int) -> np.ndarray:
+    return next(shingle_sets([raw], n))
 
 
 @dataclass(frozen=True)
@@ -97,11 +176,9 @@ def _sets(docs: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             nodes, sizes, prefixes = [], [], []
-            for raw in utf8(batch.column(at)):
-                s = shingle_set(raw, n, known)
+            for s in shingle_sets(utf8(batch.column(at)), n):
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sizes.append(len(s))
                 prefixes.append(_as_long(s[: t.prefix(len(s))] if len(s) else s))
@@ -119,27 +196,35 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def _pick(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     """rows whose key is in ids (one column, `id`), or isn't (left_anti)."""
-    n = ids.count()
-    return rows.join(F.broadcast(ids) if n <= IDS_AT_ONCE else ids, F.col(key) == F.col("id"), how)
+    return rows.join(_small(ids), F.col(key) == F.col("id"), how)
 
 
 def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
-    """(tok, rid, n, pos, leader) of the prefix tokens that two or more sets share, saved."""
+    """(tok, rid, n, pos, last, leader) of the prefix tokens that two or more sets share, saved.  last is the place of
+    the prefix's last token in the order, but for two bits."""
     first = reps.select(F.explode("__prefix").alias("tok"))
     counted = first.groupBy("tok").count().where(F.col("count") >= FREQUENT)
     frequent = np.array(sorted(r["tok"] for r in counted.orderBy(F.desc("count"), "tok").limit(MOST_FREQUENT).collect()), dtype=np.int64)
 
     def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            toks, sizes = [], batch.column(2).to_numpy()
-            for prefix, raw in zip(batch.column(1).to_pylist(), utf8(batch.column(3)), strict=True):
-                p = np.array(prefix, dtype=np.int64)
-                if _among(p, frequent).any():
-                    s = _as_long(shingle_set(raw, n, known))
-                    last = _among(s, frequent)
-                    p = np.concatenate([s[~last], s[last]])[: len(p)]
-                toks.append(p)
+            sizes = batch.column(2).to_numpy()
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten().to_numpy()
+            toks = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            hits = np.append(0, np.cumsum(_among(flat, frequent)))
+            moved = np.flatnonzero(hits[ends[1:]] > hits[ends[:-1]])
+            texts = batch.column(3).take(pa.array(moved))
+            last_key = np.zeros(len(toks), dtype=np.int64)
+            for k, s in zip(moved.tolist(), shingle_sets(utf8(texts), n), strict=True):
+                s = _as_long(s)
+                last = _among(s, frequent)
+                toks[k] = np.concatenate([s[~last], s[last]])[: len(toks[k])]
+            for k, p in enumerate(toks):
+                last_key[k] = (int(p[-1]) & (1 << 64) - 1) >> 2
+            ended = np.array([p[-1] for p in toks], dtype=np.int64)
+            last_key += _among(ended, frequent).astype(np.int64) << np.int64(62)
             lens = np.array([len(p) for p in toks], dtype=np.int64)
             pos = np.concatenate([np.arange(k) for k in lens]) if len(lens) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({
@@ -147,9 +232,10 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
                 "rid": pa.array(np.repeat(batch.column(0).to_numpy(), lens), pa.int64()),
                 "n": pa.array(np.repeat(sizes, lens), pa.int32()),
                 "pos": pa.array(pos, pa.int32()),
+                "last": pa.array(np.repeat(last_key, lens), pa.int64()),
             })
 
-    listed = reps.select("__rid", "__prefix", "__n", text).mapInArrow(reorder, "tok long, rid long, n int, pos int")
+    listed = reps.select("__rid", "__prefix", "__n", text).mapInArrow(reorder, "tok long, rid long, n int, pos int, last long")
     step = np.log(t.den / t.num)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +243,7 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
         held: np.ndarray | None = None  # the last row so far, and whether its list has had another
         more, band_key, leader = False, None, 0
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], axis=1)
             if held is not None:
                 rows = np.concatenate([held[None], rows])
             if len(rows) < 2:
@@ -178,11 +264,11 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
             band = int(np.floor(np.log(held[2]) / step))
             yield _entry_batch(held[None], np.array([leader if band_key == (held[0], band) else held[1]]))
 
-    return saved(listed.repartition("tok").sortWithinPartitions("tok", "n", "pos", "rid").mapInArrow(shared, "tok long, rid long, n int, pos int, leader long"), "entries")
+    return saved(listed.repartition("tok").sortWithinPartitions("tok", "n", "pos", "rid").mapInArrow(shared, "tok long, rid long, n int, pos int, last long, leader long"), "entries")
 
 
 def _entry_batch(rows: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"tok": pa.array(rows[:, 0], pa.int64()), "rid": pa.array(rows[:, 1], pa.int64()), "n": pa.array(rows[:, 2], pa.int32()), "pos": pa.array(rows[:, 3], pa.int32()), "leader": pa.array(leader, pa.int64())})
+    return pa.RecordBatch.from_pydict({"tok": pa.array(rows[:, 0], pa.int64()), "rid": pa.array(rows[:, 1], pa.int64()), "n": pa.array(rows[:, 2], pa.int32()), "pos": pa.array(rows[:, 3], pa.int32()), "last": pa.array(rows[:, 4], pa.int64()), "leader": pa.array(leader, pa.int64())})
 
 
 class Answers:
@@ -191,11 +277,13 @@ class Answers:
     def __init__(self) -> None:
         self.pivot = np.zeros(0, np.uint64)
         self.sizes: list[int] = []
+        self.ids: list[int] = []
         self.tokens: list[np.ndarray] = []
         self.signs: list[np.ndarray] = []
         self.packed = None
 
-    def add(self, s: np.ndarray) -> None:
+    def add(self, s: np.ndarray, rid: int = 0) -> None:
+        self.ids.append(rid)
         if not self.sizes:
             self.pivot = s
         gone = np.setdiff1d(self.pivot, s, assume_unique=True)
@@ -226,8 +314,9 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _verify(meets: DataFrame, members: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """The (k, y) of meets where set y is similar to some set of cluster k; members are (k, rid)."""
+def _verify(meets: DataFrame, members: DataFrame, texts: DataFrame, n: int, t: Threshold, alike: float = 1.0) -> DataFrame:
+    """(rid, y, linked) of the sets rid of family k and y of the meets (k, y) that have at least `alike` of the asked
+    similarity; members are (k, rid).  linked: the whole of it."""
     wanted = members.join(meets.select("k").distinct(), "k", "left_semi")
     sizes = wanted.groupBy("k").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mc"))
     chunks = meets.groupBy("k").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("yc")).join(sizes, "k")
@@ -235,28 +324,103 @@ def _verify(meets: DataFrame, members: DataFrame, texts: DataFrame, n: int, t: T
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = wanted.join(chunks, "k").select("k", part("mc", "rid").alias("m"), every("yc").alias("c"), F.lit(0).alias("kind"), "rid")
     right = meets.join(chunks, "k").select("k", every("mc").alias("m"), part("yc", "y").alias("c"), F.lit(1).alias("kind"), F.col("y").alias("rid"))
-    rows = left.unionByName(right).join(texts, "rid").select("k", "m", "c", "kind", "rid", "text")
+    needed = left.unionByName(right)
+    ids = needed.select(F.col("rid").alias("id")).distinct()
+    rows = needed.join(_pick(texts, "rid", saved(ids, "ids"), "left_semi"), "rid").select("k", "m", "c", "kind", "rid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, now, group = WordHashes(), None, Answers()
+        now, group = None, Answers()
         for batch in batches:
             keys = [batch.column(i).to_pylist() for i in range(5)]
-            out_k, out_y = [], []
-            for k, m, c, kind, rid, raw in zip(*keys, utf8(batch.column(5)), strict=True):
+            out_r, out_y, out_l = [], [], []
+            for k, m, c, kind, rid, s in zip(*keys, shingle_sets(utf8(batch.column(5)), n), strict=True):
                 if (k, m, c) != now:
                     now, group = (k, m, c), Answers()
-                s = shingle_set(raw, n, known)
                 if kind == 0:
-                    group.add(s)
+                    group.add(s, rid)
                 elif group.sizes:
                     overlap, sizes = group.overlaps(s)
-                    if t.similar(overlap, sizes, len(s)).any():
-                        out_k.append(k)
+                    linked = t.similar(overlap, sizes, len(s))
+                    for at in np.flatnonzero(linked | (overlap >= alike * t.num / t.den * (sizes + len(s) - overlap))).tolist():
+                        out_r.append(group.ids[at])
                         out_y.append(rid)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(out_k, pa.int64()), "y": pa.array(out_y, pa.int64())})
+                        out_l.append(bool(linked[at]))
+            yield pa.RecordBatch.from_pydict({"rid": pa.array(out_r, pa.int64()), "y": pa.array(out_y, pa.int64()), "linked": pa.array(out_l, pa.bool_())})
 
     dealt = rows.repartition("k", "m", "c").sortWithinPartitions("k", "m", "c", "kind", "rid")
-    return dealt.mapInArrow(run, "k long, y long").distinct()
+    return dealt.mapInArrow(run, "rid long, y long, linked boolean")
+
+
+def family_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Links that join all similar pairs of a set of `left` and a set of `right` (both masks).
+
+    With P the tokens that more than half of the sets have, |x n y| = |P| - |P - x| - |P - y| + |(P - x) n (P - y)| +
+    |(x - P) n (y - P)|: lists of the differences give a set's overlaps with all others."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    token, n = np.unique(np.concatenate(sets), return_counts=True)
+    most = token[2 * n > m]
+    gone = [np.setdiff1d(most, s, assume_unique=True) for s in sets]
+    come = [np.setdiff1d(s, most, assume_unique=True) for s in sets]
+    apart = [np.concatenate([g, c]) for g, c in zip(gone, come, strict=True)]  # no token is both gone and come
+    missing = np.array([len(g) for g in gone], dtype=np.int64)
+    flat = np.concatenate(apart)
+    owner = np.repeat(np.arange(m), [len(a) for a in apart])
+    by = np.argsort(flat, kind="stable")
+    flat, owner = flat[by], owner[by]
+    label, out = np.arange(m), []
+    for x in np.flatnonzero(left).tolist():
+        a, b = np.searchsorted(flat, apart[x], "left"), np.searchsorted(flat, apart[x], "right")
+        shared = np.bincount(np.concatenate([owner[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]), minlength=m) if len(a) else np.zeros(m, dtype=np.int64)
+        overlap = len(most) - missing[x] - missing + shared
+        near = np.flatnonzero(t.similar(overlap, sizes[x], sizes) & right & (label != label[x]))
+        for other in np.unique(label[near]).tolist():
+            out.append((x, int(near[label[near] == other][0])))
+            label[label == other] = label[x]
+    return out
+
+
+def _inside(families: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """(k, y) of links inside families (fam, rid, n).  A family whose sets have many tokens is dealt in chunks, and
+    each two chunks meet in one group."""
+    chunks = families.groupBy("fam").agg(F.ceil(F.sum("n") / TOKENS).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    own = families.join(chunks, "fam").withColumn("c", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    needed = own.select("fam", "rid", "c", other.alias("o")).select("fam", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rid")
+    ids = saved(needed.select(F.col("rid").alias("id")).distinct(), "ids")
+    rows = needed.join(_pick(texts, "rid", ids, "left_semi"), "rid").select("fam", "i", "j", "c", "rid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, places, rids = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            at = np.array(places)
+            found = family_links(sets, at == now[1], at == now[2], t) if len(sets) > 1 else []
+            return pa.RecordBatch.from_pydict({"k": pa.array([min(rids[x], rids[y]) for x, y in found], pa.int64()), "y": pa.array([max(rids[x], rids[y]) for x, y in found], pa.int64())})
+
+        for batch in batches:
+            keys = [batch.column(i).to_pylist() for i in range(5)]
+            for fam, i, j, c, rid, s in zip(*keys, shingle_sets(utf8(batch.column(5)), n), strict=True):
+                if (fam, i, j) != now:
+                    if now is not None:
+                        yield links()
+                    now, sets, places, rids = (fam, i, j), [], [], []
+                sets.append(s)
+                places.append(c)
+                rids.append(rid)
+        if now is not None:
+            yield links()
+
+    return rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j", "rid").mapInArrow(run, "k long, y long")
+
+
+def _prefix_length(size: Column, t: Threshold) -> Column:
+    return size - F.ceil(size * t.num / t.den - 1e-9) + 1
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """To be sent to all tasks, if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= IDS_AT_ONCE else ids
 
 
 def grouped(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -268,32 +432,41 @@ def grouped(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: st
     nodes = saved(nodes, "nodes")
     reps = _pick(rows, "__rid", nodes.select(F.col("rep").alias("id")), "left_semi")
     entries = _entries(reps, n, t, text)
-    ids = saved(entries.select(F.col("rid").alias("id")).distinct(), "ids")
-    texts = saved(_pick(rows, "__rid", ids, "left_semi").select(F.col("__rid").alias("rid"), F.col(text).alias("text")), "texts")
+    texts = rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text"))
 
-    star = entries.where(F.col("rid") != F.col("leader")).select(F.least("rid", "leader").alias("k"), F.greatest("rid", "leader").alias("y")).distinct()
+    star = entries.where(F.col("rid") != F.col("leader")).select(F.least("rid", "leader").alias("k"), F.greatest("rid", "leader").alias("y"), "n")
+    # a leader is only a guess: a pair is worth a look if it leads in a tenth of the prefix
+    star = star.groupBy("k", "y").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") >= F.col("n") * (1 - t.num / t.den) * 0.1).select("k", "y")
     star = saved(star, "stars")
-    links = saved(_verify(star, star.select("k", F.col("k").alias("rid")).distinct(), texts, n, t), "links")
-    clusters = saved(components(links.select(F.col("k").alias("u"), F.col("y").alias("v"))), "clusters")
-
-    placed = entries.join(clusters, F.col("rid") == F.col("node"), "left").select("tok", "rid", "n", "pos", F.coalesce("component", "rid").alias("cl"))
-    blocks = placed.groupBy("tok", "cl").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    alike = saved(_verify(star, star.select("k", F.col("k").alias("rid")).distinct(), texts, n, t, ALIKE), "alike")
+    clusters = saved(components(alike.select(F.col("rid").alias("u"), F.col("y").alias("v"))), "families")
+    sizes = rows.select(F.col("__rid").alias("rid"), F.col("__n").alias("n"))
+    families = clusters.join(_pick(sizes, "rid", clusters.select(F.col("node").alias("id")), "left_semi"), F.col("node") == F.col("rid")).select(F.col("component").alias("fam"), "rid", "n")
+    links = saved(_inside(families, texts, n, t), "links")
+
+    placed = entries.join(_small(clusters), F.col("rid") == F.col("node"), "left").withColumn("cl", F.coalesce("component", "rid")).drop("node", "component", "leader")
+    size = F.col("n") - _prefix_length(F.col("n"), t)
+    blocks = placed.groupBy("tok", "cl").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max(size).alias("after"), F.min("last").alias("first_last"), F.max("last").alias("last_last"))
     mixed = blocks.groupBy("tok").agg(F.count("*").alias("b")).where("b > 1").select("tok")
     a = blocks.join(mixed, "tok", "left_semi").alias("a")
     b = placed.join(mixed, "tok", "left_semi").alias("b")
     # a block is skipped when none of its sizes is near the set's, or what is left after the shared token is too little
     near = (F.col("b.n") * t.den >= F.col("a.low") * t.num) & (F.col("a.high") * t.den >= F.col("b.n") * t.num)
     smallest = F.greatest(F.col("a.low"), F.ceil(F.col("b.n") * t.num / t.den - 1e-9))
-    enough = F.least(F.col("a.rest"), F.col("b.n") - F.col("b.pos")) >= F.ceil((smallest + F.col("b.n")) * t.num / (t.num + t.den) - 1e-9)
-    meets = a.join(b, F.col("a.tok") == F.col("b.tok")).where((F.col("a.cl") < F.col("b.cl")) & near & enough).select(F.col("a.cl").alias("k"), F.col("b.rid").alias("y")).distinct()
-    done = star.join(clusters, F.col("k") == F.col("node"), "left_anti")
-    meets = saved(meets.join(done, ["k", "y"], "left_anti"), "meets")
+    least = F.ceil((smallest + F.col("b.n")) * t.num / (t.num + t.den) - 1e-9)
+    enough = F.least(F.col("a.rest"), F.col("b.n") - F.col("b.pos")) >= least
+    # Of two sets, the one whose prefix ends first has all its common prefix tokens in the other's prefix too.  So a
+    # link needs as many common prefix tokens as its overlap has beyond what stands after that prefix.
+    own = F.col("b.n") - _prefix_length(F.col("b.n"), t)
+    after = F.when(F.col("a.last_last") < F.col("b.last"), F.col("a.after")).when(F.col("a.first_last") > F.col("b.last"), own).otherwise(F.greatest(F.col("a.after"), own))
+    met = a.join(b, F.col("a.tok") == F.col("b.tok")).where((F.col("a.cl") < F.col("b.cl")) & near).select(F.col("a.cl").alias("k"), F.col("b.rid").alias("y"), (least - after).alias("need"), enough.alias("enough"))
+    # all common tokens count; what is left after the first of them has to be enough
+    meets = met.groupBy("k", "y").agg(F.count("*").alias("c"), F.min("need").alias("need"), F.max("enough").alias("enough")).where("enough and c >= need").select("k", "y")
+    meets = saved(meets, "meets")
     members = clusters.select(F.col("component").alias("k"), F.col("node").alias("rid"))
-    alone = meets.select("k").distinct().join(clusters, F.col("k") == F.col("component"), "left_anti").select("k", F.col("k").alias("rid"))
-    more = saved(_verify(meets, members.unionByName(alone), texts, n, t), "more")
-
-    whole = clusters.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    joined = components(whole.unionByName(links.select(F.col("k").alias("u"), F.col("y").alias("v"))).unionByName(more.select(F.col("k").alias("u"), F.col("y").alias("v"))))
+    alone = meets.select("k").distinct().join(members.select("k").distinct(), "k", "left_anti").select("k", F.col("k").alias("rid"))
+    more = saved(_verify(meets, members.unionByName(alone), texts, n, t).where("linked").select(F.col("rid").alias("k"), "y"), "more")
+    joined = components(links.unionByName(more).select(F.col("k").alias("u"), F.col("y").alias("v")))
     joined = saved(joined, "components")
     linked = nodes.join(joined, F.col("rep") == F.col("node"), "left").select("__node", F.coalesce("component", "rep").alias("cl"))
     return rows, linked

@@ -26,7 +26,7 @@ from thicket.llm.common import mix64, saved, table, utf8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Windows handled at once of a long text, and pairs of run and column handled at once by the sort.
-CHUNK, AT_ONCE = 1 << 20, 400_000
+CHUNK, AT_ONCE = 1 << 20, 200_000
 #: An anchor with this many runs and this share of all runs is hot: its windows are counted by an aggregation.
 HOT_RUNS, HOT_SHARE = 20_000, 1e-5
 IDS_AT_ONCE = 500_000
