@@ -30,6 +30,8 @@ from thicket.llm.graph import components
 
 #: A token in this many prefixes is frequent; so many frequent tokens are put last, the most frequent first chosen.
 FREQUENT, MOST_FREQUENT = 16, 300_000
+#: Tokens are counted over so many times the prefix: frequent ones that come up when others are put last are known too.
+WIDE = 2
 #: Ids are sent to all tasks up to this number (8 bytes each); beyond it they are joined by shuffle.
 IDS_AT_ONCE = 500_000
 #: Sets of a family, and sets that meet it, in one task's group; tokens of a family's sets in one.
@@ -169,7 +171,8 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
-    """docs with __rid, __node (digest of the set, null if empty), __n (its size) and __prefix, saved."""
+    """docs with __rid, __node (digest of the set, null if empty), __n (its size) and __prefix (its WIDE * prefix
+    smallest hashes), saved."""
     schema = docs.withColumns({"__rid": F.monotonically_increasing_id(), "__node": F.lit(b""), "__n": F.lit(0).cast("long"), "__prefix": F.array(F.lit(0).cast("long"))}).schema
     for f in schema:
         f.nullable = True
@@ -181,7 +184,7 @@ def _sets(docs: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
             for s in shingle_sets(utf8(batch.column(at)), n):
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sizes.append(len(s))
-                prefixes.append(_as_long(s[: t.prefix(len(s))] if len(s) else s))
+                prefixes.append(_as_long(s[: WIDE * t.prefix(len(s))] if len(s) else s))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), _lists(prefixes)], names=[f.name for f in schema])
 
     return saved(docs.withColumn("__rid", F.monotonically_increasing_id()).mapInArrow(run, schema), "sets")
@@ -212,12 +215,19 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
             lists = batch.column(1)
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten().to_numpy()
-            toks = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            hits = np.append(0, np.cumsum(_among(flat, frequent)))
-            moved = np.flatnonzero(hits[ends[1:]] > hits[ends[:-1]])
-            texts = batch.column(3).take(pa.array(moved))
+            often = _among(flat, frequent)
+            toks, again = [], []
+            for k, (a, b, size) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), sizes.tolist(), strict=True)):
+                wide, late = flat[a:b], often[a:b]
+                rare = wide[~late]
+                if len(rare) < t.prefix(size):
+                    if len(wide) < size:
+                        again.append(k)
+                    rare = np.concatenate([rare, wide[late]])
+                toks.append(rare[: t.prefix(size)])
+            texts = batch.column(3).take(pa.array(again, pa.int64()))
             last_key = np.zeros(len(toks), dtype=np.int64)
-            for k, s in zip(moved.tolist(), shingle_sets(utf8(texts), n), strict=True):
+            for k, s in zip(again, shingle_sets(utf8(texts), n), strict=True):
                 s = _as_long(s)
                 last = _among(s, frequent)
                 toks[k] = np.concatenate([s[~last], s[last]])[: len(toks[k])]
@@ -444,9 +454,11 @@ def grouped(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: st
     families = clusters.join(_pick(sizes, "rid", clusters.select(F.col("node").alias("id")), "left_semi"), F.col("node") == F.col("rid")).select(F.col("component").alias("fam"), "rid", "n")
     links = saved(_inside(families, texts, n, t), "links")
 
-    placed = entries.join(_small(clusters), F.col("rid") == F.col("node"), "left").withColumn("cl", F.coalesce("component", "rid")).drop("node", "component", "leader")
+    count = clusters.groupBy("component").agg(F.count("*").alias("sets"))
+    sized = saved(clusters.join(count, "component").select("node", "component", "sets"), "sized")
+    placed = entries.join(_small(sized), F.col("rid") == F.col("node"), "left").withColumn("cl", F.coalesce("component", "rid")).withColumn("sets", F.coalesce("sets", F.lit(1))).drop("node", "component", "leader")
     size = F.col("n") - _prefix_length(F.col("n"), t)
-    blocks = placed.groupBy("tok", "cl").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max(size).alias("after"), F.min("last").alias("first_last"), F.max("last").alias("last_last"))
+    blocks = placed.groupBy("tok", "cl").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max(size).alias("after"), F.min("last").alias("first_last"), F.max("last").alias("last_last"), F.max("sets").alias("sets"))
     mixed = blocks.groupBy("tok").agg(F.count("*").alias("b")).where("b > 1").select("tok")
     a = blocks.join(mixed, "tok", "left_semi").alias("a")
     b = placed.join(mixed, "tok", "left_semi").alias("b")
@@ -455,11 +467,13 @@ def grouped(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: st
     smallest = F.greatest(F.col("a.low"), F.ceil(F.col("b.n") * t.num / t.den - 1e-9))
     least = F.ceil((smallest + F.col("b.n")) * t.num / (t.num + t.den) - 1e-9)
     enough = F.least(F.col("a.rest"), F.col("b.n") - F.col("b.pos")) >= least
+    # the sets of the smaller family meet the block of the larger
+    larger = (F.col("a.sets") > F.col("b.sets")) | (F.col("a.sets") == F.col("b.sets")) & (F.col("a.cl") < F.col("b.cl"))
     # Of two sets, the one whose prefix ends first has all its common prefix tokens in the other's prefix too.  So a
     # link needs as many common prefix tokens as its overlap has beyond what stands after that prefix.
     own = F.col("b.n") - _prefix_length(F.col("b.n"), t)
     after = F.when(F.col("a.last_last") < F.col("b.last"), F.col("a.after")).when(F.col("a.first_last") > F.col("b.last"), own).otherwise(F.greatest(F.col("a.after"), own))
-    met = a.join(b, F.col("a.tok") == F.col("b.tok")).where((F.col("a.cl") < F.col("b.cl")) & near).select(F.col("a.cl").alias("k"), F.col("b.rid").alias("y"), (least - after).alias("need"), enough.alias("enough"))
+    met = a.join(b, F.col("a.tok") == F.col("b.tok")).where(larger & near).select(F.col("a.cl").alias("k"), F.col("b.rid").alias("y"), (least - after).alias("need"), enough.alias("enough"))
     # all common tokens count; what is left after the first of them has to be enough
     meets = met.groupBy("k", "y").agg(F.count("*").alias("c"), F.min("need").alias("need"), F.max("enough").alias("enough")).where("enough and c >= need").select("k", "y")
     meets = saved(meets, "meets")
