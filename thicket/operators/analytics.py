@@ -127,7 +127,7 @@ FACTOR = r"_{name}=?([^_]+)"
 
 
 def parse_factors(df: DataFrame, agent: str, factors: list[str]) -> DataFrame:
-    """Factor values from names such as BART_m=50_enc=multi."""
+    """Factor values from names such as Trees_m=50_enc=multi."""
     return df.withColumns({f: F.regexp_extract(F.col(agent), FACTOR.format(name=f), 1) for f in factors})
 
 

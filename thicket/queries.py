@@ -901,9 +901,9 @@ def factor_contrast(spark, sf):
     return an.factor_means(o, ["priority", "status"], "o_totalprice").select("factor", "level", r("mean", 2).alias("mean"))
 
 
-@query("SELECT DISTINCT agent, regexp_extract(agent, '_m=?([^_]+)', 1) AS m, regexp_extract(agent, '_enc=?([^_]+)', 1) AS enc FROM (SELECT 'BART_m=' || (user_id % 3 * 50) || '_enc=' || event_type AS agent FROM events)")
+@query("SELECT DISTINCT agent, regexp_extract(agent, '_m=?([^_]+)', 1) AS m, regexp_extract(agent, '_enc=?([^_]+)', 1) AS enc FROM (SELECT 'Trees_m=' || (user_id % 3 * 50) || '_enc=' || event_type AS agent FROM events)")
 def agent_factors(spark, sf):
-    e = table(spark, sf, "events").select(F.concat(F.lit("BART_m="), (F.col("user_id") % 3 * 50).cast("string"), F.lit("_enc="), F.col("event_type")).alias("agent")).distinct()
+    e = table(spark, sf, "events").select(F.concat(F.lit("Trees_m="), (F.col("user_id") % 3 * 50).cast("string"), F.lit("_enc="), F.col("event_type")).alias("agent")).distinct()
     return an.parse_factors(e, "agent", ["m", "enc"])
 
 
@@ -1031,7 +1031,7 @@ def _fit(spark, sf, **options):
 
 
 @query()
-def bart_posterior_mean(spark, sf):
+def trees_posterior_mean(spark, sf):
     """Posterior mean, 95 % interval and coverage of a fitted model over all rows, by group."""
     model = _fit(spark, sf)
     made = po.intervals(po.posterior_mean(model.posterior_f(_friedman(spark, sf))))
