@@ -12,9 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,10 +49,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def block_splits(df: DataFrame, order: str, rows_per_block: int, most: int = 4096) -> list[int]:
     """Ascending values of `order` that cut the rows into blocks of about rows_per_block (at most `most` blocks)."""
     n = df.where(F.col(order).isNotNull()).count()

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import block_of, block_splits, ranked, table
+from thicket.llm.common import block_of, block_splits, ranked, saved, table
 
 
 def units(weights: dict[str, float], total: int) -> dict[str, int]:
@@ -136,10 +136,22 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     return out.withColumn("slot", slot_of("__source", "block")).drop("__source", "__key", "__block", "__rank")
 
 
-def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, written in the order of the mixture: a range sort over (slot, place)."""
-    out = mix(docs, **options)
-    return out.orderBy("slot", "place").select(*docs.columns)
+#: Places are sent to all tasks up to this number (24 bytes each); beyond it they are joined by shuffle.
+PLACES_AT_ONCE = 500_000
+
+
+def mixed_order(docs: DataFrame, source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, all columns, written in the order of the mixture: a range sort over (slot, place).
+
+    docs should be a table that is read the same way twice, such as files: places are found from numbered sources
+    and keys alone, so that whole rows are moved for the sort only."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    narrow = numbered.select("__row", F.col(source).alias("source"), F.col(key).alias("key"))
+    places = saved(mix(narrow, source="source", key="key", **options).select("__row", "slot", "place"), "places")
+    few = places.count() <= PLACES_AT_ONCE
+    placed = places.select(F.col("__row").alias("__at"), F.col("slot").alias("__slot"), F.col("place").alias("__place"))
+    out = numbered.join(F.broadcast(placed) if few else placed, F.col("__row") == F.col("__at"))
+    return out.orderBy("__slot", "__place").select(*docs.columns)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
