@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,7 +134,7 @@ class Features(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         cut = word[:64]
         out = (_hash(b"w" + cut), _hash(b"s" + _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", cut)))))
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = out
         return out
@@ -188,7 +187,7 @@ class Scores(dict):
 
     def __missing__(self, word: bytes) -> float:
         a, b = self.features[word]
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = out = float(self.weights[a] + self.weights[b])
         return out
@@ -255,23 +254,19 @@ def classify(docs: DataFrame, model: Classifier, least: float = 0.5, text: str =
     Null and empty texts have no votes and the score of a text without words.
     """
     labels, bias, packed = model.labels, model.bias, model.weights.astype(np.float32).tobytes()
-    judged = docs.withColumn("__judged", _judge(labels, bias, packed)(F.col(text)))
-    return judged.withColumn("__weak", F.col("__judged.weak")).withColumn("__score", F.col("__judged.score")).withColumn("__keep", F.col("__score") >= least).drop("__judged")
+    schema = docs.withColumn("__weak", F.lit(0.0)).withColumn("__score", F.lit(0.0)).schema
+    at = docs.columns.index(text)
 
-
-def _judge(labels: LabelModel, bias: float, packed: bytes):
-    @F.pandas_udf("weak double, score double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(np.frombuffer(packed, np.float32))
-        for texts in batches:
+        for batch in batches:
             weak, out = [], []
-            for t in texts:
-                raw = b"" if t is None else t.encode()
-                weak.append(labels.posterior.get(pattern(votes(raw)), labels.good))
-                out.append(score(raw, known, bias))
-            yield pd.DataFrame({"weak": weak, "score": out})
+            for raw in utf8(batch.column(at)):
+                weak.append(labels.posterior.get(pattern(votes(raw or b"")), labels.good))
+                out.append(score(raw or b"", known, bias))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weak, pa.float64()), pa.array(out, pa.float64())], names=schema.names)
 
-    return judge
+    return docs.mapInArrow(judge, schema).withColumn("__keep", F.col("__score") >= least)
 
 
 def filter_quality(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
