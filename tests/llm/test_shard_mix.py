@@ -113,3 +113,31 @@ def test_mixed_order_returns_the_columns(spark):
     out = mixed_order(docs, block_rows=4)
     assert out.columns == docs.columns and out.count() == len(ROWS)
     assert out.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_mixed_order_does_not_depend_on_how_a_scan_is_planned(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", f"text {i}") for i in range(400)], "doc_id long, source string, text string")
+    docs.repartition(8).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    want = {(r["slot"], r["place"]): r["doc_id"] for r in mix(read, block_rows=4).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    out = mixed_order(read, block_rows=4)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = [r["doc_id"] for r in out.select("*").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [want[k] for k in sorted(want)]
+
+
+def test_mixed_order_keeps_rows_that_share_a_place_in_a_file_or_have_none(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"s{i % 3}") for i in range(50)], "doc_id long, source string")
+    docs.write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    twice = read.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    got = sorted(tuple(r) for r in mixed_order(twice, block_rows=4).collect())
+    assert got == sorted((i, f"s{i % 3}", c) for i in range(50) for c in (0, 1))
+    assert mixed_order(read.where("doc_id % 2 = 0"), block_rows=4).count() == 25
+    assert mixed_order(docs.limit(7), block_rows=4).count() == 7

@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,18 +141,41 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
 PLACES_AT_ONCE = 500_000
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, int] | None:
+    """docs with `__row`, which names each row by its Parquet file and its index there, and the number of rows.
+
+    The name doesn't depend on how a scan is planned, so it is the same in every job.  None where there is no such
+    name: docs is not a selection of the rows of Parquet files that two scans make alike, or two rows have one name.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size():
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias", "View") or not plan.deterministic():
+            return None
+        plan = plan.children().head()
+    try:
+        named = docs.withColumn("__row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return None
+    rows, names = named.agg(F.count("*"), F.count_distinct("__row")).first()
+    return (named, rows) if rows == names else None
+
+
 def mixed_order(docs: DataFrame, source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns, written in the order of the mixture: a range sort over (slot, place).
 
-    docs should be a table that is read the same way twice, such as files: places are found from numbered sources
-    and keys alone, so that whole rows are moved for the sort only."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    narrow = numbered.select("__row", F.col(source).alias("source"), F.col(key).alias("key"))
+    Places are found from the names of rows, sources and keys alone, so that whole rows are moved for the sort only.
+    What is not a selection of rows of Parquet files is saved first.  A row without a place ends the query: files that
+    changed between the two scans are an error, not a loss."""
+    found = identified(docs) or identified(saved(docs, "rows"))
+    if found is None:
+        raise ValueError("the rows have no names that tell them apart")
+    named, rows = found
+    narrow = named.select("__row", F.col(source).alias("source"), F.col(key).alias("key"))
     places = saved(mix(narrow, source="source", key="key", **options).select("__row", "slot", "place"), "places")
-    few = places.count() <= PLACES_AT_ONCE
     placed = places.select(F.col("__row").alias("__at"), F.col("slot").alias("__slot"), F.col("place").alias("__place"))
-    out = numbered.join(F.broadcast(placed) if few else placed, F.col("__row") == F.col("__at"))
-    return out.orderBy("__slot", "__place").select(*docs.columns)
+    out = named.join(F.broadcast(placed) if rows <= PLACES_AT_ONCE else placed, F.col("__row") == F.col("__at"), "left")
+    lost = F.raise_error("a row has no place: the files changed while they were read").cast("long")
+    return out.withColumn("__slot", F.coalesce("__slot", lost)).orderBy("__slot", "__place").select(*docs.columns)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
