@@ -86,6 +86,20 @@ def test_schedule_places_every_block_once_and_follows_renormalised_weights():
     assert sum(units({"a": 1e-9, "b": 1.0, "c": 3.0}, 100).values()) == 100
 
 
+@pytest.mark.parametrize("power", [0.5, 4.0])
+def test_schedule_follows_targets_that_are_no_round_shares_to_within_one_block(power):
+    rows = {"a": 200_000} | {f"s{k}": 21_000 for k in range(19)}
+    blocks = {s: -(-n // 32) for s, n in rows.items()}
+    weights = {s: float(n) ** power for s, n in rows.items()}
+    plan = schedule(blocks, weights)
+    slots = {s: plan.slots(s, np.arange(n)) for s, n in blocks.items()}
+    assert sorted(np.concatenate(list(slots.values()))) == list(range(sum(blocks.values())))
+    end = min(own.max() for own in slots.values()) + 1
+    for s, own in slots.items():
+        target = weights[s] / sum(weights.values()) * np.arange(1, end + 1)
+        assert np.abs(np.searchsorted(own, np.arange(1, end + 1)) - target).max() < 1 + 1e-9
+
+
 def test_mix_places_all_rows(spark):
     docs = spark.createDataFrame(ROWS, DOCS)
     got = mix(docs, block_rows=4, rows_per_block=9).collect()

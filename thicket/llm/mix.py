@@ -5,6 +5,7 @@ any number of slots each has had its share to within less than one block."""
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -33,29 +34,42 @@ def units(weights: dict[str, float], total: int) -> dict[str, int]:
     return out
 
 
-def period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period of sum(shares) slots; the schedule repeats after it.
+def paced(shares: dict[str, int], slots: int, left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """The slots of each source by earliest deadline first, until `slots` are filled or a source has none `left`.
 
-    Block j of a source with share n of D slots is released at floor((j - 1) D / n) and due at ceil(j D / n).
+    Block j of a source with share n of D is released at floor((j - 1) D / n) and due at ceil(j D / n).
     """
     total = sum(shares.values())
     waiting = [(0, -(-total // n), s, 1) for s, n in shares.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out: dict[str, list[int]] = {s: [] for s in shares}
-    for slot in range(total):
+    for slot in range(slots):
         while waiting and waiting[0][0] <= slot:
             _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
         due, s, j = heapq.heappop(ready)
         assert slot < due, "a deadline was missed"
         out[s].append(slot)
-        if j < shares[s]:
-            n = shares[s]
-            heapq.heappush(waiting, (j * total // n, -(-(j + 1) * total // n), s, j + 1))
+        if left is not None and j == left[s]:
+            break
+        n = shares[s]
+        heapq.heappush(waiting, (j * total // n, -(-(j + 1) * total // n), s, j + 1))
     return out
 
 
+def period(shares: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source in one period of sum(shares) slots; the schedule repeats after it."""
+    return paced(shares, sum(shares.values()))
+
+
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the very proportions of the weights."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in parts.values()))
+    return {s: int(x * scale) for s, x in parts.items()}
+
+
 @dataclass
 class Plan:
     """For each source the phases in which it has blocks: first block, first slot, slots in a period, period."""
@@ -76,25 +90,35 @@ class Plan:
         return out
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int = 1000) -> Plan:
-    """The slot of every block of every source, in closed form.
+def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int | None = None) -> Plan:
+    """The slot of every block of every source.
 
-    A phase lasts until some source has no block left; the weights of the others are then scaled up to 1.  One
-    period of each phase is simulated (its length is `resolution`, or ten slots a source), so the work depends on
-    the number of sources alone.
+    A phase lasts until some source has no block left; the weights of the others are then scaled up to 1.  Every
+    block of a phase is placed by the weights as they are: the work and the plan (8 bytes a block) grow with the blocks.
+    With a `resolution`, weights are rounded to whole shares of that many slots (or ten a source) and one period of
+    each phase is simulated; a source can then leave its target by more than a block.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
     plan = Plan({s: [] for s in left})
     start = 0
     while left:
-        total = max(resolution, 10 * len(left))
-        shares = units({s: weights[s] for s in left}, total)
-        places = {s: np.array(p, dtype=np.int64) for s, p in period(shares).items()}
+        own = {s: weights[s] for s in left}
+        if resolution is None:
+            shares = exact(own)
+            total = sum(shares.values())
+            places = {s: np.array(p, dtype=np.int64) for s, p in paced(shares, sum(left.values()), left).items()}
+            used = {s: len(p) for s, p in places.items()}
+            end, turn = sum(used.values()), sum(left.values())
+        else:
+            total = turn = max(resolution, 10 * len(left))
+            shares = units(own, total)
+            places = {s: np.array(p, dtype=np.int64) for s, p in period(shares).items()}
+            end = min((left[s] - 1) // shares[s] * total + int(places[s][(left[s] - 1) % shares[s]]) + 1 for s in left)
+            used = {s: end // total * shares[s] + int(np.searchsorted(places[s], end % total)) for s in left}
         plan.weights.append({s: n / total for s, n in shares.items()})
-        end = min((left[s] - 1) // shares[s] * total + int(places[s][(left[s] - 1) % shares[s]]) + 1 for s in left)
-        for s in list(left):
-            plan.phases[s].append((blocks[s] - left[s], start, places[s], total))
-            left[s] -= end // total * shares[s] + int(np.searchsorted(places[s], end % total))
+        for s, n in used.items():
+            plan.phases[s].append((blocks[s] - left[s], start, places[s], turn))
+            left[s] -= n
             if left[s] == 0:
                 del left[s]
         start += end
@@ -109,7 +133,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     weights leaves out, or gives no positive weight, follow after the others by their rows.  Rows of a source go
     into blocks in the order of the key, nulls first; repeated rows are alike, and any order of them is right.
     A null source is a source of its own.  An empty table gives no rows.  Columns of docs that are called block,
-    slot or place are replaced.  The number of sources is taken to be small: their sizes go to the driver.
+    slot or place are replaced.  The number of sources is taken to be small: their sizes go to the driver, which
+    places the blocks one after another.
     """
     label = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
     sizes = {r["s"]: r["n"] for r in docs.groupBy(label.alias("s")).agg(F.count("*").alias("n")).collect()}
