@@ -197,10 +197,20 @@ def encode_multi(spark, sf):
     return _arm_rows(spark, sf, "multi", 10)
 
 
+def _all_arms(rows):
+    made = rows.drop("arm").withColumn("x", F.array("x0", "x1"))
+    return pp.encode_all_arms(made, "x", 5, 2, "multi").select("t", F.col("arm").cast("long").alias("arm"), *[r(F.get("encoded", k)).alias(f"e{k}") for k in range(10)])
+
+
 @query(f"SELECT t, a AS arm, {_encoded('multi', 10).replace('arm = ', 'a = ')} FROM {LOG}, (SELECT unnest(range(5)) AS a) arms WHERE t % 10 = 0")
 def encode_all_arms(spark, sf):
-    made = log(spark, sf).where("t % 10 = 0").drop("arm").withColumn("x", F.array("x0", "x1"))
-    return pp.encode_all_arms(made, "x", 5, 2, "multi").select("t", F.col("arm").cast("long").alias("arm"), *[r(F.get("encoded", k)).alias(f"e{k}") for k in range(10)])
+    """A tenth of the events, as its SQL has it; encode_all_arms_whole takes all."""
+    return _all_arms(log(spark, sf).where("t % 10 = 0"))
+
+
+@query(f"SELECT t, a AS arm, {_encoded('multi', 10).replace('arm = ', 'a = ')} FROM {LOG}, (SELECT unnest(range(5)) AS a) arms")
+def encode_all_arms_whole(spark, sf):
+    return _all_arms(log(spark, sf))
 
 
 # -- forests ------------------------------------------------------------------------------------------------------------
