@@ -1,9 +1,15 @@
 """Registered queries that take the whole of their table."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from thicket.plans.model import fit
+from thicket.sources.scenarios import generate
+
+SMALL = {"n_trees": 8, "ndpost": 12, "nskip": 10, "max_bins": 10}
+FEATURES = [f"x{k}" for k in range(5)]
 
 
 def test_all_arms_of_all_events_are_encoded(spark, sf):
@@ -13,3 +19,19 @@ def test_all_arms_of_all_events_are_encoded(spark, sf):
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     assert len(got) == 5 * db.execute("SELECT count(*) FROM events").fetchone()[0]
     assert got == sorted(db.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_rows_are_dealt_to_shards_only_when_asked_for(spark, monkeypatch):
+    monkeypatch.setattr("thicket.plans.model.MOST_ROWS", 50, raising=False)
+    data = generate(spark, "friedman1", 160, noise=0.2)
+    assert fit(data, FEATURES, "y", seed=1, **SMALL).shards == 1
+
+
+def test_importance_and_noise_are_of_all_shards(spark):
+    m = fit(generate(spark, "friedman1", 160, noise=0.2), FEATURES, "y", chains=2, seed=1, shards=3, **SMALL)
+    assert m.histogram().agg(F.sum("n")).first()[0] == m.nodes().where("var >= 0").count()
+    want = {}
+    for row in m.trace.where("draw >= 0").collect():
+        want.setdefault((row["chain"], row["draw"]), []).append(row["sigma2"])
+    got = {(row["chain"], row["draw"]): row["value"] for row in m.sigma_chains().collect()}
+    assert got == pytest.approx({k: sum(v) / 3 for k, v in want.items()}) and all(len(v) == 3 for v in want.values())

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import warnings
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -22,8 +21,6 @@ from thicket.plans.chain import LogisticChain, RegressionChain, Settings, Tree
 NODE = "struct<node:int,var:int,thr:double,leaf:double>"
 TRACE = f"chain int, shard int, draw int, category int, sigma2 double, s array<double>, trees array<array<{NODE}>>"
 MOVES = "chain int, shard int, move string, selected long, proposed long, accepted long"
-#: Rows that one chain takes into memory; beyond it the rows are dealt to shards, with a warning.
-MOST_ROWS = 200_000
 
 
 def _pack(trees: list[Tree]) -> list[list[tuple]]:
@@ -194,7 +191,9 @@ class Model:
     # -- importance and diagnostics ---------------------------------------------------------------------------
 
     def histogram(self) -> DataFrame:
-        return po.split_histogram(self.nodes().where("category = 0 and shard = 0"), len(self.prep.features), ("chain", "draw"))
+        """Splits on each feature by chain and draw.  A draw of a model with shards is the mean of the shards' forests, so
+        that the splits of all of them are its own."""
+        return po.split_histogram(self.nodes().where("category = 0"), len(self.prep.features), ("chain", "draw"))
 
     def inclusion_probability(self) -> DataFrame:
         return po.inclusion_probability(self.histogram())
@@ -205,8 +204,8 @@ class Model:
         return po.inclusion_frequency(self.histogram(), kind, ("chain", "draw"))
 
     def sigma_chains(self) -> DataFrame:
-        """(chain, draw, value) of the noise variance."""
-        return self.trace.where("draw >= 0 and shard = 0 and category = 0").select("chain", "draw", F.col("sigma2").alias("value"))
+        """(chain, draw, value) of the noise variance; with shards, the mean of theirs."""
+        return self.trace.where("draw >= 0 and category = 0").groupBy("chain", "draw").agg(F.avg("sigma2").alias("value"))
 
     def value_chains(self, probes: DataFrame, key: str) -> DataFrame:
         """(key, chain, draw, value) of f on probes."""
@@ -309,12 +308,12 @@ def _run(kind, rows, prep, s: Settings, chains, seed, shards, words, categories,
     return Model(kind, prep, s, chains, seed, trace, moves, words, categories, shards, rows)
 
 
-def fit(df: DataFrame, features: list[str], target: str, kind: str = "regression", chains: int = 1, seed: int = 42, max_bins: int = 100, shards: int | None = None, **settings) -> Model:
+def fit(df: DataFrame, features: list[str], target: str, kind: str = "regression", chains: int = 1, seed: int = 42, max_bins: int = 100, shards: int = 1, **settings) -> Model:
     """Fits a model; rows with a null feature or target are left out.
 
-    Chains run in parallel, each in one task with all rows.  Above MOST_ROWS rows a chain's rows are dealt to shards
-    whose draws are averaged (consensus Monte Carlo): another approximation of the posterior, so it is announced;
-    `shards` sets their number.
+    Chains run in parallel, each in one task with all rows in its memory, however many there are.  With `shards` above
+    1 a chain's rows are dealt to that many tasks whose draws are averaged (consensus Monte Carlo): another
+    approximation of the posterior, so it has to be asked for.
     """
     if kind not in ("regression", "probit", "logistic"):
         raise ValueError(f"unknown kind {kind!r}")
@@ -336,11 +335,6 @@ def fit(df: DataFrame, features: list[str], target: str, kind: str = "regression
             raise ValueError("wrong number of classes")
         prep.thresholds = quantile_thresholds(known, features, max_bins)
     rows = _prepared(known, prep, kind, words)
-    if shards is None:
-        n = known.count()
-        shards = max(1, math.ceil(n / MOST_ROWS))
-        if shards > 1:
-            warnings.warn(f"{n} rows: each chain is dealt to {shards} shards and their draws are averaged", stacklevel=2)
     return _run(kind, rows, prep, s, chains, seed, shards, words, categories)
 
 
