@@ -1025,19 +1025,12 @@ def rmse_by_draw(spark, sf):
 
 # -- models (random draws: no SQL) -------------------------------------------------------------------------------------------------------
 
-TRAIN_ROWS = 400  # the training sample of the fits below; evaluation is over all rows
-
-
-def _train(spark, sf):
-    """Friedman's function of the features of a bounded sample of events, by their order."""
-    rows = _friedman(spark, sf)
-    return rows.orderBy("row_id").limit(TRAIN_ROWS)
-
-
-def _fit(spark, sf, **options):
+def _fit(spark, sf, rows=None, **options):
+    """Friedman's function of the features of all events, or of `rows` of them."""
     from thicket.plans.model import fit
 
-    return fit(_train(spark, sf), [f"x{k}" for k in range(5)], "y", seed=1, max_bins=20, **({"n_trees": 20, "ndpost": 50, "nskip": 50} | options))
+    rows = _friedman(spark, sf) if rows is None else rows
+    return fit(rows, [f"x{k}" for k in range(5)], "y", seed=1, max_bins=20, **({"n_trees": 20, "ndpost": 50, "nskip": 50} | options))
 
 
 @query()
@@ -1057,8 +1050,7 @@ def mcmc_fit_regression(spark, sf):
 
 
 def _class_rows(spark, sf):
-    rows = _train(spark, sf)
-    return rows.withColumn("label", F.when(F.col("y") > 14, "high").otherwise("low"))
+    return _friedman(spark, sf).withColumn("label", F.when(F.col("y") > 14, "high").otherwise("low"))
 
 
 @query()
@@ -1066,7 +1058,7 @@ def mcmc_fit_probit(spark, sf):
     from thicket.plans.model import fit
 
     model = fit(_class_rows(spark, sf), [f"x{k}" for k in range(5)], "label", "probit", seed=1, max_bins=20, n_trees=20, ndpost=40, nskip=40)
-    made = model.predict(_friedman(spark, sf).withColumn("label", F.when(F.col("y") > 14, "high").otherwise("low")))
+    made = model.predict(_class_rows(spark, sf))
     return made.groupBy("label", "prediction_label").agg(F.count("*").alias("n"))
 
 
@@ -1074,7 +1066,7 @@ def mcmc_fit_probit(spark, sf):
 def mcmc_fit_logistic(spark, sf):
     from thicket.plans.model import fit
 
-    rows = _train(spark, sf).limit(200).withColumn("label", F.when(F.col("y") > 17, "high").when(F.col("y") > 12, "mid").otherwise("low"))
+    rows = _friedman(spark, sf).withColumn("label", F.when(F.col("y") > 17, "high").when(F.col("y") > 12, "mid").otherwise("low"))
     model = fit(rows, [f"x{k}" for k in range(5)], "label", "logistic", seed=1, max_bins=10, n_trees=5, ndpost=20, nskip=30)
     made = model.predict_proba(_friedman(spark, sf))
     return made.agg(F.count("*").alias("n"), *[r(F.avg(F.get("proba", k)), 4).alias(f"p{k}") for k in range(3)])
@@ -1096,14 +1088,15 @@ def multichain_fit(spark, sf):
 @query()
 def rank_rhat_ess(spark, sf):
     model = _fit(spark, sf, chains=4, ndpost=120)
-    return dg.rank_diagnostics(model.value_chains(_friedman(spark, sf).where("row_id < 10"), "row_id"), ["row_id"])
+    return dg.rank_diagnostics(model.value_chains(_friedman(spark, sf), "row_id"), ["row_id"])
 
 
 @query()
 def update_fit(spark, sf):
-    model = _fit(spark, sf)
-    more = _friedman(spark, sf).where(f"row_id >= {TRAIN_ROWS} and row_id < {TRAIN_ROWS + 100}")
-    return model.update(more, 20).trace.groupBy("draw").agg(F.count("*").alias("states"))
+    """The model of four fifths of the rows goes on over the fifth that is appended."""
+    rows = _friedman(spark, sf)
+    model = _fit(spark, sf, rows.where("row_id % 5 <> 0"))
+    return model.update(rows.where("row_id % 5 = 0"), 20).trace.groupBy("draw").agg(F.count("*").alias("states"))
 
 
 @query()
