@@ -96,3 +96,14 @@ def test_queries_are_registered():
     assert "pipeline" in names
     assert {m[1] for m in (re.match(r"(op\d+)_", n) for n in names) if m} == {f"op{k}" for k in range(1, 11)}
     assert set(entry.oracle_sql()) <= names
+
+
+def test_every_byte_of_a_long_word_counts():
+    from thicket.llm.quality import BUCKETS, Features, Scores, row_features, score
+
+    head, features = b"x" * 64, Features()
+    assert len(row_features(head + b"abc" * 100, features)[0]) > len(row_features(head, features)[0])
+    known = Scores(np.random.default_rng(1).normal(size=BUCKETS))
+    assert score(head + b"one tail".replace(b" ", b""), known, 0.0) != score(head + b"another", known, 0.0)
+    at, value = row_features(b"a few short words here", features)
+    assert len(at) > 5 and value[:-1].sum() == pytest.approx(2.0)

@@ -128,12 +128,23 @@ def _hash(x: bytes) -> int:
     return (h ^ (h >> 32)) % BUCKETS
 
 
+#: Longer words count as pieces of so many bytes.
+PIECE = 64
+
+
+def split_words(raw: bytes) -> list[bytes]:
+    """The words of a text, long ones in pieces, so that every byte counts."""
+    words = raw.split()
+    if words and max(map(len, words)) > PIECE:
+        return [w[at : at + PIECE] for w in words for at in range(0, len(w), PIECE)]
+    return words
+
+
 class Features(dict):
     """The hash buckets of a word: of itself and of its shape; filled as words come, cleared when full."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        cut = word[:64]
-        out = (_hash(b"w" + cut), _hash(b"s" + _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", cut)))))
+        out = (_hash(b"w" + word), _hash(b"s" + _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))))
         if len(self) >= 100_000:
             self.clear()
         self[word] = out
@@ -144,8 +155,9 @@ _TWICE, _SHORT = _hash(b"twice"), _hash(b"short")
 
 
 def row_features(raw: bytes, features: Features) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares: words, shapes, and words that repeat the one before."""
-    words = raw.split()
+    """Distinct buckets of a text and their shares: words (or pieces of long ones), shapes, and
+    words that repeat the one before."""
+    words = split_words(raw)
     if not words:
         return np.array([_SHORT], dtype=np.int64), np.array([1.0])
     at = np.array([i for w in words for i in features[w]], dtype=np.int64)
@@ -194,7 +206,7 @@ class Scores(dict):
 
 
 def score(raw: bytes, known: Scores, bias: float) -> float:
-    words = raw.split()
+    words = split_words(raw)
     if not words:
         total = float(known.weights[_SHORT])
     else:
