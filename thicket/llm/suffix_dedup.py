@@ -1,6 +1,7 @@
 """Exact removal of repeated byte strings with a hash-compared suffix sort: prefix polynomial hashes and binary
 search give the common extension of two suffixes, so that a mergesort compares them in logarithmic time; what
-the hashes find equal is compared byte by byte.
+the sort finds equal is compared byte by byte.  Two paths trust hashes instead: runs that are equal throughout
+(64-bit hashes of anchor and run), and the windows of hot anchors (128-bit digests).
 
 A corpus does not fit one sort, so its windows (strings of `length` bytes) are first dealt into groups in which
 all equal windows meet.  The group of a window is its anchor, the `gram` bytes with the smallest hash inside it
