@@ -204,7 +204,11 @@ def test_scenarios(spark, name):
     s = sc.SCENARIOS[name]
     got = df.toPandas()
     assert list(got.columns) == ["row_id", *[f"x{k}" for k in range(s.features)], "y"] and got["y"].notna().all()
-    assert got["x0"].nunique() > 1000
+    assert got["x0"].nunique() == 50 if name == "tied_x" else got["x0"].nunique() > 1000
+    if name == "imbalanced":
+        assert (got["x0"] >= 2).sum() == 120 and got["x0"].max() <= 3 and got["x0"][got["x0"] < 2].max() < 1
+    if name == "spiky":
+        assert (got["y"] == 10).sum() == 120 and (got["row_id"][got["y"] == 10] % 10).nunique() > 5
     if s.kind in ("normal", "factor"):
         assert abs(got["x1"].mean()) < 0.15 and got["x1"].std() == pytest.approx(1, abs=0.12)
 

@@ -13,7 +13,7 @@ FEATURES = [f"x{k}" for k in range(5)]
 
 
 def test_all_arms_of_all_events_are_encoded(spark, sf):
-    name = "encode_all_arms_whole"
+    name = "encode_all_arms"
     got = sorted(tuple(r) for r in entry.queries()[name](spark, sf).collect())
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")

@@ -23,7 +23,7 @@ from thicket.operators import preprocess as pp
 from thicket.operators import sampling as sa
 from thicket.operators import stats as st
 from thicket.sources.files import table
-from thicket.sources.scenarios import SCENARIOS, signal_sql
+from thicket.sources.scenarios import SCENARIOS, signal
 from thicket.streaming import simulate as sm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,14 +202,8 @@ def _all_arms(rows):
     return pp.encode_all_arms(made, "x", 5, 2, "multi").select("t", F.col("arm").cast("long").alias("arm"), *[r(F.get("encoded", k)).alias(f"e{k}") for k in range(10)])
 
 
-@query(f"SELECT t, a AS arm, {_encoded('multi', 10).replace('arm = ', 'a = ')} FROM {LOG}, (SELECT unnest(range(5)) AS a) arms WHERE t % 10 = 0")
-def encode_all_arms(spark, sf):
-    """A tenth of the events, as its SQL has it; encode_all_arms_whole takes all."""
-    return _all_arms(log(spark, sf).where("t % 10 = 0"))
-
-
 @query(f"SELECT t, a AS arm, {_encoded('multi', 10).replace('arm = ', 'a = ')} FROM {LOG}, (SELECT unnest(range(5)) AS a) arms")
-def encode_all_arms_whole(spark, sf):
+def encode_all_arms(spark, sf):
     return _all_arms(log(spark, sf))
 
 
@@ -644,30 +638,82 @@ def move_acceptance_rollup(spark, sf):
 # -- scenarios -----------------------------------------------------------------------------------------------------------------------
 
 
+# The SQL is written out here, apart from the library's expressions, over lists of features.
+
+_UNIT = "(CAST(((((event_id % 1000003) * (7919 + 104 * (2 * j + 1)) + 104729 + 15485 * (j + 1) + 31 * 42) % 999983) * 48271 + 37 * j + 42) % 1000033 AS DOUBLE) + 0.5) / 1000033"
+_GAUSS = f"list_transform(range(0, {{p}}), lambda k: sqrt(-2 * ln({_UNIT.replace('j', '(2 * k)')})) * cos(2 * pi() * {_UNIT.replace('j', '(2 * k + 1)')}))"
+_SHARED = f"sqrt(-2 * ln({_UNIT.replace('j', '1994')})) * cos(2 * pi() * {_UNIT.replace('j', '1995')})"
+
+
+def _uniforms(p: int, low: str = "0", width: str = "1") -> str:
+    return f"list_transform(range(0, {p}), lambda j: {low} + {width} * ({_UNIT}))"
+
+
+_DOT = "list_sum(list_transform(range(1, 6), lambda j: x[j] * (1 + ((j - 1) * 37 % 41) / CAST(10.25 AS DOUBLE))))"
+_TOTAL = "(x[1] + x[2] + x[3] + x[4] + x[5])"
+_NEAR = "CASE WHEN list_sum(list_transform(x, lambda v: power(v - 0.5, 2))) < CAST(0.09 AS DOUBLE) THEN 2 ELSE 8 END"
+_RISE = "(4 / ((1 + exp(6 - 12 * x[1])) * (1 + exp(6 - 12 * x[2]))))"
+_FRIED = "list_transform(range(0, 4), lambda j: [0, 40 * pi(), 0, 1][j + 1] + [100, 520 * pi(), 1, 10][j + 1] * (" + _UNIT + "))"
+_IMPEDANCE = "(x[2] * x[3] - 1 / (x[2] * x[4]))"
+_FACTOR = f"list_transform({_GAUSS}, lambda z: sqrt(CAST(0.99 AS DOUBLE)) * z + 0.1 * {_SHARED})"
+_KUNZEL = "list_sum(list_transform(range(0, 10), lambda k: x[k + 1] * round(-15 + 30 * CAST(((k + 1) * 7919 * {seed} + 31 * k * k) % 1009 AS DOUBLE) / 1009, 6)))"
+
+#: Features as a list x of the event's id, and the target from it.
+SCENARIO_SQL = {
+    "linear": (_uniforms(5), _DOT),
+    "sparse_linear": (_uniforms(5), "x[2] + x[1]"),
+    "piecewise_flat": (_uniforms(5), f"0.5 * (CASE WHEN {_TOTAL} >= 0.7 THEN 1 ELSE 0 END - CASE WHEN {_TOTAL} < 0.3 THEN 1 ELSE 0 END)"),
+    "heteroscedastic": (_uniforms(5), _DOT),
+    "nonoverlapping": (_uniforms(5), _NEAR),
+    "overlapping": (_uniforms(5), _NEAR),
+    "spiky": (_uniforms(5), f"CASE WHEN event_id % 10 = floor(10 * ({_UNIT.replace('event_id', '(event_id // 10 * 10)').replace('j', '1999')})) THEN 10 ELSE 0 END"),
+    "smooth": (_uniforms(5), f"exp(-20 * power({_DOT} - 2, 2))"),
+    "cyclic": (_uniforms(5, "0", "10"), f"sin({_DOT})"),
+    "distribution_shift_train": (_uniforms(5, "0", "0.5"), _DOT),
+    "distribution_shift_test": (_uniforms(5, "0.5", "0.5"), _DOT),
+    "multimodal": (_uniforms(5), _NEAR),
+    "imbalanced": (_uniforms(5, "CASE WHEN event_id % 10 = 9 THEN 2 ELSE 0 END"), _DOT),
+    "piecewise_linear": (_uniforms(5), f"CASE WHEN {_TOTAL} >= 0.7 THEN 3 - {_TOTAL} WHEN {_TOTAL} >= 0.3 THEN 1 + 3 * {_TOTAL} ELSE 2 * {_TOTAL} END"),
+    "tied_x": (f"list_transform({_uniforms(5)}, lambda v: CAST(trunc(v * 50) AS DOUBLE) / 50)", _DOT),
+    "tied_y": (_uniforms(5), f"round_even({_DOT}, 1)"),
+    "friedman1": (_uniforms(5), "10 * sin(pi() * x[1] * x[2]) + 20 * power(x[3] - 0.5, 2) + 10 * x[4] + 5 * x[5]"),
+    "friedman2": (_FRIED, f"sqrt(power(x[1], 2) + power({_IMPEDANCE}, 2))"),
+    "friedman3": (_FRIED, f"atan2({_IMPEDANCE}, x[1])"),
+    "linear_additive": (_GAUSS.replace("{p}", "10"), "0.2 * x[1] - x[2] + 0.6 * x[3] - 0.9 * x[4] + 0.85 * x[5]"),
+    "smooth_additive": (_GAUSS.replace("{p}", "10"), "0.2 * power(x[1], 2) - x[2] + 0.6 * cos(x[3]) - 0.9 * sqrt(abs(x[4])) + 0.85 * sin(x[5])"),
+    "dgp_1": (_GAUSS.replace("{p}", "3"), "if(x[1] > 0.1, if(x[2] > 0.7, 12, 9), if(x[3] > -0.2, 3, 6))"),
+    "dgp_2": (_GAUSS.replace("{p}", "7"), "if(x[1] > 0.1, if(x[2] > 0.7, if(x[4] > 0.1, 12, 9), if(x[5] > 0.1, 3, 4)), if(x[3] > -0.2, if(x[6] > 0.2, 3, 4), if(x[7] > 0.15, 2, 1)))"),
+    "low_lei_candes": (_FACTOR.replace("{p}", "10"), _RISE),
+    "high_lei_candes": (_FACTOR.replace("{p}", "100"), _RISE),
+    "lss": (_FACTOR.replace("{p}", "10"), "2 * (x[1] < 0 AND x[3] > 0)::INT - 3 * (x[5] > 0 AND x[6] > 1)::INT + 0.8 * (x[3] < 1.5 AND x[5] < 1)::INT"),
+    "piecewise_linear_kunzel": (_FACTOR.replace("{p}", "10"), f"if(x[10] > 4, {_KUNZEL.replace('{seed}', '1')}, if(x[10] < -4, {_KUNZEL.replace('{seed}', '2')}, {_KUNZEL.replace('{seed}', '3')}))"),
+    "sum": (f"list_transform(list_zip(range(0, 20), {_GAUSS.replace('{p}', '20')}), lambda z: if(z[1] < 10, z[2], sqrt(CAST(0.9999 AS DOUBLE)) * z[2] + 0.01 * ({_GAUSS.replace('{p}', '20').replace('lambda k', 'lambda q').replace('* k', '* q')})[z[1] - 9]))", "list_sum(x)"),
+    "tree": (_uniforms(10), "if(x[1] > 0.4, if(x[4] > 0.2, if(x[5] > 0.8, 0.6, 0.4), 0.9), if(x[2] > 0.6, 0.3, if(x[3] > 0.5, 0.7, 0.1)))"),
+}
+
+
 def _scenario(name: str):
-    s = SCENARIOS[name]
-    shown = ", ".join(f"round(x{k}, 5) + 0.0 AS x{k}" for k in range(min(3, s.features)))
-    body = signal_sql(name, "{rows}", "{row}")
-    outer = f"SELECT row_id, {shown}, round(y, 4) + 0.0 AS y FROM ({body}) s"
-    spark_sql = lambda rows, row: outer.replace("{rows}", rows).replace("{row}", row)
+    shown = min(3, SCENARIOS[name].features)
+    xs_sql, y_sql = SCENARIO_SQL[name]
+    cols = ", ".join(f"round(CAST(x[{k + 1}] AS DOUBLE), 5) + 0.0 AS x{k}" for k in range(shown))
+    sql = f"SELECT event_id AS row_id, {cols}, round(CAST({y_sql} AS DOUBLE), 4) + 0.0 AS y FROM (SELECT event_id, {xs_sql} AS x FROM events)"
 
     def run(spark, sf):
-        table(spark, sf, "events").select("event_id").createOrReplaceTempView("__events_rows")
-        return spark.sql(spark_sql("__events_rows", "event_id"))
+        made = signal(table(spark, sf, "events"), name, row="event_id")
+        return made.select("row_id", *[r(f"x{k}", 5).alias(f"x{k}") for k in range(shown)], r("y", 4).alias("y"))
 
-    query(spark_sql("events", "event_id"), f"scenario_{name}")(run)
+    query(sql, f"scenario_{name}")(run)
 
 
 for _name in SCENARIOS:
     _scenario(_name)
 
 
-_F1 = signal_sql("friedman1", "events", "event_id")
+_F1 = f"SELECT {SCENARIO_SQL['friedman1'][1]} AS y FROM (SELECT {SCENARIO_SQL['friedman1'][0]} AS x FROM events)"
 
 
 def _friedman(spark, sf):
-    table(spark, sf, "events").select("event_id").createOrReplaceTempView("__events_rows")
-    return spark.sql(signal_sql("friedman1", "__events_rows", "event_id"))
+    return signal(table(spark, sf, "events"), "friedman1", row="event_id")
 
 
 @query(f"SELECT round(var_pop(y), 4) + 0.0 AS variance FROM ({_F1})")

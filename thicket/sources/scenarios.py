@@ -33,8 +33,9 @@ class Scenario:
     ranges: dict[int, tuple[float, float]] = field(default_factory=dict)
     low: float = 0.0
     high: float = 1.0
-    noise: str | None = None
+    noise: str | None = None  # {noise} is the asked deviation
     fixed: bool = False  # whether the number of features is fixed
+    shape: str | None = None  # what becomes of a drawn feature {x} of row {row}
 
     def feature_sql(self, row: str, k: int, seed: int) -> str:
         if self.kind == "normal":
@@ -44,7 +45,8 @@ class Scenario:
         if self.kind == "paired":  # feature i shares covariance 0.01 with feature i - 10
             return normal_sql(row, k, seed) if k < 10 else f"0.01 * {normal_sql(row, k - 10, seed)} + sqrt(1 - 0.0001) * {normal_sql(row, k, seed)}"
         a, b = self.ranges.get(k, (self.low, self.high))
-        return f"{a!r} + {b - a!r} * ({uniform_sql(row, k, seed)})"
+        x = f"{a!r} + {b - a!r} * ({uniform_sql(row, k, seed)})"
+        return self.shape.format(x=x, row=row) if self.shape else x
 
 
 def _sum(p: int, weight=lambda k: None, term="x{k}") -> str:
@@ -59,6 +61,12 @@ def _linear(p: int) -> str:
     return _sum(p, _weight)
 
 
+def _half_even(z: str) -> str:
+    """The nearest whole number, of two the even one."""
+    up = f"floor({z} + 0.5)"
+    return f"({up} - CASE WHEN {up} = {z} + 0.5 AND CAST({up} AS BIGINT) % 2 <> 0 THEN 1.0 ELSE 0.0 END)"
+
+
 #: Weights of the additive scenarios.
 ADDITIVE = (0.2, -1.0, 0.6, -0.9, 0.85, 0.0, 0.0, 0.0, 0.0, 0.0)
 _P = 5
@@ -82,17 +90,17 @@ SCENARIOS: dict[str, Scenario] = {
     "piecewise_flat": Scenario(_P, f"CASE WHEN {_S} < 0.3 THEN -0.5 WHEN {_S} < 0.7 THEN 0.0 ELSE 0.5 END"),
     "heteroscedastic": Scenario(_P, _linear(_P), noise=f"sqrt({' + '.join(f'x{k} * x{k}' for k in range(_P))})"),
     "nonoverlapping": Scenario(_P, f"CASE WHEN {_FAR} < 0.3 THEN 2.0 ELSE 8.0 END"),
-    "overlapping": Scenario(_P, f"CASE WHEN {_FAR} < 0.3 THEN 2.0 ELSE 8.0 END", noise="0.3"),
-    "spiky": Scenario(_P, "CASE WHEN row_id % 10 = 3 THEN 10.0 ELSE 0.0 END"),
+    "overlapping": Scenario(_P, f"CASE WHEN {_FAR} < 0.3 THEN 2.0 ELSE 8.0 END", noise="3.0 * {noise}"),
+    "spiky": Scenario(_P, f"CASE WHEN row_id % 10 = CAST(floor(10.0 * ({uniform_sql('(row_id - row_id % 10)', 1999, 42)})) AS BIGINT) THEN 10.0 ELSE 0.0 END"),
     "smooth": Scenario(_P, f"exp(-({_linear(_P)} - 2.0) * ({_linear(_P)} - 2.0) / 0.05)"),
     "cyclic": Scenario(_P, f"sin({_linear(_P)})", high=10.0),
     "distribution_shift_train": Scenario(_P, _linear(_P), high=0.5),
     "distribution_shift_test": Scenario(_P, _linear(_P), low=0.5),
     "multimodal": Scenario(_P, f"CASE WHEN {_FAR} < 0.3 THEN 2.0 ELSE 8.0 END", noise="0.1"),
-    "imbalanced": Scenario(_P, f"{_linear(_P)} + CASE WHEN row_id % 10 = 9 THEN {sum(float(_weight(k)) * 2 for k in range(_P))!r} ELSE 0.0 END"),
+    "imbalanced": Scenario(_P, _linear(_P), shape="{x} + CASE WHEN ({row}) % 10 = 9 THEN 2.0 ELSE 0.0 END"),
     "piecewise_linear": Scenario(_P, f"CASE WHEN {_S} < 0.3 THEN 2.0 * ({_S}) WHEN {_S} < 0.7 THEN 3.0 * ({_S}) + 1.0 ELSE 3.0 - ({_S}) END"),
-    "tied_x": Scenario(_P, _sum(_P, _weight, "floor(x{k} * 50.0) / 50.0")),
-    "tied_y": Scenario(_P, f"floor(({_linear(_P)}) * 10.0 + 0.5) / 10.0"),
+    "tied_x": Scenario(_P, _linear(_P), shape="floor(({x}) * 50.0) / 50.0"),
+    "tied_y": Scenario(_P, f"{_half_even(f'({_linear(_P)}) * 10.0')} / 10.0"),
     "friedman1": Scenario(_P, f"10.0 * sin({math.pi!r} * x0 * x1) + 20.0 * (x2 - 0.5) * (x2 - 0.5) + 10.0 * x3 + 5.0 * x4"),
     "friedman2": Scenario(4, "sqrt(x0 * x0 + (x1 * x2 - 1.0 / (x1 * x3)) * (x1 * x2 - 1.0 / (x1 * x3)))", ranges={0: (0.0, 100.0), 1: (40 * math.pi, 560 * math.pi), 2: (0.0, 1.0), 3: (1.0, 11.0)}),
     "friedman3": Scenario(4, "atan((x1 * x2 - 1.0 / (x1 * x3)) / x0)", ranges={0: (0.0, 100.0), 1: (40 * math.pi, 560 * math.pi), 2: (0.0, 1.0), 3: (1.0, 11.0)}),
@@ -120,11 +128,12 @@ def names() -> list[str]:
     return sorted(SCENARIOS)
 
 
-def signal_sql(name: str, rows: str, row: str = "row_id", seed: int = 42) -> str:
-    """A query for row_id, the features and the noiseless target y, over a relation with the row id."""
+def signal(rows: DataFrame, name: str, seed: int = 42, row: str = "row_id") -> DataFrame:
+    """row_id, the features and the noiseless target y, for the rows of a table with the row id."""
     s = SCENARIOS[name]
-    feats = ", ".join(f"{s.feature_sql(row, k, seed)} AS x{k}" for k in range(s.features))
-    return f"SELECT row_id, {', '.join(f'x{k}' for k in range(s.features))}, CAST({s.signal} AS DOUBLE) AS y FROM (SELECT {row} AS row_id, {feats} FROM {rows}) t"
+    ids = rows.select(F.col(row).alias("row_id"))
+    made = ids.select("row_id", *(F.expr(s.feature_sql("row_id", k, seed)).alias(f"x{k}") for k in range(s.features)))
+    return made.withColumn("y", F.expr(s.signal).cast("double"))
 
 
 def noise_sd(df: DataFrame, noise: float = 0.1, snr: float | None = None, y: str = "y") -> float:
@@ -146,13 +155,12 @@ def generate(spark: SparkSession, name: str, rows: int = 100, noise: float = 0.1
     s = SCENARIOS[name]
     if features is not None and (s.fixed and features != s.features or features < s.features):
         raise ValueError(f"{name} has {s.features} features")
-    spark.range(rows).withColumnRenamed("id", "row_id").createOrReplaceTempView("__scenario_rows")
-    df = spark.sql(signal_sql(name, "__scenario_rows", seed=seed))
+    df = signal(spark.range(rows).withColumnRenamed("id", "row_id"), name, seed)
     for k in range(s.features, features or 0):
         df = df.withColumn(f"x{k}", F.expr(s.feature_sql("row_id", k, seed)))
     z = F.expr(normal_sql("row_id", 1499, seed))
     if s.noise is not None:
-        return df.withColumn("y", F.col("y") + F.expr(s.noise) * z)
+        return df.withColumn("y", F.col("y") + F.expr(s.noise.format(noise=repr(noise))) * z)
     return df.withColumn("y", F.col("y") + F.lit(noise_sd(df, noise, snr)) * z)
 
 
