@@ -63,7 +63,7 @@ def test_edits_and_interchange():
             bad()
     assert fo.from_json(fo.to_json([grown, OTHER])) == [grown, OTHER]
     assert fo.from_heap(*fo.heap(grown)) == grown
-    assert fo.to_text(TREE, {0: 3, 1: 2, 2: 1, 3: 1, 4: 1}).splitlines()[0] == "X_0 <= 0.5 (split, n=3)"
+    assert fo.to_text(TREE, {0: 3, 1: 2, 2: 1, 3: 1, 4: 1}).splitlines()[0] == "#0 x0 <= 0.5 [3 rows]"
     assert fo.to_dot(TREE).count("->") == 4
 
 

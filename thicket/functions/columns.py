@@ -60,24 +60,29 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
-#: Schedules of model refreshes: index(t) for each name; a refresh is due when the index grows.
-SCHEDULES = ("log", "sqrt", "hybrid", "rev_hybrid")
+#: Fixed values.  Schedules of model refreshes: for t up to a bound, ceil(shift + a ln t + b sqrt t) as (bound, a, b, shift).
+REFRESH: dict[str, list[tuple[int | None, float, float, float]]] = {
+    "log": [(None, 8.0, 0.0, 0.0)],
+    "sqrt": [(None, 0.0, 0.57, 0.0)],
+    "hybrid": [(100, 0.0, 1.848, 0.0), (None, 9.240, 0.0, -24.072)],
+    "rev_hybrid": [(200, 3.620, 0.0, 0.0), (None, 0.0, 0.512, 11.940)],
+}
+SCHEDULES = tuple(REFRESH)
 
 
 def refresh_index(t: Column, schedule: str) -> Column:
-    t = t.cast("double")
-    log, root = F.ln(t), F.sqrt(t)
-    rules = {
-        "log": lambda: F.ceil(8.0 * log),
-        "sqrt": lambda: F.ceil(0.57 * root),
-        "hybrid": lambda: F.when(t <= 100, F.ceil(1.848 * root)).otherwise(F.ceil(9.240 * log - 24.072)),
-        "rev_hybrid": lambda: F.when(t <= 200, F.ceil(3.620 * log)).otherwise(F.ceil(0.512 * root + 11.940)),
-    }
-    if schedule not in rules:
+    """A refresh is due when the index grows."""
+    if schedule not in REFRESH:
         raise ValueError(f"unknown refresh schedule {schedule!r}")
-    return rules[schedule]().cast("long")
+    t, out = t.cast("double"), None
+    for upto, by_log, by_root, shift in reversed(REFRESH[schedule]):
+        terms = [w * f(t) for w, f in ((by_log, F.ln), (by_root, F.sqrt)) if w]
+        value = F.ceil(sum(terms, F.lit(shift)))
+        out = value if upto is None else F.when(t <= upto, value).otherwise(out)
+    return out.cast("long")
 
 
+#: The same in SQL, written out.
 REFRESH_SQL = {
     "log": "ceil(8.0 * ln({t}))",
     "sqrt": "ceil(0.57 * sqrt({t}))",

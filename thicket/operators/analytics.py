@@ -29,6 +29,25 @@ def final_summary(sim: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return sim.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
 
 
+def curve_band(sim: DataFrame, value: str, keys: list[str], step: str = "draw", widths: float = 1.0) -> DataFrame:
+    """(keys, step, n, mean, low, high): the pointwise mean over simulations and a band of so many deviations."""
+    by = sim.groupBy(*keys, step).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("__sd"))
+    return by.select(*keys, step, "n", "mean", (F.col("mean") - widths * F.col("__sd")).alias("low"), (F.col("mean") + widths * F.col("__sd")).alias("high"))
+
+
+def complexity(sim: DataFrame, value: str, keys: list[str], step: str = "draw") -> DataFrame:
+    """How the mean curve of each key grows: both fits, their AIC and the better one, as `growth_fits` gives them."""
+    return growth_fits(curve_band(sim, value, keys, step), step, "mean", keys)
+
+
+def merged_counts(left: DataFrame, right: DataFrame, key: str, counts: list[str]) -> DataFrame:
+    """Sums of both tables over the union of their keys; a key that one of them lacks counts 0 there."""
+    other = right.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in counts])
+    joined = left.join(other, F.col(key) == F.col("__key"), "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return joined.select(F.coalesce(key, "__key").alias(key), *[(zero(c) + zero(f"__{c}")).alias(c) for c in counts])
+
+
 def final_pivot(sim: DataFrame, value: str, rows: str, columns: str, names: list[str]) -> DataFrame:
     return sim.groupBy(rows).pivot(columns, names).agg(F.avg(value))
 

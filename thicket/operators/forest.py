@@ -318,17 +318,16 @@ def from_boosted(dump: list[dict | str]) -> list[Tree]:
 
 
 def to_text(tree: Tree, counts: dict[int, int] | None = None) -> str:
-    """An indented listing in preorder."""
-    lines = []
-
-    def down(i: int, level: int) -> None:
-        n, note = tree[i], f", n={counts[i]}" if counts else ""
-        lines.append("  " * level + (f"Val {n.leaf:.6g} (leaf{note})" if n.var == LEAF else f"X_{n.var} <= {n.thr:.6g} (split{note})"))
+    """A line for each node in preorder, children further in: `#node x<var> <= <threshold>` or `#node = <value>`, then
+    the number of rows, if known."""
+    lines, todo = [], [(0, 0)]
+    while todo:
+        i, level = todo.pop()
+        n = tree[i]
+        rule = f"= {n.leaf:.6g}" if n.var == LEAF else f"x{n.var} <= {n.thr:.6g}"
+        lines.append(f"{'| ' * level}#{i} {rule}{f' [{counts[i]} rows]' if counts else ''}")
         if n.var != LEAF:
-            down(2 * i + 1, level + 1)
-            down(2 * i + 2, level + 1)
-
-    down(0, 0)
+            todo += [(2 * i + 2, level + 1), (2 * i + 1, level + 1)]
     return "\n".join(lines)
 
 

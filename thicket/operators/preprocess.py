@@ -2,26 +2,75 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.sources.files import stored
+
+
+#: Distinct values of a feature that one task counts; the counts of more are dealt by range.
+DISTINCT_AT_ONCE = 200_000
+
 
 def quantile_thresholds(df: DataFrame, features: list[str], max_bins: int = 100, exact: bool = True) -> list[list[float]]:
     """Distinct linear quantiles of each feature at k / max_bins for k < max_bins: the least value is among them, the
-    largest is not.  The exact form keeps a count for each distinct value; approximate ones are an explicit choice."""
-    at = F.array(*[F.lit(k / max_bins) for k in range(max_bins)])
-    of = (lambda c: F.percentile(c, at)) if exact else (lambda c: F.percentile_approx(c, at, 10_000))
+    largest is not.
+
+    The exact form counts distinct values: within one aggregation while they are few, by ranges of values beyond, with
+    the same result.  Approximate quantiles are an explicit choice."""
+    at = [k / max_bins for k in range(max_bins)]
+    if exact:
+        guess = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(features)]).first()
+        if max((guess[i] or 0 for i in range(len(features))), default=0) > DISTINCT_AT_ONCE:
+            return _ranged_quantiles(df, features, at)
+    places = F.array(*map(F.lit, at))
+    of = (lambda c: F.percentile(c, places)) if exact else (lambda c: F.percentile_approx(c, places, 10_000))
     row = df.agg(*[F.array_sort(F.array_distinct(of(F.col(c).cast("double")))).alias(f"q{i}") for i, c in enumerate(features)]).first()
     if row is None or any(row[i] is None for i in range(len(features))):
         raise ValueError("thresholds need at least one row")
     return [list(row[i]) for i in range(len(features))]
 
 
+def _ranged_quantiles(df: DataFrame, features: list[str], at: list[float]) -> list[list[float]]:
+    """Values are counted, dealt by range and saved; sums of the counts before each range give every value its ranks."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features)]))
+    counts = df.select(each.alias("e")).select("e.f", "e.v").where("v is not null").groupBy("f", "v").count()
+    dealt = stored(counts.repartitionByRange("f", "v").sortWithinPartitions("f", "v").withColumn("p", F.spark_partition_id()), "counts")
+    whole = dealt.groupBy("f", "p").agg(F.sum("count").alias("n"))
+    before = Window.partitionBy("f").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select(F.col("f").alias("g"), F.col("p").alias("q"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    total = {r["f"]: r["n"] for r in whole.groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    if len(total) < len(features):
+        raise ValueError("thresholds need at least one row")
+    inside = Window.partitionBy("f", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.join(starts, (F.col("f") == F.col("g")) & (F.col("p") == F.col("q"))).withColumn("first", F.col("start") + F.coalesce(F.sum("count").over(inside), F.lit(0)))
+    ranks = [sorted({r for p in at for r in (math.floor((total[i] - 1) * p), math.ceil((total[i] - 1) * p))}) for i in range(len(features))]
+    wanted = F.element_at(F.array(*[F.array(*[F.lit(r).cast("long") for r in own]) for own in ranks]), F.col("f") + 1)
+    hit = ranked.withColumn("hits", F.filter(wanted, lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("count")))).where(F.size("hits") > 0)
+    value = {(r["f"], k): r["v"] for r in hit.select("f", "v", "hits").collect() for k in r["hits"]}
+    out = []
+    for i in range(len(features)):
+        found = set()
+        for p in at:
+            place = (total[i] - 1) * p
+            low, high = value[(i, math.floor(place))], value[(i, math.ceil(place))]
+            found.add(low + (place - math.floor(place)) * (high - low))
+        out.append(sorted(found))
+    return out
+
+
+def unique_values(df: DataFrame, feature: str) -> DataFrame:
+    """(feature, threshold): all distinct values, a row each."""
+    return df.select(F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("threshold")).where("threshold is not null").distinct()
+
+
 def unique_thresholds(df: DataFrame, feature: str) -> DataFrame:
-    """(feature, thresholds): all distinct values in order."""
-    return df.agg(F.array_sort(F.collect_set(F.col(feature).cast("double"))).alias("thresholds")).select(F.lit(feature).alias("feature"), "thresholds")
+    """(feature, thresholds): all distinct values in order, as one array; `unique_values` for those that one row can't
+    hold."""
+    return unique_values(df, feature).groupBy("feature").agg(F.array_sort(F.collect_list("threshold")).alias("thresholds"))
 
 
 def minmax(y: Column, low: Column, high: Column) -> Column:

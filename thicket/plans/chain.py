@@ -149,6 +149,18 @@ class Settings:
     temperature: float | Callable[[int], float] = 1.0
     redraw_always: bool = False
     mixture_draw: bool = False
+    proposals: dict[str, Callable] = field(default_factory=dict)  # moves of one's own: f(proposer, tree) -> (tree, log ratio) or None
+    contrary: dict[str, str] = field(default_factory=dict)  # the moves that undo them, if not themselves
+    prior: Callable | None = None  # log prior of a tree: f(tree, settings)
+    likelihood: Callable | None = None  # f(settings) -> what has log_marginal and draw
+
+    def plain(self) -> dict:
+        """The settings that are values, as text can hold them."""
+        own = {k: v for k, v in vars(self).items() if k not in ("proposals", "contrary", "prior", "likelihood")}
+        return own | {"temperature": self.heat(0), "moves": dict(self.moves)}
+
+    def log_prior(self, tree: Tree) -> float:
+        return log_prior(tree, self) if self.prior is None else self.prior(tree, self)
 
     def __post_init__(self) -> None:
         if self.quick_decay and not 0 < self.tree_alpha < 0.5:
@@ -271,6 +283,8 @@ class Proposer:
 
     def propose(self, tree: Tree, name: str) -> tuple[Tree, float] | None:
         pick = lambda options: options[self.rng.integers(len(options))]
+        if name in self.s.proposals:
+            return self.s.proposals[name](self, tree)
         if name == "grow":
             options = list(tree.leaves)
             for _ in range(self.s.tries):
@@ -299,7 +313,7 @@ class Proposer:
         return None
 
     def ratio(self, name: str) -> float:
-        back = self.s.moves.get(CONTRARY[name], 0.0)
+        back = self.s.moves.get(self.s.contrary.get(name) or CONTRARY.get(name, name), 0.0)
         return math.log(back) - math.log(self.s.moves[name]) if back > 0 else -math.inf
 
     def step(self, tree: Tree, temperature: float, marginal: Callable[[np.ndarray], float]) -> tuple[Tree, bool]:
@@ -311,8 +325,8 @@ class Proposer:
             return tree, False
         self.counts[name][1] += 1
         new, transition = made
-        now = log_prior(tree, self.s)
-        prior = math.inf if now == -math.inf else log_prior(new, self.s) - now
+        now = self.s.log_prior(tree)
+        prior = math.inf if now == -math.inf else self.s.log_prior(new) - now
         ratio = (prior + marginal(new.at) - marginal(tree.at)) / temperature + transition + self.ratio(name)
         if math.log(max(self.rng.random(), 1e-300)) < ratio:
             self.counts[name][2] += 1
@@ -338,7 +352,7 @@ class RegressionChain:
         self.x, self.y, self.s, self.probit = x, np.asarray(y, dtype=float), s, probit
         self.rng = np.random.default_rng(seed)
         self.proposer = Proposer(x, thresholds, s, self.rng)
-        self.likelihood = Gaussian(s)
+        self.likelihood = Gaussian(s) if s.likelihood is None else s.likelihood(s)
         if probit:
             self.likelihood.f_sigma2 = (3.0 / (s.f_k * math.sqrt(s.n_trees))) ** 2
             self.lam = 0.0
@@ -359,6 +373,19 @@ class RegressionChain:
         n, p = self.x.shape
         return {"sigma2": self.sigma2(None), "s": np.full(p, 1 / p) if self.s.dirichlet else None, "trees": trees or [Tree.stump(n) for _ in range(self.s.n_trees)]}
 
+    def warm(self, trees: list[Tree]) -> State:
+        """A state with the given trees: each tree's leaves are redrawn given the others, then the noise.  Leaves that
+        no row reaches keep their values."""
+        state = self.start(list(trees))
+        trees, parts = state["trees"], [t.values() for t in state["trees"]]
+        total = np.sum(parts, axis=0)
+        for k, tree in enumerate(trees):
+            drawn = self.likelihood.draw(self.rng, tree.at, self.y - (total - parts[k]), state["sigma2"])
+            trees[k] = Tree(tree.rules, tree.leaves | drawn, tree.at)
+            fresh = trees[k].values()
+            total, parts[k] = total + fresh - parts[k], fresh
+        return state | {"sigma2": self.sigma2(self.y - total)}
+
     def sweep(self, state: State, iteration: int) -> State:
         trees, sigma2, heat = list(state["trees"]), state["sigma2"], self.s.heat(iteration)
         self.proposer.columns = None if state["s"] is None else np.cumsum(state["s"])
@@ -372,7 +399,7 @@ class RegressionChain:
             resid = target - (total - parts[k])
             new, moved = self.proposer.step(tree, heat, lambda at: self.likelihood.log_marginal(at, resid, sigma2))  # noqa: B023
             if moved or self.s.redraw_always:
-                new = Tree(new.rules, self.likelihood.draw(self.rng, new.at, resid, sigma2), new.at)
+                new = Tree(new.rules, new.leaves | self.likelihood.draw(self.rng, new.at, resid, sigma2), new.at)
                 fresh = new.values()
                 total += fresh - parts[k]
                 trees[k], parts[k] = new, fresh
@@ -407,7 +434,7 @@ class LogisticChain(RegressionChain):
         self.x, self.y, self.s, self.categories, self.probit = x, np.asarray(y, dtype=np.int64), s, categories, False
         self.rng = np.random.default_rng(seed)
         self.proposer = Proposer(x, thresholds, s, self.rng)
-        self.likelihood = Logistic(s)
+        self.likelihood = Logistic(s) if s.likelihood is None else s.likelihood(s)
 
     def start(self, trees=None) -> State:
         n = len(self.x)
@@ -424,7 +451,7 @@ class LogisticChain(RegressionChain):
                 rate = phi * np.exp(total[c] - parts[c][k])
                 new, moved = self.proposer.step(tree, heat, lambda at: self.likelihood.log_marginal(at, match, rate))  # noqa: B023
                 if moved or self.s.redraw_always:
-                    new = Tree(new.rules, self.likelihood.draw(self.rng, new.at, match, rate), new.at)
+                    new = Tree(new.rules, new.leaves | self.likelihood.draw(self.rng, new.at, match, rate), new.at)
                     fresh = new.values()
                     total[c] = total[c] + fresh - parts[c][k]
                     forest[k], parts[c][k] = new, fresh

@@ -17,6 +17,7 @@ from thicket.operators import forest as fo
 from thicket.operators import posterior as po
 from thicket.operators.preprocess import Preprocessor, decode_labels, encode_labels, vocabulary
 from thicket.plans.chain import LogisticChain, RegressionChain, Settings, Tree
+from thicket.sources.files import stored
 
 NODE = "struct<node:int,var:int,thr:double,leaf:double>"
 TRACE = f"chain int, shard int, draw int, category int, sigma2 double, s array<double>, trees array<array<{NODE}>>"
@@ -81,8 +82,7 @@ class Model:
         return self.trace.where("chain = 0 and shard = 0 and category = 0").count()
 
     def params(self) -> dict:
-        out = asdict(replace(self.settings, temperature=self.settings.heat(0)))
-        return out | {"kind": self.kind, "chains": self.chains, "seed": self.seed, "max_bins": self.prep.max_bins}
+        return self.settings.plain() | {"kind": self.kind, "chains": self.chains, "seed": self.seed, "max_bins": self.prep.max_bins}
 
     def nodes(self) -> DataFrame:
         """(chain, shard, draw, category, tree, node, var, thr, leaf)."""
@@ -188,6 +188,31 @@ class Model:
         w = np.array([schedule(k) for k in range(len(self._keys()))], dtype=float)
         return int(np.random.default_rng(seed).choice(len(w), p=w / w.sum()))
 
+    def posterior_sample(self, df: DataFrame, schedule: Callable[[int], float], seed: int, out: str = "f") -> DataFrame:
+        """f of one posterior draw, chosen with weights schedule(k); logistic models give class probabilities."""
+        return self.predict_trace(df, self.sample(schedule, seed), out)
+
+    # -- control ------------------------------------------------------------------------------------------------
+
+    @property
+    def is_fitted(self) -> bool:
+        return not self.trace.isEmpty()
+
+    def range_post(self) -> range:
+        """The posterior draws among the trace's: the last ndpost."""
+        n = len({(c, d) for c, _, d, _ in self.forests()})
+        if n < self.settings.ndpost:
+            raise ValueError("fewer draws than asked for")
+        return range(n - self.settings.ndpost, n)
+
+    def set_ndpost(self, n: int) -> Model:
+        """The model with n draws from now on, in what it predicts and in later updates."""
+        return replace(self, settings=replace(self.settings, ndpost=n))
+
+    def set_max_bins(self, n: int) -> Model:
+        """The model with n bins in later fits; the thresholds of its rows stay."""
+        return replace(self, prep=replace(self.prep, max_bins=n))
+
     # -- importance and diagnostics ---------------------------------------------------------------------------
 
     def histogram(self) -> DataFrame:
@@ -229,7 +254,7 @@ class Model:
         """The chains go on from their last states over the old rows and the new.  Thresholds and the target's range
         stay; the draws are replaced."""
         if self.rows is None:
-            raise ValueError("a loaded model has no rows to go on from")
+            raise ValueError("a model without its rows can't go on")
         old, s = self.rows, self.settings
         rows = old.unionByName(_prepared(more, self.prep, self.kind, self.words).select(*old.columns))
         last = {(r["chain"], r["shard"], r["category"]): r for r in self.trace.where(F.col("draw") == self.trace.agg(F.max("draw")).first()[0]).collect()}
@@ -237,9 +262,12 @@ class Model:
 
     # -- files --------------------------------------------------------------------------------------------------
 
-    def save(self, path: str) -> None:
-        """trace, moves and words as Parquet, and meta as JSON text."""
-        meta = {"kind": self.kind, "chains": self.chains, "seed": self.seed, "categories": self.categories, "shards": self.shards, "prep": asdict(self.prep), "settings": asdict(replace(self.settings, temperature=self.settings.heat(0)))}
+    def save(self, path: str, rows: bool = True) -> None:
+        """trace, moves, words and the prepared rows as Parquet, and meta as JSON text.  Without the rows a loaded model
+        predicts but can't be updated; functions among the settings are not kept."""
+        meta = {"kind": self.kind, "chains": self.chains, "seed": self.seed, "categories": self.categories, "shards": self.shards, "prep": asdict(self.prep), "settings": self.settings.plain(), "rows": rows and self.rows is not None}
+        if meta["rows"]:
+            self.rows.write.parquet(f"{path}/rows")
         self.trace.write.parquet(f"{path}/trace")
         self.moves.write.parquet(f"{path}/moves")
         if self.words is not None:
@@ -250,7 +278,8 @@ class Model:
     def load(spark: SparkSession, path: str) -> Model:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         words = spark.read.parquet(f"{path}/words") if meta["kind"] != "regression" else None
-        return Model(meta["kind"], Preprocessor(**meta["prep"]), Settings(**meta["settings"]), meta["chains"], meta["seed"], spark.read.parquet(f"{path}/trace"), spark.read.parquet(f"{path}/moves"), words, meta["categories"], meta["shards"])
+        rows = spark.read.parquet(f"{path}/rows") if meta.get("rows") else None
+        return Model(meta["kind"], Preprocessor(**meta["prep"]), Settings(**meta["settings"]), meta["chains"], meta["seed"], spark.read.parquet(f"{path}/trace"), spark.read.parquet(f"{path}/moves"), words, meta["categories"], meta["shards"], rows)
 
 
 def _softmax(scores: Column) -> Column:
@@ -270,7 +299,7 @@ def _prepared(df: DataFrame, prep: Preprocessor, kind: str, words: DataFrame | N
     return made.where(whole).select("x", F.col("__y").alias("y"))
 
 
-def _run(kind, rows, prep, s: Settings, chains, seed, shards, words, categories, last=None) -> Model:
+def _run(kind, rows, prep, s: Settings, chains, seed, shards, words, categories, last=None, boosted=None, sampler=None) -> Model:
     """One task for each (chain, shard): its rows come to it, sorted so that the result depends on the seed alone."""
     per_chain = math.ceil(s.ndpost / chains)
     thresholds = [np.array(t) for t in prep.thresholds]
@@ -285,8 +314,13 @@ def _run(kind, rows, prep, s: Settings, chains, seed, shards, words, categories,
         order = np.lexsort([*x.T[::-1], y])
         x, y = x[order], y[order]
         child = np.random.SeedSequence(seed).spawn(chains)[chain_id].spawn(shards)[shard]
-        chain = LogisticChain(x, y, thresholds, s, child, categories) if kind == "logistic" else RegressionChain(x, y, thresholds, s, child, kind == "probit")
+        if sampler is not None:
+            chain = sampler(x, y, thresholds, s, child)
+        else:
+            chain = LogisticChain(x, y, thresholds, s, child, categories) if kind == "logistic" else RegressionChain(x, y, thresholds, s, child, kind == "probit")
         state = None
+        if boosted is not None:
+            state = chain.warm(_unpack(boosted, x))
         if start is not None:
             packed = [_unpack(start[(chain_id, shard, c)], x) for c in range(categories if kind == "logistic" else 1)]
             value, weights = sigma[(chain_id, shard, 0)]
@@ -301,16 +335,21 @@ def _run(kind, rows, prep, s: Settings, chains, seed, shards, words, categories,
 
     spread = rows.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
     spread = spread.withColumn("shard", F.pmod(F.xxhash64("x", "y"), F.lit(shards)).cast("int"))
-    result = spread.groupBy("chain", "shard").applyInPandas(fit, TRACE + ", counts string").cache()
+    result = stored(spread.groupBy("chain", "shard").applyInPandas(fit, TRACE + ", counts string"), "trace")
     trace = result.where("draw > -9").drop("counts")
     parsed = F.from_json("counts", "map<string,array<long>>")
     moves = result.where("draw = -9").select("chain", "shard", F.explode(parsed).alias("move", "n")).select("chain", "shard", "move", F.get("n", 0).alias("selected"), F.get("n", 1).alias("proposed"), F.get("n", 2).alias("accepted"))
     return Model(kind, prep, s, chains, seed, trace, moves, words, categories, shards, rows)
 
 
-def fit(df: DataFrame, features: list[str], target: str, kind: str = "regression", chains: int = 1, seed: int = 42, max_bins: int = 100, shards: int = 1, **settings) -> Model:
+def fit(df: DataFrame, features: list[str], target: str, kind: str = "regression", chains: int = 1, seed: int = 42, max_bins: int = 100, shards: int = 1, boosted: list | None = None, prep: Preprocessor | None = None, sampler: Callable | None = None, **settings) -> Model:
     """Fits a model; rows with a null feature or target are left out.
 
+    `boosted`, the dump of a gradient-boosted forest on the features, starts the chains of a regression: they take its
+    trees, redraw each tree's leaves given the others and the noise, and go on from there.  `prep` replaces the
+    preprocessor, `sampler(x, y, thresholds, settings, seed)` the chain; moves, prior and likelihood of one's own are
+    among the settings.
+
     Chains run in parallel, each in one task with all rows in its memory, however many there are.  With `shards` above
     1 a chain's rows are dealt to that many tasks whose draws are averaged (consensus Monte Carlo): another
     approximation of the posterior, so it has to be asked for.
@@ -323,7 +362,12 @@ def fit(df: DataFrame, features: list[str], target: str, kind: str = "regression
     known = df.select(*features, target).where(F.col(target).isNotNull())
     for c in features:
         known = known.where(F.col(c).isNotNull())
-    prep, words, categories = Preprocessor(features, target, max_bins), None, 1
+    if boosted is not None:
+        if kind != "regression":
+            raise ValueError("only a regression starts from a boosted forest")
+        boosted = [[(i, n.var, n.thr, n.leaf) for i, n in sorted(t.items())] for t in fo.from_boosted(boosted)]
+        s = replace(s, n_trees=len(boosted))
+    prep, words, categories = prep or Preprocessor(features, target, max_bins), None, 1
     if kind == "regression":
         prep.fit(known)
     else:
@@ -335,7 +379,7 @@ def fit(df: DataFrame, features: list[str], target: str, kind: str = "regression
             raise ValueError("wrong number of classes")
         prep.thresholds = quantile_thresholds(known, features, max_bins)
     rows = _prepared(known, prep, kind, words)
-    return _run(kind, rows, prep, s, chains, seed, shards, words, categories)
+    return _run(kind, rows, prep, s, chains, seed, shards, words, categories, None, boosted, sampler)
 
 
 def from_boosted(spark: SparkSession, dump: list, prep: Preprocessor, sigma2: float = 1.0, settings: Settings | None = None) -> Model:

@@ -124,7 +124,7 @@ def quantile_thresholds(spark, sf):
 
 @query(f"SELECT 'l_tax' AS feature, unnest(list_sort(list_distinct(list(l_tax)))) AS threshold FROM {ITEMS}")
 def all_unique_thresholds(spark, sf):
-    return pp.unique_thresholds(items(spark, sf), "l_tax").select("feature", F.explode("thresholds").alias("threshold"))
+    return pp.unique_values(items(spark, sf), "l_tax")
 
 
 @query("SELECT l_returnflag, round(avg(CAST(CAST(l_discount AS FLOAT) AS DOUBLE)), 6) + 0.0 AS d, sum(CASE WHEN CAST(CAST(l_discount AS FLOAT) AS DOUBLE) <= 0.05 THEN 1 ELSE 0 END)::BIGINT AS n FROM lineitem GROUP BY 1")

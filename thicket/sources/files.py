@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import json
+import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +36,36 @@ def wide_layout(df: DataFrame, features: int) -> DataFrame:
     return df.select("row_id", *[F.get("x", k).alias(f"x{k}") for k in range(features)], *(["y"] if "y" in df.columns else []))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written under the folder that spark.checkpoint.dir names, and read back: computed once, whatever executors are
+    lost.  Only in local mode a folder of our own serves where it is unset."""
+    spark = df.sparkSession
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="thicket-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def resumed(spark: SparkSession, grid: DataFrame, path: str, keys: list[str], run) -> DataFrame:
+    """All results of `run(points)`, a DataFrame with the keys: points of the grid that the result table at `path` lacks
+    are run and appended, so that a stopped experiment goes on where it was."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        done = spark.read.parquet(path)
+        grid = grid.join(done.select(*keys).distinct(), keys, "left_anti")
+    append_results(run(grid), path)
+    return spark.read.parquet(path)
+
+
 def array_to_json(a: np.ndarray) -> str:
     return json.dumps({"shape": list(a.shape), "dtype": str(a.dtype), "data": base64.b64encode(np.ascontiguousarray(a).tobytes()).decode()})
 

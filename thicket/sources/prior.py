@@ -45,6 +45,19 @@ def draw_forest(x: np.ndarray, n_trees: int = 200, alpha: float = 0.95, beta: fl
     return [draw_tree(rng, x, alpha, beta, quick_decay, sd, weights) for _ in range(n_trees)]
 
 
+def heatmap(spark: SparkSession, forest: list[fo.Tree], bins: int = 100) -> DataFrame:
+    """(row_id, x0, x1, f): a forest of two features on a mesh of the unit square, for a plot."""
+    points = grid(spark, bins * bins, 2, bins)
+    valued = fo.with_draws(points.withColumn("x", F.array("x0", "x1")), [forest], "x", "f")
+    return valued.select("row_id", "x0", "x1", F.get("f", 0).alias("f"))
+
+
+def prior_heatmap(spark: SparkSession, bins: int = 100, design_rows: int = 2000, seed: int = 42, **options) -> DataFrame:
+    """The heatmap of a forest that is drawn from the prior."""
+    design = grid(spark, min(bins * bins, design_rows), 2, seed=seed).select("x0", "x1").toPandas().to_numpy(dtype=float)
+    return heatmap(spark, draw_forest(design, seed=seed, **options), bins)
+
+
 def prior_predictive(spark: SparkSession, rows: int, features: int, eps_nu: float = 3.0, eps_lambda: float = 0.1, design_rows: int = 2000, seed: int = 42, latent: bool = False, **options) -> DataFrame:
     """(row_id, x0, ..., y) with y = forest + normal noise of an inverse gamma variance.  The forest is drawn over a
     bounded design of at most design_rows grid points and then evaluated on all rows where they are."""

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.operators.analytics import empirical_outcome
 from thicket.streaming.agents import make
 
 
@@ -74,12 +75,25 @@ class TableScenario(Scenario):
 SCENARIOS: dict[str, Callable[[int, int, float, int], Scenario]] = {"linear": LinearScenario, "step": StepScenario}
 
 
-def simulate(scenario: Scenario, agents: dict, draws: int, on_draw: Callable | None = None) -> list[tuple]:
-    """(agent, draw, arm, regret, secs) of every step; each agent sees the same contexts and rewards.  Errors of the
-    callback are ignored, and agents are closed at the end."""
+def scenario_of_log(log: DataFrame, context: list[str], arm: str, hit, arms: int, seed: int = 0) -> TableScenario:
+    """A scenario from logged events: its contexts in their order, each once, with each arm's share of hits in that
+    context (0.5 where nothing was seen).  The contexts are few; they go to the driver."""
+    every = log.sparkSession.range(arms).select(F.col("id").cast("int").alias(arm))
+    found = empirical_outcome(log.withColumn(arm, F.col(arm).cast("int")), context, arm, hit, every).orderBy(*context, arm).toPandas()
+    chances = found["p"].to_numpy(dtype=float).reshape(-1, arms)
+    return TableScenario(found[context].to_numpy(dtype=float)[::arms], chances, seed)
+
+
+def simulate(scenario: Scenario, agents: dict, draws: int, on_draw: Callable | None = None, on_metrics: Callable | None = None, every: int = 1) -> list[tuple]:
+    """(agent, draw, arm, regret, secs) of every step; each agent sees the same contexts and rewards.
+
+    on_draw(draw, agents) is called after every step, on_metrics(draw, {agent: (cumulative regret, seconds)}) after
+    every `every` steps and the last.  Errors of callbacks are ignored, and agents are closed at the end."""
     out = []
+    sums = {name: [0.0, 0.0] for name in agents}
+    last = min(draws, scenario.most or draws)
     try:
-        for draw in range(1, min(draws, scenario.most or draws) + 1):
+        for draw in range(1, last + 1):
             x = scenario.context()
             mean, reward = scenario.rewards(x)
             for name, agent in agents.items():
@@ -87,9 +101,13 @@ def simulate(scenario: Scenario, agents: dict, draws: int, on_draw: Callable | N
                 arm = agent.choose(x)
                 agent.update(arm, x, float(reward[arm]))
                 out.append((name, draw, int(arm), float(mean.max() - mean[arm]), time.perf_counter() - begun))
-            if on_draw is not None:
+                sums[name][0] += out[-1][3]
+                sums[name][1] += out[-1][4]
+            told = on_metrics is not None and (draw % every == 0 or draw == last)
+            for call in ((on_draw, (draw, agents)) if on_draw else None, (on_metrics, (draw, {k: tuple(v) for k, v in sums.items()})) if told else None):
                 try:
-                    on_draw(draw, agents)
+                    if call is not None:
+                        call[0](*call[1])
                 except Exception:  # noqa: BLE001, S110
                     pass
     finally:
