@@ -191,3 +191,28 @@ def test_exact_quantiles_of_many_values_and_of_few(spark, monkeypatch):
         got = pp.quantile_thresholds(df, ["a", "b"], 20)
         assert [g == pytest.approx(w) for g, w in zip(got, want, strict=True)] == [True, True]
     assert [t["threshold"] for t in pp.unique_values(df, "b").orderBy("threshold").collect()] == [float(k) for k in range(7)]
+
+
+def test_a_stream_appends_to_what_agents_have_seen(spark, tmp_path):
+    r = np.random.default_rng(5)
+    schema = "t long, x array<double>, action int, reward double"
+    rows = [(t, [float(v) for v in r.random(2)], int(r.integers(2)), float(r.random())) for t in range(90)]
+    specs = {"trees": {"agent": "trees", "arms": 2, "features": 2, "encoding": "separate", "warm": 4, "schedule": "sqrt", "n_trees": 2, "ndpost": 5, "nskip": 2}, "ucb": {"agent": "linear", "arms": 2, "features": 2, "kind": "ucb"}}
+    for part in range(3):
+        spark.createDataFrame(rows[30 * part : 30 * part + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    key, made = "spark.sql.streaming.stateStore.providerClass", {}
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        for appended in (True, False):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            name = f"kept_{appended}"
+            q = sm.replay_stream(stream, specs, mode="logged", appended=appended).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").start()
+            try:
+                q.processAllAvailable()
+            finally:
+                q.stop()
+            made[appended] = sorted((x["agent"], x["t"], x["first"]) for x in spark.table(name).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert len(made[True]) == 180 and made[True] == made[False]

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from thicket.operators.analytics import empirical_outcome
 from thicket.streaming.agents import make
@@ -176,9 +177,61 @@ def replay(log: DataFrame, agents: dict[str, dict], choices: int = 1, mode: str
     return spread.repartition("agent").sortWithinPartitions("agent", "t").mapInPandas(run, REPLAY)
 
 
-def replay_stream(stream: DataFrame, agents: dict[str, dict], choices: int = 1, mode: str = "replay", seed: int = 0) -> DataFrame:
+class Seen:
+    """An agent's log whose earlier part stands in a list state, and is read only when a refit goes through it."""
+
+    def __init__(self, state, before: int) -> None:
+        self.state, self.before, self.new = state, before, []
+
+    def append(self, entry: tuple) -> None:
+        self.new.append(entry)
+
+    def __len__(self) -> int:
+        return self.before + len(self.new)
+
+    def __iter__(self) -> Iterator[tuple]:
+        if self.before:
+            yield from ((int(a), np.asarray(x, dtype=float), float(r)) for a, x, r in self.state.get())
+        yield from self.new
+
+
+class Replayer(StatefulProcessor):
+    """An agent in a value state, and what it has seen in a list state to which each batch appends."""
+
+    def __init__(self, agents: dict[str, dict], choices: int, mode: str, seed: int) -> None:
+        self.agents, self.choices, self.mode, self.seed = agents, choices, mode, seed
+
+    def init(self, handle) -> None:
+        self.agent = handle.getValueState("agent", "body binary")
+        self.log = handle.getListState("log", "arm int, x array<double>, reward double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        agent = pickle.loads(self.agent.get()[0]) if self.agent.exists() else make(self.agents[key[0]], self.seed)
+        seen = Seen(self.log, sum(agent.counts)) if hasattr(agent, "counts") else None
+        if seen is not None:
+            agent.log = seen
+        part = pd.concat(list(rows)).sort_values("t")
+        out = [(key[0], *r) for r in replay_log(zip(part["t"], part["x"], part["action"], part["reward"], strict=True), agent, self.choices, self.mode)]
+        if seen is not None:
+            agent.log = []
+            if seen.new:
+                self.log.appendList([(a, x.tolist(), r) for a, x, r in seen.new])
+        self.agent.update((pickle.dumps(agent),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def replay_stream(stream: DataFrame, agents: dict[str, dict], choices: int = 1, mode: str = "replay", seed: int = 0, appended: bool = False) -> DataFrame:
     """The same over a stream of (t, x, action, reward): agents live in the operator's state between micro-batches.
-    Events of a batch are taken in the order of t; order across batches is that of arrival."""
+    Events of a batch are taken in the order of t; order across batches is that of arrival.
+
+    The state of a random or linear agent is of fixed size.  A tree agent's holds what it has seen and is written whole
+    with every batch; `appended` keeps that in a list to which a batch only adds (it needs the RocksDB state store)."""
+    if appended:
+        spread = stream.select(F.explode(F.array(*[F.lit(a) for a in agents])).alias("agent"), F.col("t").cast("long").alias("t"), F.col("x").cast("array<double>").alias("x"), F.col("action").cast("int").alias("action"), F.col("reward").cast("double").alias("reward"))
+        return spread.groupBy("agent").transformWithStateInPandas(Replayer(agents, choices, mode, seed), REPLAY, "append", "None")
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     names = F.explode(F.array(*[F.lit(a) for a in agents]))
