@@ -98,3 +98,18 @@ def max_bins(t: Column) -> Column:
 
 def draws_needed(steps: Column, choices: Column, most: int) -> Column:
     return F.greatest(F.lit(100), F.least(F.lit(most), steps * (choices + 1))).cast("int")
+
+
+def local_hour(stamp: Column, zone: str = "UTC", shift_hours: int = 0) -> Column:
+    """Hour of a time, some hours later, in a time zone."""
+    later = F.timestamp_seconds(F.unix_timestamp(stamp) + shift_hours * 3600)
+    return F.hour(F.from_utc_timestamp(later, zone))
+
+
+def days_after(stamp: Column, days: int) -> Column:
+    return F.date_add(F.to_date(stamp), days)
+
+
+def parsed_time(text: Column, pattern: str = "dd/MM/yyyy HH:mm") -> Column:
+    """A time from text, without a zone."""
+    return F.to_timestamp_ntz(text, F.lit(pattern))

@@ -174,6 +174,30 @@ def empirical_outcome(df: DataFrame, context: list[str], arm: str, hit: Column,
     return every.join(seen, [*context, arm], "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
 
 
+def sufficient(log: DataFrame, arms: int, least: int = 5, separate: bool = True, arm: str = "arm") -> DataFrame:
+    """(enough, least): whether there are `least` observations, of every arm (0 for arms that the log lacks) where each
+    has a model of its own, and the smallest number."""
+    if not separate:
+        return log.agg((F.count("*") >= least).alias("enough"), F.count("*").alias("least"))
+    seen = log.groupBy(F.col(arm).alias("__arm")).agg(F.count("*").alias("__n"))
+    every = log.sparkSession.range(arms).join(F.broadcast(seen.where(F.col("__arm").between(0, arms - 1))), F.col("id") == F.col("__arm"), "left")  # one row an arm
+    n = F.coalesce("__n", F.lit(0))
+    return every.agg((F.min(n) >= least).alias("enough"), F.min(n).alias("least"))
+
+
+def feel_good(log: DataFrame, values: list[list[Column]], most: float = 0.5) -> DataFrame:
+    """(draw, s): the sum over the log's contexts of the best arm's value, at most `most`; values[draw][arm] are columns.
+    One aggregation: the log is read once for all draws."""
+    sums = log.agg(*[F.sum(F.least(F.lit(most), F.greatest(*by))).alias(f"s{d}") for d, by in enumerate(values)])
+    return sums.select(F.posexplode(F.array(*[f"s{d}" for d in range(len(values))])).alias("draw", "s"))
+
+
+def hits_by_key(keys: DataFrame, events: DataFrame, key: str, of: str, out: str) -> DataFrame:
+    """Every key with its number of events, 0 where there are none."""
+    counted = events.groupBy(F.col(of).alias("__of")).agg(F.count("*").alias("__n"))
+    return keys.join(counted, F.col(key) == F.col("__of"), "left").withColumn(out, F.coalesce("__n", F.lit(0))).drop("__of", "__n")
+
+
 def bootstrap_summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     q = F.percentile(F.col(value), F.array(F.lit(0.025), F.lit(0.975)))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.get(q, 0).alias("lo"), F.get(q, 1).alias("hi"))

@@ -114,25 +114,35 @@ class Preprocessor:
         return (1.0, 0.0) if self.high == self.low else (self.high - self.low, (self.high - self.low) / 2 + self.low)
 
 
+#: Labels that a vocabulary may have, and that are sent to all tasks.
+MOST_LABELS = 100_000
+
+
 def vocabulary(df: DataFrame, label: str) -> DataFrame:
-    """(label, idx): the distinct labels numbered from 0 in their order.  The labels of a classifier are few."""
-    rows = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
+    """(label, idx): the distinct labels numbered from 0 in their order; more than MOST_LABELS are an error."""
+    rows = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().limit(MOST_LABELS + 1).orderBy(label).collect()]
     if not rows:
         raise ValueError("no labels")
+    if len(rows) > MOST_LABELS:
+        raise ValueError("too many labels")
     kind = df.schema[label].dataType.simpleString()
     return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(rows)], f"label {kind}, idx int")
 
 
+def _known(words: DataFrame) -> DataFrame:
+    """The vocabulary, sent to all tasks if it is as small as those that `vocabulary` makes."""
+    known = words.select(F.col("label").alias("__label"), F.col("idx").alias("__idx"))
+    return F.broadcast(known) if known.limit(MOST_LABELS + 1).count() <= MOST_LABELS else known
+
+
 def encode_labels(df: DataFrame, label: str, words: DataFrame, out: str = "idx") -> DataFrame:
     """Adds the index of each label; a label that the vocabulary lacks raises an error."""
-    known = words.select(F.col("label").alias("__label"), F.col("idx").alias("__idx"))
-    joined = df.join(F.broadcast(known), F.col(label) == F.col("__label"), "left")
+    joined = df.join(_known(words), F.col(label) == F.col("__label"), "left")
     return joined.withColumn(out, F.when(F.col("__idx").isNull(), F.raise_error(F.concat(F.lit("unknown label "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("int")).otherwise(F.col("__idx"))).drop("__label", "__idx")
 
 
 def decode_labels(df: DataFrame, idx: str, words: DataFrame, out: str = "label") -> DataFrame:
-    known = words.select(F.col("label").alias("__label"), F.col("idx").alias("__idx"))
-    return df.join(F.broadcast(known), F.col(idx) == F.col("__idx"), "left").withColumn(out, F.col("__label")).drop("__label", "__idx")
+    return df.join(_known(words), F.col(idx) == F.col("__idx"), "left").withColumn(out, F.col("__label")).drop("__label", "__idx")
 
 
 ENCODINGS = ("one-hot", "multi", "separate")

@@ -798,10 +798,7 @@ def adaptive_max_bins(spark, sf):
 
 @query(f"SELECT min(n) >= 5 AS enough, min(n) AS least FROM (SELECT a, count(arm) AS n FROM (SELECT unnest(range(6)) AS a) arms LEFT JOIN {LOG} ON arm = a GROUP BY 1)")
 def data_sufficiency(spark, sf):
-    arms = spark.range(6).withColumnRenamed("id", "a")
-    seen = log(spark, sf).groupBy("arm").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return arms.join(F.broadcast(seen), F.col("a") == F.col("arm"), "left").agg((F.min(n) >= 5).alias("enough"), F.min(n).alias("least"))
+    return an.sufficient(log(spark, sf), 6)
 
 
 _FG = f"(SELECT draw, sum(least(0.5, mx)) AS s FROM (SELECT t, draw, max(x0 * (draw + 1) / 4.0 - x1 * a / 5.0 + 0.01 * draw * a) AS mx FROM {LOG}, (SELECT unnest(range(6)) AS draw) d, (SELECT unnest(range(5)) AS a) arms GROUP BY 1, 2) GROUP BY 1) fg"
@@ -810,9 +807,7 @@ _FG = f"(SELECT draw, sum(least(0.5, mx)) AS s FROM (SELECT t, draw, max(x0 * (d
 def feel_good(spark, sf):
     """S of each draw; the best arm and the draws stay inside the row, so that only sums are shuffled."""
     f = lambda d, a: F.col("x0") * (d + 1) / 4.0 - F.col("x1") * a / 5.0 + 0.01 * d * a
-    best = [F.sum(F.least(F.lit(0.5), F.greatest(*[f(d, a) for a in range(5)]))).alias(f"s{d}") for d in range(6)]
-    sums = log(spark, sf).agg(*best)
-    return sums.select(F.posexplode(F.array(*[f"s{d}" for d in range(6)])).alias("draw", "s"))
+    return an.feel_good(log(spark, sf), [[f(d, a) for a in range(5)] for d in range(6)])
 
 
 @query(f"SELECT CAST(draw AS INTEGER) AS draw, round(s, 3) + 0.0 AS s FROM {_FG}")
@@ -965,9 +960,8 @@ def agent_factors(spark, sf):
 
 @query("SELECT c.c_custkey, coalesce(v.views, 0) AS views FROM customer c LEFT JOIN (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' AND hour(ts) = 20 GROUP BY 1) v ON c.c_custkey = v.user_id")
 def hourly_views_left_join(spark, sf):
-    views = table(spark, sf, "events").where((F.col("event_type") == "view") & (F.hour("ts") == 20)).groupBy("user_id").agg(F.count("*").alias("views"))
-    c = table(spark, sf, "customer").select("c_custkey")
-    return c.join(views, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", F.coalesce("views", F.lit(0)).alias("views"))
+    views = table(spark, sf, "events").where((F.col("event_type") == "view") & (F.hour("ts") == 20))
+    return an.hits_by_key(table(spark, sf, "customer").select("c_custkey"), views, "c_custkey", "user_id", "views")
 
 
 @query("SELECT c_custkey, c_nationkey, s_nationkey AS c_nationkey_b FROM customer JOIN supplier ON c_custkey = s_suppkey WHERE c_nationkey <> s_nationkey")
@@ -1055,11 +1049,9 @@ def bootstrap_means(spark, sf):
 
 @query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 3 AS VARCHAR) AS due, hour(o_orderdate + INTERVAL 20 HOUR) AS hour, CAST(strptime(strftime(o_orderdate, '%d/%m/%Y %H:%M'), '%d/%m/%Y %H:%M') AS VARCHAR) AS parsed FROM orders")
 def datetime_parts(spark, sf):
-    o = table(spark, sf, "orders")
-    stamp = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 20 * 3600)
-    local = F.from_utc_timestamp(stamp, "UTC")
     text = F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")
-    return o.select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 3).cast("string").alias("due"), F.hour(local).cast("long").alias("hour"), F.to_timestamp_ntz(text, F.lit("dd/MM/yyyy HH:mm")).cast("string").alias("parsed"))
+    stamp = F.col("o_orderdate")
+    return table(spark, sf, "orders").select("o_orderkey", fc.days_after(stamp, 3).cast("string").alias("due"), fc.local_hour(stamp, "UTC", 20).cast("long").alias("hour"), fc.parsed_time(text).cast("string").alias("parsed"))
 
 
 @query(f"SELECT draw, round(sqrt(avg((f - z) * (f - z))), 6) + 0.0 AS rmse FROM (SELECT unnest({_LIST}) AS f, unnest(range({len(TRACE)})) AS draw, {_Z} AS z FROM {ITEMS}) GROUP BY 1")
