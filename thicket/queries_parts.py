@@ -505,13 +505,13 @@ def fitted_classifiers(spark, sf):
     return out
 
 
-@query("SELECT draw, 1 AS states, (SELECT count(*) FROM events) AS n FROM range(0, 4) t(draw)")
+@query("SELECT draw, 2 AS states, (SELECT count(*) FROM events) AS n FROM range(0, 2) t(draw)")
 def continued_after_loading(spark, sf):
-    """A model of a part of the rows is written, read back, and goes on over all of them."""
+    """A model of two chains over a part of the rows is written, read back, and goes on over all of them."""
     from thicket.plans.model import Model
 
     rows, path = _friedman(spark, sf), f"{place(spark)}/model"
-    _fit(spark, sf, rows.where("row_id % 4 <> 0"), n_trees=3, ndpost=2, nskip=2).save(path)
+    _fit(spark, sf, rows.where("row_id % 4 <> 0"), chains=2, n_trees=3, ndpost=2, nskip=2).save(path)
     m = Model.load(spark, path).update(rows.where("row_id % 4 = 0"), 4)
     return m.trace.where("draw >= 0").groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count("*").cast("int").alias("states")).withColumn("n", F.lit(m.rows.count()))
 
@@ -752,6 +752,18 @@ def replayed_events(spark, sf):
     return made.groupBy("agent").agg(F.count("*").alias("events"), F.min(right).alias("proper"))
 
 
+@query("SELECT agent, count(*) AS events, true AS learned FROM events, (SELECT unnest(['random', 'ucb']) AS agent) GROUP BY 1")
+def streamed_events(spark, sf):
+    """The replay as a stream over files of the log: agents live in the state of the operator."""
+    path = place(spark)
+    log(spark, sf).select("t", F.array("x0", "x1").alias("x"), F.col("arm").alias("action"), "reward").repartitionByRange(3, "t").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("t long, x array<double>, action int, reward double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    specs = {"ucb": {"agent": "linear", "arms": 5, "features": 2, "kind": "ucb"}, "random": {"agent": "random", "arms": 5, "features": 2}}
+    writer = sm.replay_stream(stream, specs, mode="logged").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/at")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("agent").agg(F.count("*").alias("events"), (F.min("matched") == 1).alias("learned"))
+
+
 @query(values([(4, 12), (8, 24), (10, 30)], "step, sums"))
 def simulation_callbacks(spark, sf):
     """Steps at which metrics are told, and the number of choices until then."""
