@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import saved
+from thicket.llm.common import FILE_ROWS, discard, saved
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is saved in the shared folder; about log(n) rounds are needed.  Self-loops add nothing, and no
     edges give no rows.
     """
-    now = saved(_small(edges), "edges")
-    mark = None
+    now, files, mark = saved(_small(edges), "edges"), None, None
     while True:
-        now = saved(_small(_large(now)), "edges")
+        last, now = now, saved(_small(_large(now)), "edges", files)
+        discard(last)
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (new["n"], new["h"]) or not new["n"]:
             break
+        files = 1 + new["n"] // FILE_ROWS
         mark = (new["n"], new["h"])
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = saved(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components", 1 + 2 * new["n"] // FILE_ROWS)
+    discard(now)
+    return out

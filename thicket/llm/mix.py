@@ -11,11 +11,11 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import block_of, block_splits, ranked, saved, table
+from thicket.llm.common import at_once, certainly_named, lean, place_of, plain, ranked, saved, table, with_columns
 
 
 def units(weights: dict[str, float], total: int) -> dict[str, int]:
@@ -125,19 +125,17 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int
     return plan
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 32, power: float = 0.5, source: str = "source", key: str = "doc_id", rows_per_block: int = 2_000) -> DataFrame:
-    """All columns of docs and block, slot, place: the block of the row in its source, the block's slot in the
-    interleaved order, and the row's place in the block.
+def _labelled(source: Column) -> Column:
+    """A null source is a source of its own."""
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source.cast("string")))
 
-    Every row is placed once.  Without weights, a source's weight is its number of rows to `power`; sources that
-    weights leaves out, or gives no positive weight, follow after the others by their rows.  Rows of a source go
-    into blocks in the order of the key, nulls first; repeated rows are alike, and any order of them is right.
-    A null source is a source of its own.  An empty table gives no rows.  Columns of docs that are called block,
-    slot or place are replaced.  The number of sources is taken to be small: their sizes go to the driver, which
-    places the blocks one after another.
-    """
-    label = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(label.alias("s")).agg(F.count("*").alias("n")).collect()}
+
+#: Blocks whose slots are sent to all tasks (8 bytes each); the slots of more are written as a table and joined.
+BLOCKS_AT_ONCE = 1_000_000
+
+
+def _slots(placed: DataFrame, sizes: dict[str, int], weights: dict[str | None, float] | None, block_rows: int, power: float) -> DataFrame:
+    """placed (source, rank and more) with block, place and slot."""
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
     if weights is None:
         plans = [schedule(blocks, {s: float(n) ** power for s, n in sizes.items()})]
@@ -146,61 +144,73 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
         plans = [schedule({s: n for s, n in blocks.items() if s in given}, given), schedule({s: n for s, n in blocks.items() if s not in given}, {s: float(n) for s, n in sizes.items()})]
     late = sum(blocks[s] for s in plans[0].phases)
 
-    @F.pandas_udf("long")
-    def slot_of(s: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(s), dtype=np.int64)
-        for name, at in s.groupby(s).indices.items():
-            first = name in plans[0].phases
-            out[at] = plans[0 if first else 1].slots(name, b.to_numpy()[at]) + (0 if first else late)
-        return pd.Series(out)
-
-    splits = block_splits(docs.select(F.col(key).cast("long").alias("k")), "k", rows_per_block)
-    extra = {"__source": label, "__key": F.col(key).cast("long")}
-    rows = docs.drop("block", "slot", "place").withColumns(extra).withColumn("__block", block_of(F.col("__key"), splits))
-    placed = ranked(rows, "__source", "__block", [F.col("__key").asc_nulls_first()], "__rank")
-    out = placed.withColumn("block", F.floor(F.col("__rank") / block_rows).cast("long")).withColumn("place", (F.col("__rank") % block_rows).cast("long"))
-    return out.withColumn("slot", slot_of("__source", "block")).drop("__source", "__key", "__block", "__rank")
-
-
-#: Places are sent to all tasks up to this number (24 bytes each); beyond it they are joined by shuffle.
-PLACES_AT_ONCE = 500_000
+    def found(name: str, at: np.ndarray) -> np.ndarray:
+        first = name in plans[0].phases
+        return plans[0 if first else 1].slots(name, at) + (0 if first else late)
+
+    out = placed.withColumn("block", F.floor(F.col("rank") / block_rows).cast("long")).withColumn("place", (F.col("rank") % block_rows).cast("long")).drop("rank")
+    if sum(blocks.values()) <= BLOCKS_AT_ONCE:
+
+        @F.pandas_udf("long")
+        def slot_of(s: pd.Series, b: pd.Series) -> pd.Series:
+            slots = np.zeros(len(s), dtype=np.int64)
+            for name, at in s.groupby(s).indices.items():
+                slots[at] = found(name, b.to_numpy()[at])
+            return pd.Series(slots)
+
+        return out.withColumn("slot", slot_of("source", "block"))
+    spark, path = placed.sparkSession, None
+    for name, n in blocks.items():
+        for first in range(0, n, BLOCKS_AT_ONCE):
+            at = np.arange(first, min(n, first + BLOCKS_AT_ONCE), dtype=np.int64)
+            part = spark.createDataFrame(pa.table({"of": pa.array([name] * len(at)), "at": at, "slot": found(name, at)}))
+            if path is None:
+                path = saved(part, "plan").inputFiles()[0].rsplit("/", 1)[0]
+            else:
+                part.write.mode("append").option("compression", "zstd").parquet(path)
+    plan = spark.read.schema("of string, at long, slot long").parquet(path)
+    return out.join(plan, (F.col("source") == F.col("of")) & (F.col("block") == F.col("at"))).drop("of", "at")
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 32, power: float = 0.5, source: str = "source", key: str = "doc_id", rows_per_block: int | None = None) -> DataFrame:
+    """All columns of docs and block, slot, place: the block of the row in its source, the block's slot in the
+    interleaved order, and the row's place in the block.
 
+    Every row is placed once.  Without weights, a source's weight is its number of rows to `power`; sources that
+    weights leaves out, or gives no positive weight, follow after the others by their rows.  Rows of a source go
+    into blocks in the order of the key, nulls first, rows of one key in the order of the scan; repeated rows are
+    alike, and any order of them is right.  A null source is a source of its own.  An empty table gives no rows.
+    Columns of docs may have any names; those called block, slot or place are replaced.  The whole rows are dealt by
+    range and saved: give the narrow columns, or use mixed_order.  The number of sources is taken to be small: their
+    sizes go to the driver, which places the blocks one after another.
+    """
+    own = plain(docs).withColumns({"source": _labelled(F.col(place_of(docs, source))), "key": F.col(place_of(docs, key)).cast("long")})
+    rows = saved(own, "rows")
+    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    placed = ranked(rows, "source", [F.col("key").asc_nulls_first()], "rank", rows_per_block)
+    return with_columns(_slots(placed, sizes, weights, block_rows, power), docs.columns, block="block", slot="slot", place="place")
 
-def identified(docs: DataFrame) -> tuple[DataFrame, int] | None:
-    """docs with `__row`, which names each row by its Parquet file and its index there, and the number of rows.
 
-    The name doesn't depend on how a scan is planned, so it is the same in every job.  None where there is no such
-    name: docs is not a selection of the rows of Parquet files that two scans make alike, or two rows have one name.
-    """
-    plan = docs._jdf.queryExecution().analyzed()
-    while plan.children().size():
-        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias", "View") or not plan.deterministic():
-            return None
-        plan = plan.children().head()
-    try:
-        named = docs.withColumn("__row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
-    except AnalysisException:
-        return None
-    rows, names = named.agg(F.count("*"), F.count_distinct("__row")).first()
-    return (named, rows) if rows == names else None
-
-
-def mixed_order(docs: DataFrame, source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 32, power: float = 0.5, source: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, written in the order of the mixture: a range sort over (slot, place).
 
-    Places are found from the names of rows, sources and keys alone, so that whole rows are moved for the sort only.
-    What is not a selection of rows of Parquet files is saved first.  A row without a place ends the query: files that
-    changed between the two scans are an error, not a loss."""
-    found = identified(docs) or identified(saved(docs, "rows"))
-    if found is None:
-        raise ValueError("the rows have no names that tell them apart")
-    named, rows = found
-    narrow = named.select("__row", F.col(source).alias("source"), F.col(key).alias("key"))
-    places = saved(mix(narrow, source="source", key="key", **options).select("__row", "slot", "place"), "places")
-    placed = places.select(F.col("__row").alias("__at"), F.col("slot").alias("__slot"), F.col("place").alias("__place"))
-    out = named.join(F.broadcast(placed) if rows <= PLACES_AT_ONCE else placed, F.col("__row") == F.col("__at"), "left")
+    Places are found as by `mix` from the names of rows, sources and keys alone, so that whole rows are moved for the
+    sort only.  What is not a selection of rows of Parquet files is saved first.  A null source is a source of its own,
+    null keys come first, rows of one key in the order of the files, and repeated rows have places of their own.  An
+    empty table gives no rows.  Columns may have any names.  A row without a place ends the query: files that
+    changed between the two scans are an error, not a loss.
+    """
+    lean(docs.sparkSession)
+    rows = certainly_named(plain(docs))
+    narrow = saved(rows.select("file", "row", "part", _labelled(F.col(place_of(docs, source))).alias("source"), F.col(place_of(docs, key)).cast("long").alias("key")), "names")
+    sizes = {r["source"]: r["n"] for r in narrow.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    placed = ranked(narrow, "source", [F.col("key").asc_nulls_first(), F.col("part"), F.col("file"), F.col("row")], "rank")
+    found = _slots(placed, sizes, weights, block_rows, power).select(F.col("file").alias("f"), F.col("row").alias("r"), "slot", "place")
+    places = saved(found, "places")
+    out = rows.join(at_once(places), (F.col("file") == F.col("f")) & (F.col("row") == F.col("r")), "left")
     lost = F.raise_error("a row has no place: the files changed while they were read").cast("long")
-    return out.withColumn("__slot", F.coalesce("__slot", lost)).orderBy("__slot", "__place").select(*docs.columns)
+    ordered = out.withColumn("slot", F.coalesce("slot", lost)).orderBy("slot", "place")
+    return ordered.select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

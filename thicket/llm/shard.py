@@ -5,11 +5,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import block_of, block_splits, mix64, ranked, table
+from thicket.llm.common import at_once, certainly_named, lean, mix64, place_of, plain, ranked, saved, table, with_columns
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -28,59 +27,63 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return bucket.astype(np.int32)
 
 
-def shard_of(key: str, shards: int):
-    """Column of the shard of an integer key; a null key counts as key 0."""
+def shard_of(key: Column, shards: int) -> Column:
+    """Struct of the shard of an integer key and its shard with one shard more (grown); a null key counts as key 0."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
 
-    @F.pandas_udf("int")
-    def deal(x: pd.Series) -> pd.Series:
-        values = x.fillna(0).to_numpy().astype(np.int64).view(np.uint64) if len(x) else np.zeros(0, np.uint64)
-        return pd.Series(jump(mix64(values), shards), dtype="int32")
+    @F.pandas_udf("shard int, grown int")
+    def deal(keys: pd.Series) -> pd.DataFrame:
+        mixed = mix64(keys.to_numpy().astype(np.int64).view(np.uint64))
+        return pd.DataFrame({"shard": jump(mixed, shards), "grown": jump(mixed, shards + 1)})
 
-    return deal(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")))
+    return deal(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", rows_per_block: int = 2_000) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", rows_per_block: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     The law is `key`: the key and the number of shards alone decide, so equal keys share a shard and one more
     shard takes rows only into itself.  slot numbers a shard's rows from 0 without gaps in the order of the key
     (nulls first), then checksum and size; rows that agree in all three are alike, and any order of them is
-    right.  Null keys count as key 0; a null text has size 1 and checksum 0.  An empty table gives no rows.
-    Columns other than the key and the text are not read, so their names can't clash.
+    right.  Null keys count as key 0; a null text has size 1 and checksum 0; texts of any length are read whole.  An
+    empty table gives no rows.  Columns other than the key and the text are not read, so their names can't clash.
     """
-    rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+    both = plain(docs.select(F.col(key).cast("long"), F.col(text)))
+    rows = both.select(
+        F.col("c0").alias("doc_id"),
+        (F.coalesce(F.octet_length("c1"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.col("c1").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        shard_of(F.col("c0"), shards).alias("d"),
     )
-    splits = block_splits(rows.select("doc_id"), "doc_id", rows_per_block)
-    dealt = rows.select("*", shard_of("doc_id", shards).alias("shard"), shard_of("doc_id", shards + 1).alias("grown_shard"), block_of(F.col("doc_id"), splits).alias("__block"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
-    return ranked(dealt, "shard", "__block", order, "slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    narrow = saved(rows.select("doc_id", "size", "text_crc32", F.col("d.shard").alias("shard"), F.col("d.grown").alias("grown_shard")), "sizes")
+    out = ranked(narrow, "shard", [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")], "slot", rows_per_block)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", rows_per_block: int = 2_000) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", rows_per_block: int | None = None) -> DataFrame:
     """All columns of docs and shard, slot: slot numbers a shard's rows from 0 in the order in which docs was written.
 
-    That order is the number of the part file and the place in it; a table that isn't read from files has none,
-    and its slots follow the key, nulls first.  Columns of docs that are called shard or slot are replaced.
+    That order is the number of the part file and the place in it; a table that isn't a selection of the rows of
+    Parquet files is saved first.  Ranks are found from the names of rows and the keys alone.  A null key counts as key
+    0; repeated rows have slots of their own.  An empty table gives no rows.  Columns of docs may have any names; those
+    called shard or slot are replaced.  A row without a slot ends the query: files that changed meanwhile are an error.
     """
-    try:
-        name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
-        placed = docs.withColumn("__order", F.coalesce(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.lit(0)) * (1 << 40) + row)
-    except AnalysisException:
-        placed = docs.withColumn("__order", F.col(key).cast("long"))
-    splits = block_splits(placed.select("__order"), "__order", rows_per_block)
-    dealt = placed.drop("shard", "slot").withColumn("shard", shard_of(key, shards)).withColumn("__block", block_of(F.col("__order"), splits))
-    return ranked(dealt, "shard", "__block", [F.col("__order").asc_nulls_first()], "slot").drop("__order", "__block")
+    lean(docs.sparkSession)
+    rows = certainly_named(plain(docs))
+    with_shard = rows.withColumn("d", shard_of(F.col(place_of(docs, key)), shards))
+    narrow = saved(with_shard.select("part", "file", "row", F.col("d.shard").alias("shard")), "shards")
+    places = saved(ranked(narrow, "shard", [F.col("part"), F.col("file"), F.col("row")], "slot", rows_per_block).select(F.col("file").alias("f"), F.col("row").alias("r"), "shard", "slot"), "slots")
+    out = rows.join(at_once(places), (F.col("file") == F.col("f")) & (F.col("row") == F.col("r")), "left")
+    lost = F.raise_error("a row has no slot: the files changed while they were read").cast("long")
+    return with_columns(out.withColumn("slot", F.coalesce("slot", lost)), docs.columns, shard="shard", slot="slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id") -> None:
-    """Writes the rows as one folder for each shard; a hot shard is written by several tasks."""
-    out = docs.withColumn("shard", shard_of(key, shards))
-    out.write.partitionBy("shard").parquet(path)
+    """Writes the rows, all columns, as one folder shard=k for each shard that has rows; a hot shard is written by
+    several tasks.  Null keys count as key 0; a column of docs called shard is replaced."""
+    out = plain(docs).withColumn("shard", shard_of(F.col(place_of(docs, key)), shards)["shard"])
+    with_columns(out, docs.columns, shard="shard").write.partitionBy("shard").parquet(path)
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
