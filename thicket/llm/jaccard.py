@@ -12,10 +12,14 @@ most of them have, and only links that join something new are returned, never al
 of a family form a block in each list; a set meets a block only if the block's sizes, positions and common tokens
 allow a link, and its overlaps with all sets of the family are derived from its overlap with the family's first set
 and the few tokens in which the others differ.  No similar pair escapes both.
+
+Hashes only find candidates: 64 bits of hashes of 128-bit word hashes in the lists, 128 bits for equal sets.  Whether
+two sets link is decided on their words, which each task numbers without hashes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import mix64, saved, table, utf8
+from thicket.llm.common import discard, lean, mix64, place_of, plain, saved, table, utf8
 from thicket.llm.graph import components
 
 #: A token in this many prefixes is frequent; so many frequent tokens are put last, the most frequent first chosen.
@@ -35,111 +39,121 @@ WIDE = 2
 #: Ids are sent to all tasks up to this number (8 bytes each); beyond it they are joined by shuffle.
 IDS_AT_ONCE = 500_000
 #: Sets of a family, and sets that meet it, in one task's group; tokens of a family's sets in one.
-MEMBERS, MEETING, TOKENS = 400, 2000, 1_000_000
+MEMBERS, MEETING, TOKENS = 400, 2000, 500_000
+#: Bytes of texts whose sets are numbered together in a task.
+AT_ONCE = 4 << 20
 #: Sets of this share of the asked similarity are of one family.
 ALIKE = 0.35
 
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Bytes of texts hashed at once.
-CHUNK = 1 << 20
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_up = _down = np.ones(1, dtype=np.uint64)
-
+#: Bytes of texts whose words are handled at once, words that are remembered, and the longest of them.
+CHUNK, REMEMBERED_WORDS, REMEMBERED_BYTES = 1 << 20, 100_000, 48
+_SPACE = re.compile(rb"[\x09-\x0D\x20]")
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    global _up, _down
-    if len(_up) < n:
-        with np.errstate(over="ignore"):
-            _up, _down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b)]), dtype=np.uint64) for b in (BASE, INVERSE))
-    return _up, _down
 
+def words_of(raw: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased, about CHUNK bytes at a time; no word is cut."""
+    raw, at = raw or b"", 0
+    while at < len(raw):
+        end = _SPACE.search(raw, at + CHUNK)
+        to = end.start() if end else len(raw)
+        yield raw[at:to].lower().split()
+        at = to
 
-def _prefix(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(raw) + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw) + 1)[0][: len(raw)], out=out[1:])
-    return out
 
+class Digests(dict):
+    """128-bit hashes of words, filled as words come."""
 
-def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word, from prefix polynomial hashes of all bytes."""
-    text = np.frombuffer(raw, dtype=np.uint8)
-    space = np.concatenate([[True], _SPACE[text], [True]])
-    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    h = _prefix(text)
-    with np.errstate(over="ignore"):
-        return mix64((h[end] - h[start]) * _powers(len(text) + 1)[1][start]), start
+    def __missing__(self, word: bytes) -> bytes:
+        out = xxhash.xxh3_128_digest(word)
+        if len(word) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED_WORDS:
+                self.clear()
+            self[word] = out
+        return out
 
 
-def _long_words(raw: bytes) -> np.ndarray:
-    """The same hashes for a text that is hashed in pieces; a word may be longer than a piece."""
-    out = []
-    for word in raw.split():
-        total, shift = 0, 1
-        for a in range(0, len(word), CHUNK):
-            piece = np.frombuffer(word[a : a + CHUNK], dtype=np.uint8)
-            total = (total + int(_prefix(piece)[-1]) * shift) % (1 << 64)
-            shift = shift * pow(int(BASE), len(piece), 1 << 64) % (1 << 64)
-        out.append(total)
-    return mix64(np.array(out, dtype=np.uint64))
+def _rolled(lane: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(max(0, len(lane) - n + 1), n, dtype=np.uint64)
+    for i in range(n):
+        out = mix64(out ^ lane[i : i + len(out)])
+    return out
 
 
-def _sets_of(words: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the n-word shingles of each text; words of all texts are in one array."""
-    out, begin = [], 0
-    rolled = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
-    for i in range(n):
-        rolled = mix64(rolled ^ words[i : i + len(rolled)])
-    for end in ends.tolist():
+def digested_sets(texts: Iterable[bytes | None], n: int, known: Digests) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    """The set of each text, sorted distinct 64-bit hashes of its n-word shingles, and a 128-bit digest of the set
+    (None if it is empty).  Fewer words make one shingle, none make an empty set.  Short texts are hashed many at a time."""
+    parts: list[bytes] = []
+    ends: list[int] = []
+    total = 0
+    for raw in texts:
+        for words in words_of(raw):
+            parts.append(b"".join(map(known.__getitem__, words)))
+            total += len(words)
+        ends.append(total)
+        if total > CHUNK // 8:
+            yield from _group_sets(parts, ends, n)
+            parts, ends, total = [], [], 0
+    yield from _group_sets(parts, ends, n)
+
+
+def _group_sets(parts: list[bytes], ends: list[int], n: int) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    lanes = np.frombuffer(b"".join(parts), dtype=np.uint64).reshape(-1, 2)
+    first, second = (_rolled(np.ascontiguousarray(lanes[:, k]), n) for k in (0, 1))
+    begin = 0
+    for end in ends:
         k = end - begin
         if k >= n:
-            out.append(np.unique(rolled[begin : end - n + 1]))
+            s, at = np.unique(first[begin : end - n + 1], return_index=True)
+            other = second[begin + at]
         elif k:
-            h = np.array([k], dtype=np.uint64)
-            for i in range(begin, end):
-                h = mix64(h ^ words[i : i + 1])
-            out.append(h)
+            s, other = (_rolled(np.ascontiguousarray(lanes[begin:end, i]), k) for i in (0, 1))
         else:
-            out.append(words[:0])
+            s = other = first[:0]
+        yield s, xxhash.xxh3_128_digest(s.tobytes() + other.tobytes()) if k else None
         begin = end
-    return out
 
 
-def shingle_sets(texts: Iterable[bytes | None], n: int) -> Iterator[np.ndarray]:
-    """The set of each text: sorted distinct hashes of its n-word shingles, A-Z lower-cased; fewer words make one
-    shingle, none make an empty set.  Short texts are hashed many at a time."""
-    group: list[bytes] = []
-    size = 0
-    for raw in texts:
-        raw = (raw or b"").lower()
-        if len(raw) > CHUNK:
-            yield from _group_sets(group, n)
-            words = _long_words(raw)
-            yield from _sets_of(words, np.array([len(words)]), n)
-            group, size = [], 0
-            continue
-        group.append(raw)
-        size += len(raw)
-        if size > CHUNK:
-            yield from _group_sets(group, n)
-            group, size = [], 0
-    yield from _group_sets(group, n)
-
-
-def _group_sets(group: list[bytes], n: int) -> list[np.ndarray]:
-    words, start = _words(b" ".join(group))
-    limits = np.cumsum([len(t) + 1 for t in group])
-    return _sets_of(words, np.searchsorted(start, limits), n)
+def shingle_sets(texts: Iterable[bytes | None], n: int, known: Digests | None = None) -> Iterator[np.ndarray]:
+    return (s for s, _ in digested_sets(texts, n, Digests() if known is None else known))
 
 
 def shingle_set(raw: bytes | None, n: int) -> np.ndarray:
     return next(shingle_sets([raw], n))
 
 
+def numbered_sets(texts: Iterable[bytes | None], n: int) -> list[np.ndarray]:
+    """The set of each text as sorted whole numbers: among these texts, two shingles have one number only if they are
+    the same words."""
+    numbers: dict[bytes, int] = {}
+    short: dict[bytes, int] = {}
+    parts, ends, total = [], [], 0
+    for raw in texts:
+        for words in words_of(raw):
+            parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words)))
+            total += len(words)
+        ends.append(total)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    code, most, kinds = ids, max(1, len(numbers)), max(1, len(numbers))
+    for i in range(1, n):
+        if most * kinds >= 1 << 62:  # number the pieces anew, so that no product overflows
+            distinct, code = np.unique(code, return_inverse=True)
+            most = len(distinct)
+        code = code[: max(0, len(ids) - i)] * kinds + ids[i:]
+        most *= kinds
+    out, begin = [], 0
+    for end in ends:
+        k = end - begin
+        if k >= n:
+            out.append(np.unique(code[begin : end - n + 1]))
+        elif k:
+            out.append(np.array([-1 - short.setdefault(ids[begin:end].tobytes(), len(short))], dtype=np.int64))
+        else:
+            out.append(ids[:0])
+        begin = end
+    return out
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Similarity of at least num / den, in whole numbers."""
@@ -171,23 +185,22 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
-    """docs with __rid, __node (digest of the set, null if empty), __n (its size) and __prefix (its WIDE * prefix
-    smallest hashes), saved."""
-    schema = docs.withColumns({"__rid": F.monotonically_increasing_id(), "__node": F.lit(b""), "__n": F.lit(0).cast("long"), "__prefix": F.array(F.lit(0).cast("long"))}).schema
-    for f in schema:
-        f.nullable = True
-    at = docs.columns.index(text)
+    """docs, a plain table, with rid, node (digest of the set, null if empty), n (its size) and prefix (its
+    WIDE * prefix smallest hashes), saved.  Only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<node: binary, n: long, prefix: array<long>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Digests()
         for batch in batches:
             nodes, sizes, prefixes = [], [], []
-            for s in shingle_sets(utf8(batch.column(at)), n):
-                nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            for s, digest in digested_sets(utf8(batch), n, known):
+                nodes.append(digest)
                 sizes.append(len(s))
                 prefixes.append(_as_long(s[: WIDE * t.prefix(len(s))] if len(s) else s))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), _lists(prefixes)], names=[f.name for f in schema])
+            yield pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), _lists(prefixes)], names=["node", "n", "prefix"])
 
-    return saved(docs.withColumn("__rid", F.monotonically_increasing_id()).mapInArrow(run, schema), "sets")
+    rows = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("found", found(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return saved(rows.select("*", "found.node", "found.n", "found.prefix").drop("found"), "sets")
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -205,11 +218,13 @@ def _pick(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
 def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
     """(tok, rid, n, pos, last, leader) of the prefix tokens that two or more sets share, saved.  last is the place of
     the prefix's last token in the order, but for two bits."""
-    first = reps.select(F.explode("__prefix").alias("tok"))
+    first = reps.select(F.explode("prefix").alias("tok"))
     counted = first.groupBy("tok").count().where(F.col("count") >= FREQUENT)
-    frequent = np.array(sorted(r["tok"] for r in counted.orderBy(F.desc("count"), "tok").limit(MOST_FREQUENT).collect()), dtype=np.int64)
+    chosen = counted.orderBy(F.desc("count"), "tok").limit(MOST_FREQUENT).select("tok").toArrow()
+    frequent = np.sort(chosen.column(0).to_numpy().astype(np.int64))
 
     def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Digests()
         for batch in batches:
             sizes = batch.column(2).to_numpy()
             lists = batch.column(1)
@@ -227,7 +242,7 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
                 toks.append(rare[: t.prefix(size)])
             texts = batch.column(3).take(pa.array(again, pa.int64()))
             last_key = np.zeros(len(toks), dtype=np.int64)
-            for k, s in zip(again, shingle_sets(utf8(texts), n), strict=True):
+            for k, s in zip(again, shingle_sets(utf8(texts), n, known), strict=True):
                 s = _as_long(s)
                 last = _among(s, frequent)
                 toks[k] = np.concatenate([s[~last], s[last]])[: len(toks[k])]
@@ -245,7 +260,7 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
                 "last": pa.array(np.repeat(last_key, lens), pa.int64()),
             })
 
-    listed = reps.select("__rid", "__prefix", "__n", text).mapInArrow(reorder, "tok long, rid long, n int, pos int, last long")
+    listed = reps.select("rid", "prefix", "n", text).mapInArrow(reorder, "tok long, rid long, n int, pos int, last long")
     step = np.log(t.den / t.num)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +300,7 @@ class Answers:
     """Overlaps of any set with every set of a cluster, from its overlap with the first and the differences."""
 
     def __init__(self) -> None:
-        self.pivot = np.zeros(0, np.uint64)
+        self.pivot = np.zeros(0, np.int64)
         self.sizes: list[int] = []
         self.ids: list[int] = []
         self.tokens: list[np.ndarray] = []
@@ -326,39 +341,61 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 def _verify(meets: DataFrame, members: DataFrame, texts: DataFrame, n: int, t: Threshold, alike: float = 1.0) -> DataFrame:
     """(rid, y, linked) of the sets rid of family k and y of the meets (k, y) that have at least `alike` of the asked
-    similarity; members are (k, rid).  linked: the whole of it."""
+    similarity; members are (k, rid, n).  linked: the whole of it, by the words themselves.  Saved."""
     wanted = members.join(meets.select("k").distinct(), "k", "left_semi")
-    sizes = wanted.groupBy("k").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mc"))
+    sizes = wanted.groupBy("k").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / TOKENS)).cast("int").alias("mc"))
     chunks = meets.groupBy("k").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("yc")).join(sizes, "k")
     part = lambda c, by: F.pmod(F.xxhash64(by), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = wanted.join(chunks, "k").select("k", part("mc", "rid").alias("m"), every("yc").alias("c"), F.lit(0).alias("kind"), "rid")
     right = meets.join(chunks, "k").select("k", every("mc").alias("m"), part("yc", "y").alias("c"), F.lit(1).alias("kind"), F.col("y").alias("rid"))
     needed = left.unionByName(right)
-    ids = needed.select(F.col("rid").alias("id")).distinct()
-    rows = needed.join(_pick(texts, "rid", saved(ids, "ids"), "left_semi"), "rid").select("k", "m", "c", "kind", "rid", "text")
+    ids = saved(needed.select(F.col("rid").alias("id")).distinct(), "ids")
+    rows = needed.join(_pick(texts, "rid", ids, "left_semi"), "rid").select("k", "m", "c", "kind", "rid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, Answers()
+        now, held, size, own = None, [], 0, 0  # groups of (ids, texts) of members and of sets that meet them
         for batch in batches:
             keys = [batch.column(i).to_pylist() for i in range(5)]
-            out_r, out_y, out_l = [], [], []
-            for k, m, c, kind, rid, s in zip(*keys, shingle_sets(utf8(batch.column(5)), n), strict=True):
+            for k, m, c, kind, rid, text in zip(*keys, utf8(batch.column(5)), strict=True):
                 if (k, m, c) != now:
-                    now, group = (k, m, c), Answers()
-                if kind == 0:
-                    group.add(s, rid)
-                elif group.sizes:
-                    overlap, sizes = group.overlaps(s)
-                    linked = t.similar(overlap, sizes, len(s))
-                    for at in np.flatnonzero(linked | (overlap >= alike * t.num / t.den * (sizes + len(s) - overlap))).tolist():
-                        out_r.append(group.ids[at])
-                        out_y.append(rid)
-                        out_l.append(bool(linked[at]))
-            yield pa.RecordBatch.from_pydict({"rid": pa.array(out_r, pa.int64()), "y": pa.array(out_y, pa.int64()), "linked": pa.array(out_l, pa.bool_())})
+                    now, own = (k, m, c), 0
+                    held.append(([], [], [], []))
+                group = held[-1]
+                group[2 * kind].append(rid)
+                group[2 * kind + 1].append(text)
+                size += len(text)
+                own += len(text) * (kind == 0)
+                if size > AT_ONCE + 2 * own:
+                    yield _answers(held, n, t, alike)
+                    held, size = [(group[0], group[1], [], [])], own
+        if held:
+            yield _answers(held, n, t, alike)
 
     dealt = rows.repartition("k", "m", "c").sortWithinPartitions("k", "m", "c", "kind", "rid")
-    return dealt.mapInArrow(run, "rid long, y long, linked boolean")
+    out = saved(dealt.mapInArrow(run, "rid long, y long, linked boolean"), "verified")
+    discard(ids)
+    return out
+
+
+def _answers(groups: list[tuple[list[int], list[bytes], list[int], list[bytes]]], n: int, t: Threshold, alike: float) -> pa.RecordBatch:
+    sets = iter(numbered_sets((text for g in groups for text in [*g[1], *g[3]]), n))
+    out_r, out_y, out_l = [], [], []
+    for rids, _, ys, _ in groups:
+        known = Answers()
+        for rid in rids:
+            known.add(next(sets), rid)
+        for y in ys:
+            s = next(sets)
+            if not known.sizes:
+                continue
+            overlap, sizes = known.overlaps(s)
+            linked = t.similar(overlap, sizes, len(s))
+            for at in np.flatnonzero(linked | (overlap >= alike * t.num / t.den * (sizes + len(s) - overlap))).tolist():
+                out_r.append(known.ids[at])
+                out_y.append(y)
+                out_l.append(bool(linked[at]))
+    return pa.RecordBatch.from_pydict({"rid": pa.array(out_r, pa.int64()), "y": pa.array(out_y, pa.int64()), "linked": pa.array(out_l, pa.bool_())})
 
 
 def family_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
@@ -391,8 +428,8 @@ def family_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t:
 
 
 def _inside(families: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """(k, y) of links inside families (fam, rid, n).  A family whose sets have many tokens is dealt in chunks, and
-    each two chunks meet in one group."""
+    """(k, y) of links inside families (fam, rid, n), saved.  A family whose sets have many tokens is dealt in chunks,
+    and each two chunks meet in one group."""
     chunks = families.groupBy("fam").agg(F.ceil(F.sum("n") / TOKENS).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1").drop("m")
     own = families.join(chunks, "fam").withColumn("c", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -401,27 +438,37 @@ def _inside(families: DataFrame, texts: DataFrame, n: int, t: Threshold) -> Data
     rows = needed.join(_pick(texts, "rid", ids, "left_semi"), "rid").select("fam", "i", "j", "c", "rid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, places, rids = None, [], [], []
-
-        def links() -> pa.RecordBatch:
-            at = np.array(places)
-            found = family_links(sets, at == now[1], at == now[2], t) if len(sets) > 1 else []
-            return pa.RecordBatch.from_pydict({"k": pa.array([min(rids[x], rids[y]) for x, y in found], pa.int64()), "y": pa.array([max(rids[x], rids[y]) for x, y in found], pa.int64())})
-
+        now, held, size = None, [], 0  # groups of (i, j), chunks, ids and texts
         for batch in batches:
             keys = [batch.column(i).to_pylist() for i in range(5)]
-            for fam, i, j, c, rid, s in zip(*keys, shingle_sets(utf8(batch.column(5)), n), strict=True):
+            for fam, i, j, c, rid, text in zip(*keys, utf8(batch.column(5)), strict=True):
                 if (fam, i, j) != now:
-                    if now is not None:
-                        yield links()
-                    now, sets, places, rids = (fam, i, j), [], [], []
-                sets.append(s)
-                places.append(c)
-                rids.append(rid)
-        if now is not None:
-            yield links()
+                    now = (fam, i, j)
+                    if size > AT_ONCE:
+                        yield _links(held, n, t)
+                        held, size = [], 0
+                    held.append(((i, j), [], [], []))
+                for to, x in zip(held[-1][1:], (c, rid, text), strict=True):
+                    to.append(x)
+                size += len(text)
+        if held:
+            yield _links(held, n, t)
+
+    out = saved(rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j", "rid").mapInArrow(run, "k long, y long"), "links")
+    discard(ids)
+    return out
 
-    return rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j", "rid").mapInArrow(run, "k long, y long")
+
+def _links(groups: list[tuple[tuple[int, int], list[int], list[int], list[bytes]]], n: int, t: Threshold) -> pa.RecordBatch:
+    sets = numbered_sets((text for g in groups for text in g[3]), n)
+    k, y, begin = [], [], 0
+    for (i, j), places, rids, _ in groups:
+        end, at = begin + len(rids), np.array(places)
+        for a, b in family_links(sets[begin:end], at == i, at == j, t) if len(rids) > 1 else []:
+            k.append(min(rids[a], rids[b]))
+            y.append(max(rids[a], rids[b]))
+        begin = end
+    return pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "y": pa.array(y, pa.int64())})
 
 
 def _prefix_length(size: Column, t: Threshold) -> Column:
@@ -434,28 +481,30 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows of docs with __rid, __node and __n, and (rep, cl): for each node's first row the first row of its
+    """The rows of docs, a plain table, with rid, node and n, and (node, cl): for each node the first row of its
     component.  Rows with empty sets have no node."""
+    lean(docs.sparkSession)
     t = Threshold(num, den)
     rows = _sets(docs, n, t, text)
-    nodes = rows.where(F.col("__node").isNotNull()).groupBy("__node").agg(F.min("__rid").alias("rep"))
-    nodes = saved(nodes, "nodes")
-    reps = _pick(rows, "__rid", nodes.select(F.col("rep").alias("id")), "left_semi")
+    nodes = saved(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("rid").alias("rep")), "nodes")
+    reps = _pick(rows, "rid", nodes.select(F.col("rep").alias("id")), "left_semi")
     entries = _entries(reps, n, t, text)
-    texts = rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text"))
+    texts = rows.select("rid", F.col(text).cast("string").alias("text"))
 
     star = entries.where(F.col("rid") != F.col("leader")).select(F.least("rid", "leader").alias("k"), F.greatest("rid", "leader").alias("y"), "n")
     # a leader is only a guess: a pair is worth a look if it leads in a tenth of the prefix
     star = star.groupBy("k", "y").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") >= F.col("n") * (1 - t.num / t.den) * 0.1).select("k", "y")
     star = saved(star, "stars")
-    alike = saved(_verify(star, star.select("k", F.col("k").alias("rid")).distinct(), texts, n, t, ALIKE), "alike")
-    clusters = saved(components(alike.select(F.col("rid").alias("u"), F.col("y").alias("v"))), "families")
-    sizes = rows.select(F.col("__rid").alias("rid"), F.col("__n").alias("n"))
+    alike = _verify(star, star.select("k", F.col("k").alias("rid"), F.lit(1).alias("n")).distinct(), texts, n, t, ALIKE)
+    clusters = components(alike.select(F.col("rid").alias("u"), F.col("y").alias("v")))
+    discard(star, alike)
+    sizes = rows.select("rid", "n")
     families = clusters.join(_pick(sizes, "rid", clusters.select(F.col("node").alias("id")), "left_semi"), F.col("node") == F.col("rid")).select(F.col("component").alias("fam"), "rid", "n")
-    links = saved(_inside(families, texts, n, t), "links")
+    families = saved(families, "families")
+    links = _inside(families, texts, n, t)
 
-    count = clusters.groupBy("component").agg(F.count("*").alias("sets"))
-    sized = saved(clusters.join(count, "component").select("node", "component", "sets"), "sized")
+    count = families.groupBy("fam").agg(F.count("*").alias("sets"))
+    sized = saved(families.join(count, "fam").select(F.col("rid").alias("node"), F.col("fam").alias("component"), "sets"), "sized")
     placed = entries.join(_small(sized), F.col("rid") == F.col("node"), "left").withColumn("cl", F.coalesce("component", "rid")).withColumn("sets", F.coalesce("sets", F.lit(1))).drop("node", "component", "leader")
     size = F.col("n") - _prefix_length(F.col("n"), t)
     blocks = placed.groupBy("tok", "cl").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max(size).alias("after"), F.min("last").alias("first_last"), F.max("last").alias("last_last"), F.max("sets").alias("sets"))
@@ -477,12 +526,14 @@ def grouped(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: st
     # all common tokens count; what is left after the first of them has to be enough
     meets = met.groupBy("k", "y").agg(F.count("*").alias("c"), F.min("need").alias("need"), F.max("enough").alias("enough")).where("enough and c >= need").select("k", "y")
     meets = saved(meets, "meets")
-    members = clusters.select(F.col("component").alias("k"), F.col("node").alias("rid"))
-    alone = meets.select("k").distinct().join(members.select("k").distinct(), "k", "left_anti").select("k", F.col("k").alias("rid"))
-    more = saved(_verify(meets, members.unionByName(alone), texts, n, t).where("linked").select(F.col("rid").alias("k"), "y"), "more")
+    discard(entries, sized)
+    members = families.select(F.col("fam").alias("k"), "rid", "n")
+    alone = meets.select("k").distinct().join(members.select("k").distinct(), "k", "left_anti").select("k", F.col("k").alias("rid"), F.lit(1).cast("long").alias("n"))
+    more = _verify(meets, members.unionByName(alone), texts, n, t).where("linked").select(F.col("rid").alias("k"), "y")
     joined = components(links.unionByName(more).select(F.col("k").alias("u"), F.col("y").alias("v")))
-    joined = saved(joined, "components")
-    linked = nodes.join(joined, F.col("rep") == F.col("node"), "left").select("__node", F.coalesce("component", "rep").alias("cl"))
+    discard(meets, families, clusters, links)
+    linked = saved(nodes.join(joined.withColumnRenamed("node", "of"), F.col("rep") == F.col("of"), "left").select("node", F.coalesce("component", "rep").alias("cl")), "linked")
+    discard(nodes, joined)
     return rows, linked
 
 
@@ -492,23 +543,32 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, t
     Words are runs without ASCII white space, A-Z lower-cased; a set is the distinct n-word shingles, with fewer
     words the whole sequence; null, empty and blank texts have an empty set, link with nothing and keep their
     own id.  component_id is the smallest doc_id of the rows that links reach; a null doc_id takes part as a row
-    but is never the smallest of others.  Repeated rows are one node.  An empty table gives no rows.
+    but is never the smallest of others.  Repeated rows are one node.  Texts of any length are read whole, a piece at
+    a time.  An empty table gives no rows.  Columns other than doc_id and the text are not read.
     """
-    rows, linked = grouped(docs.select("doc_id", F.col(text).alias("text")), n, num, den, "text")
-    own = rows.select("doc_id", "__n", "__node")
-    known = own.where(F.col("__node").isNotNull()).join(linked, "__node").select("doc_id", "__n", "cl")
-    least = known.groupBy("cl").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least, "cl").select("doc_id", F.col("__n").alias("n_shingles"), "component_id")
-    return out.unionByName(own.where(F.col("__node").isNull()).select("doc_id", F.col("__n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows, linked = grouped(plain(docs.select("doc_id", F.col(text))), n, num, den, "c1")
+    own = rows.select(F.col("c0").alias("doc_id"), "n", "node")
+    # equal sets first become one row, so that a large group of copies is met once by its component
+    least = own.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node")
+    component = least.groupBy("cl").agg(F.min("least").alias("component_id"))
+    of_node = saved(least.join(component, "cl").select("node", "component_id"), "component-ids")
+    known = own.join(_small(of_node), "node")
+    out = known.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(own.where(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are the first of their group; rows with empty sets all stay."""
-    rows, linked = grouped(docs, n, num, den, text)
-    place = rows.where(F.col("__node").isNotNull()).select("__rid", "__node").join(linked, "__node")
-    first = place.groupBy("cl").agg(F.min("__rid").alias("first"))
-    gone = saved(place.join(first, "cl").where(F.col("__rid") != F.col("first")).select(F.col("__rid").alias("id")), "gone")
-    return _pick(rows, "__rid", gone, "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that are the first of their group.
+
+    Two rows link at a similarity of num / den of their n-word shingles, a group is what links reach.  Rows without
+    words (null, empty, blank texts) have no group and all stay; of repeated rows one stays.  Which row is the first
+    follows from the order in which docs is read.  An empty table gives no rows.  Columns may have any names.
+    """
+    rows, linked = grouped(plain(docs), n, num, den, place_of(docs, text))
+    of_node = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("rid").alias("first"))
+    stays = saved(of_node.join(linked, "node").groupBy("cl").agg(F.min("first").alias("id")).select("id"), "first-rows")
+    out = rows.where(F.col("node").isNull()).unionByName(_pick(rows.where(F.col("node").isNotNull()), "rid", stays, "left_semi"))
+    return out.select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
