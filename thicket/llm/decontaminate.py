@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import table
+from thicket.llm.common import place_of, plain, table
 
 #: Signature values looked up in one pass over the documents, and items that are sent to all tasks at once.
 VALUES_AT_ONCE, ITEMS_AT_ONCE = 20_000, 5_000
@@ -127,9 +127,13 @@ def _owners(hits: Column, place: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int = 5, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no item; rows without text stay."""
-    hit = "__holds_item"
-    out = docs
+    """The rows of docs, all columns, that hold no item.
+
+    A document holds an item if it has at least the share `least` of the item's distinct n-word shingles.  Rows with
+    null or empty texts stay, items without words match nothing, repeated rows go or stay together, and texts are read
+    whole.  Without items all rows stay; an empty table gives no rows.  Columns may have any names.
+    """
+    out, words = plain(docs), F.col(place_of(docs, text)).cast("string")
     for block in _blocks(items, least, n):
         wanted, place = _lookup(block)
         sets = F.expr(f"array({','.join('array(' + ','.join(map(_quoted, own)) + ')' for _, own, _ in block)})")
@@ -141,8 +145,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int
             verify = lambda hits: _let(shingles(w, n), lambda own: F.exists(_owners(hits, place), lambda at: holds(own, at)))
             return _let(F.array_intersect(hashes(w, n), wanted), lambda hits: F.when(F.size(hits) > 0, verify(hits)).otherwise(F.lit(False)))
 
-        out = out.withColumn(hit, _let(word_list(F.col(text)), judge)).where(~F.col(hit)).drop(hit)
-    return out
+        out = out.withColumn("hit", _let(word_list(words), judge)).where("not hit").drop("hit")
+    return out.toDF(*docs.columns)
 
 
 def _quoted(s: str) -> str:
