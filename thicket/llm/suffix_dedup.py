@@ -1,7 +1,7 @@
 """Exact removal of repeated byte strings with a hash-compared suffix sort: prefix polynomial hashes and binary
 search give the common extension of two suffixes, so that a mergesort compares them in logarithmic time; what
-the sort finds equal is compared byte by byte.  Two paths trust hashes instead: runs that are equal throughout
-(64-bit hashes of anchor and run), and the windows of hot anchors (128-bit digests).
+the sort finds equal is compared byte by byte.  Two paths compare cryptographic digests of the bytes instead (BLAKE2b,
+128 bits): runs that are equal throughout, and the windows of anchors with so many runs that no task can hold them.
 
 A corpus does not fit one sort, so its windows (strings of `length` bytes) are first dealt into groups in which
 all equal windows meet.  The group of a window is its anchor, the `gram` bytes with the smallest hash inside it
@@ -18,19 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import mix64, saved, table, utf8
+from thicket.llm.common import at_once, discard, lean, mix64, plain, saved, table, utf8
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Windows handled at once of a long text, and pairs of run and column handled at once by the sort.
 CHUNK, AT_ONCE = 1 << 20, 200_000
-#: An anchor with this many runs and this share of all runs is hot: its windows are counted by an aggregation.
-HOT_RUNS, HOT_SHARE = 20_000, 1e-5
-IDS_AT_ONCE = 500_000
+#: An anchor with more runs than this, a few MB of them, is hot: its windows are counted by an aggregation.
+HOT_RUNS = 20_000
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -227,16 +225,20 @@ def _equal(text: np.ndarray, r1: np.ndarray, r2: np.ndarray, col: np.ndarray, le
     return out
 
 
-RUN = "gid long, ah long, ch long, rid long, s long, n int, off int"
+def digest(part: memoryview | bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
+
+
+RUN = "gid long, ah long, c1 long, c2 long, rid long, s long, n int, off int"
 
 
 def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """The runs of every text; gid numbers them, ah and ch are hashes of the anchor and of the whole run."""
+    """The runs of every text; gid numbers them, ah is the hash of the anchor, c1 and c2 the digest of the whole run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
             size = 0
             for rid, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 if raw is None or len(raw) < length:
@@ -244,14 +246,13 @@ def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 view = memoryview(raw)
                 for ah, s, n, off in runs(raw, length, gram, powers):
                     ends = (s + n + (length - 1)).tolist()
-                    digest = xxhash.xxh3_64_intdigest
-                    ch = np.array([digest(view[a:b]) for a, b in zip(s.tolist(), ends, strict=True)], dtype=np.uint64).view(np.int64)
-                    for to, x in zip(parts, (ah, ch, np.full(len(s), rid), s, n.astype(np.int32), off.astype(np.int32)), strict=True):
+                    whole = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(s.tolist(), ends, strict=True)]), dtype=np.int64).reshape(-1, 2)
+                    for to, x in zip(parts, (ah, whole[:, 0], whole[:, 1], np.full(len(s), rid), s, n.astype(np.int32), off.astype(np.int32)), strict=True):
                         to.append(x)
                     size += len(s)
                 if size > 200_000:
                     yield _batch(parts)
-                    parts, size = [[] for _ in range(6)], 0
+                    parts, size = [[] for _ in range(7)], 0
             yield _batch(parts)
 
     found = rows.select("rid", "text").mapInArrow(run, RUN.split(", ", 1)[1])
@@ -272,9 +273,9 @@ def _groups(found: DataFrame) -> DataFrame:
     compared with others of its group (one of each kind of equal runs is enough)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 6), dtype=np.int64)
+        held = np.zeros((0, 7), dtype=np.int64)
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)], axis=1)])
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)], axis=1)])
             if not len(rows):
                 continue
             cut = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left"))
@@ -284,26 +285,25 @@ def _groups(found: DataFrame) -> DataFrame:
         if len(held):
             yield _verdicts(held)
 
-    return found.select("ah", "ch", "rid", "s", "n", "off").repartition("ah").sortWithinPartitions("ah", "ch", "rid", "s").mapInArrow(run, VERDICT)
+    return found.select("ah", "c1", "c2", "rid", "s", "n", "off").repartition("ah").sortWithinPartitions("ah", "c1", "c2", "rid", "s").mapInArrow(run, VERDICT)
 
 
 def _verdicts(rows: np.ndarray) -> pa.RecordBatch:
-    ah, ch = rows[:, 0], rows[:, 1]
-    new_group = np.append(True, ah[1:] != ah[:-1])
-    new_class = new_group | np.append(True, ch[1:] != ch[:-1])
+    new_group = np.append(True, rows[1:, 0] != rows[:-1, 0])
+    new_class = np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))
     in_class = np.diff(np.append(np.flatnonzero(new_class), len(rows)))
     whole = np.repeat(in_class > 1, in_class)
     group = np.cumsum(new_group) - 1
     classes = np.bincount(group[new_class])[group]
     compare = (classes > 1) & new_class
     keep = whole | compare
-    r = rows[keep]
-    return pa.RecordBatch.from_pydict({"rid": pa.array(r[:, 2]), "ah": pa.array(r[:, 0]), "s": pa.array(r[:, 3]), "n": pa.array(r[:, 4].astype(np.int32)), "off": pa.array(r[:, 5].astype(np.int32)), "whole": pa.array(whole[keep]), "compare": pa.array(compare[keep])})
+    ah, _, _, rid, s, n, off = rows[keep].T
+    return pa.RecordBatch.from_pydict({"rid": pa.array(rid), "ah": pa.array(ah), "s": pa.array(s), "n": pa.array(n.astype(np.int32)), "off": pa.array(off.astype(np.int32)), "whole": pa.array(whole[keep]), "compare": pa.array(compare[keep])})
 
 
 def _semi(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose rid is in ids; the ids are sent to all tasks only up to a fixed number."""
-    return rows.join(F.broadcast(ids) if ids.count() <= IDS_AT_ONCE else ids, "rid", "left_semi")
+    return rows.join(at_once(ids), "rid", "left_semi")
 
 
 def _contents(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -370,14 +370,14 @@ def _span_batch(rows: list[tuple], length: int, gram: int) -> pa.RecordBatch:
 def _hot_spans(found: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """Spans of hot anchors.  Equal runs are counted with map-side sums; every window of one of each kind becomes a
     128-bit digest, and digests are counted likewise, so that no task holds a hot anchor's runs."""
-    kinds = saved(found.groupBy("ah", "ch").agg(F.count("*").alias("c"), F.min("gid").alias("gid")), "hot-kinds")
-    whole = found.join(kinds.where("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("rid", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("b"))
+    kinds = saved(found.groupBy("ah", "c1", "c2").agg(F.count("*").alias("c"), F.min("gid").alias("gid")), "hot-kinds")
+    whole = found.join(kinds.where("c > 1").select("ah", "c1", "c2"), ["ah", "c1", "c2"], "left_semi").select("rid", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("b"))
     firsts = found.join(kinds.select("gid", "c"), "gid").select("ah", "rid", "s", "n", "off", (F.col("c") > 1).alias("whole"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, s, n, whole_run, content in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6)), strict=True):
-                digests = [xxhash.xxh3_128_digest(content[j : j + length]) for j in range(n)]
+                digests = [digest(content[j : j + length]) for j in range(n)]
                 yield pa.RecordBatch.from_pydict({"rid": pa.array([rid] * n, pa.int64()), "a": pa.array(range(s, s + n), pa.int64()), "whole": pa.array([whole_run] * n, pa.bool_()), "digest": pa.array(digests, pa.binary())})
 
     all_windows = saved(_contents(rows, firsts, length).mapInArrow(windows, "rid long, a long, whole boolean, digest binary"), "hot-windows")
@@ -407,25 +407,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int | None = None,
 
     Each byte goes that is covered by a string of `length` bytes which also starts anywhere else, in the same
     text or another; strings are judged on the input.  Null texts count as empty; texts shorter than `length`
-    stay whole.  Repeated rows repeat each other's strings.  Columns other than doc_id and the text are not
-    read.  An empty table gives no rows.
+    stay whole.  Repeated rows repeat each other's strings.  Texts of any length are read whole, a piece at a time.
+    Columns other than doc_id and the text are not read.  An empty table gives no rows.
     """
+    lean(docs.sparkSession)
     gram = max(1, length // 5) if gram is None else gram
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")), "texts")
+    both = plain(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")))
+    rows = saved(both.select(F.monotonically_increasing_id().alias("rid"), F.col("c0").alias("doc_id"), F.coalesce("c1", F.lit("")).alias("text")), "texts")
     found = _runs(rows, length, gram)
-    total = found.count()
-    most = max(hot_runs, int(total * HOT_SHARE))
-    hot = found.groupBy("ah").count().where(F.col("count") > most).select("ah")
-    hot = saved(hot, "hot")
-    is_hot = hot.count() > 0
-    usual = found.join(F.broadcast(hot), "ah", "left_anti") if is_hot else found
+    hot = saved(found.groupBy("ah").count().where(F.col("count") > hot_runs).select("ah"), "hot")
+    is_hot = not hot.isEmpty()
+    usual = found.join(at_once(hot), "ah", "left_anti") if is_hot else found
     verdicts = saved(_groups(usual), "verdicts")
     parts = verdicts.where("whole").select("rid", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).cast("long").alias("b"))
     contents = _contents(rows, verdicts.where("compare").select("ah", "rid", "s", "n", "off", "whole"), length)
-    parts = parts.unionByName(saved(_compared(contents, length, gram), "spans"))
+    compared = saved(_compared(contents, length, gram), "spans")
+    parts = parts.unionByName(compared)
     if is_hot:
-        parts = parts.unionByName(saved(_hot_spans(found.join(F.broadcast(hot), "ah", "left_semi"), rows, length), "hot-spans"))
+        parts = parts.unionByName(saved(_hot_spans(found.join(at_once(hot), "ah", "left_semi"), rows, length), "hot-spans"))
     spans = saved(parts.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "document-spans")
+    discard(found, hot, verdicts, compared)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text
 
@@ -441,7 +442,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int | None = None,
             yield pa.RecordBatch.from_arrays(arrays[: 5 + kept_text], names=[c.split()[0] for c in schema.split(", ")])
 
     ids = spans.select("rid")
-    known = F.broadcast(ids) if ids.count() <= IDS_AT_ONCE else ids
+    known = at_once(ids)
     changed = rows.join(known, "rid", "left_semi").join(spans, "rid").select("doc_id", "text", "spans").mapInArrow(finish, schema)
     raw = F.col("text").cast("binary")
     same = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256")]
