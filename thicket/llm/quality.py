@@ -6,13 +6,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import table, utf8
+from thicket.llm.common import lean, place_of, plain, table, utf8, with_columns
 
 #: Frequent function words of English, French, German and Spanish.
 COMMON = frozenset(
@@ -33,29 +35,49 @@ _STRIP = b".,;:!?'\"()"
 LABELLERS = ("runs", "capitals", "symbols", "shouts", "lines", "variety", "separators", "function words", "sentences")
 ABSTAIN = 2
 
+#: Longer words count as pieces of so many bytes; words that a task remembers.
+PIECE, REMEMBERED = 64, 50_000
 
-def votes(raw: bytes) -> tuple[int, ...]:
+
+class Kinds(dict):
+    """What the labellers ask of a word, in bits: 1 a function word, 2 a lone odd character, 4 it ends a sentence.
+    Filled as words come, cleared when full; long words are not remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = (word.lower().strip(_STRIP) in _COMMON) + 2 * (len(word) == 1 and word in _ODD) + 4 * (word[-1] in b".!?")
+        if len(word) <= PIECE:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
+        return out
+
+
+#: For each kind, the bytes that do not have its bit.
+_WITHOUT = {bit: bytes(k for k in range(8) if not k & bit) for bit in (1, 2, 4)}
+
+
+def votes(raw: bytes, kinds: Kinds | None = None) -> tuple[int, ...]:
     """The labellers' votes on one whole text; a text of fewer than five words gets none."""
     words = raw.split()
     n = len(words)
     if n < 5:
         return (ABSTAIN,) * len(LABELLERS)
+    kinds = Kinds() if kinds is None else kinds
     bad = lambda x: 0 if x else ABSTAIN
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n - 1)
+    of = bytes(map(kinds.__getitem__, words))
+    common, lone, ends = (len(of.translate(None, _WITHOUT[bit])) / n for bit in (1, 2, 4))
+    same = sum(map(eq, words, islice(words, 1, None))) / (n - 1)
     upper = len(raw.translate(None, _NOT_UPPER)) / max(1, len(raw.translate(None, _NOT_LETTER)))
     odd = len(raw.translate(None, _NOT_ODD)) / max(1, len(raw.translate(None, _SPACE)))
-    common = sum(w.strip(_STRIP) in _COMMON for w in map(bytes.lower, words)) / n
-    pairs = len(set(zip(words, words[1:], strict=False))) / (n - 1)
+    pairs = len(set(zip(words, islice(words, 1, None), strict=False))) / (n - 1) if n >= 30 else 1.0
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    lone = sum(len(w) == 1 and w in _ODD for w in words) / n
-    ends = sum(w[-1] in b".!?" for w in words) / n
     return (
         bad(same > 0.3),
         bad(upper > 0.5),
         bad(odd > 0.08),
         bad(raw.count(b"!") / n > 0.2),
         bad(len(lines) >= 4 and len(set(lines)) < 0.4 * len(lines)),
-        bad(pairs < 0.5 and n >= 30),
+        bad(pairs < 0.5),
         bad(lone > 0.2),
         0 if common < 0.02 and n >= 30 else 1 if common > 0.1 else ABSTAIN,
         0 if ends < 0.005 and n >= 60 else 1 if 0.02 < ends < 0.5 else ABSTAIN,
@@ -128,10 +150,6 @@ def _hash(x: bytes) -> int:
     return (h ^ (h >> 32)) % BUCKETS
 
 
-#: Longer words count as pieces of so many bytes.
-PIECE = 64
-
-
 def split_words(raw: bytes) -> list[bytes]:
     """The words of a text, long ones in pieces, so that every byte counts."""
     words = raw.split()
@@ -145,7 +163,7 @@ class Features(dict):
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         out = (_hash(b"w" + word), _hash(b"s" + _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))))
-        if len(self) >= 100_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = out
         return out
@@ -161,7 +179,7 @@ def row_features(raw: bytes, features: Features) -> tuple[np.ndarray, np.ndarray
     if not words:
         return np.array([_SHORT], dtype=np.int64), np.array([1.0])
     at = np.array([i for w in words for i in features[w]], dtype=np.int64)
-    twice = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    twice = sum(map(eq, words, islice(words, 1, None)))
     bucket, n = np.unique(at, return_counts=True)
     return np.append(bucket, _TWICE), np.append(n / len(words), twice / len(words))
 
@@ -199,7 +217,7 @@ class Scores(dict):
 
     def __missing__(self, word: bytes) -> float:
         a, b = self.features[word]
-        if len(self) >= 100_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = out = float(self.weights[a] + self.weights[b])
         return out
@@ -210,7 +228,7 @@ def score(raw: bytes, known: Scores, bias: float) -> float:
     if not words:
         total = float(known.weights[_SHORT])
     else:
-        twice = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        twice = sum(map(eq, words, islice(words, 1, None)))
         total = (sum(map(known.__getitem__, words)) + twice * float(known.weights[_TWICE])) / len(words)
     return float(1 / (1 + np.exp(-np.clip(total + bias, -500, 500))))
 
@@ -223,67 +241,109 @@ class Classifier:
 
 
 def fit(docs: DataFrame, sample_rows: int = 6000, text: str = "text", key: str = "doc_id") -> Classifier:
-    """The label model is fitted to the votes on every document; the scorer to a bounded sample of about
-    sample_rows documents, chosen by a hash of their key and text, with their posterior labels."""
+    """The label model is fitted to the votes on every document; the scorer to a sample with their posterior labels.
+
+    The sample is the sample_rows documents with the smallest hashes of key and whole text, so it has no more rows
+    whatever the table; of rows that are alike in both, as many as fit are drawn.  Null and empty texts have no votes
+    and the features of a text without words; an empty table gives a model without weights.  Texts of any length are
+    read whole; columns other than the two are not read.
+    """
+    lean(docs.sparkSession)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
+        kinds = Kinds()
         for batch in batches:
             for raw in utf8(batch.column(0)):
-                code = pattern(votes(raw or b""))
+                code = pattern(votes(raw or b"", kinds))
                 seen[code] = seen.get(code, 0) + 1
         yield pa.RecordBatch.from_pydict({"code": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = docs.select(F.col(text)).mapInArrow(vote, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    both = plain(docs.select(F.col(text).cast("string"), F.col(key).cast("string")))
+    counted = both.select("c0").mapInArrow(vote, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = {r["code"]: r["n"] for r in counted.collect()}
     labels = fit_labels(counts)
+
+    # about twice the wanted rows pass by their hash, and become features; the smallest hashes of them are taken
     total = sum(counts.values())
-    keep = min(1.0, sample_rows / max(1, total))
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.length(text)), F.lit(1 << 30)) < int(keep * (1 << 30))
+    least = -(1 << 63) + min((1 << 64) - 1, (2 * sample_rows << 64) // max(1, total))
+    drawn = both.select(F.xxhash64("c1", "c0").alias("h"), "c0").where(F.col("h") <= least)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features, kinds = Features(), Kinds()
         for batch in batches:
             codes, ats, values = [], [], []
-            for raw in utf8(batch.column(0)):
+            for raw in utf8(batch.column(1)):
                 at, value = row_features(raw or b"", features)
-                codes.append(pattern(votes(raw or b"")))
+                codes.append(pattern(votes(raw or b"", kinds)))
                 ats.append(at.astype(np.uint16).tobytes())
                 values.append(value.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "at": pa.array(ats, pa.binary()), "value": pa.array(values, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"h": batch.column(0), "code": pa.array(codes, pa.int64()), "at": pa.array(ats, pa.binary()), "value": pa.array(values, pa.binary())})
+
+    posterior, rest = labels.posterior, labels.good
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((c, a, v) for b in batches for c, a, v in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        rows = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for _, a, v in found]
+        weights, bias = train(rows, np.array([posterior.get(c, rest) for c, _, _ in found]))
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
-    sample = docs.where(drawn).select(F.col(text)).mapInArrow(extract, "code long, at binary, value binary")
-    found = sorted((r["code"], bytes(r["at"]), bytes(r["value"])) for r in sample.toLocalIterator())
-    rows = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for _, a, v in found]
-    target = np.array([labels.posterior.get(c, labels.good) for c, _, _ in found])
-    return Classifier(labels, *train(rows, target))
+    # one task has the bounded sample; the driver gets the weights only
+    sample = drawn.mapInArrow(extract, "h long, code long, at binary, value binary").orderBy("h", "code", "at", "value").limit(sample_rows)
+    trained = sample.select("code", "at", "value").coalesce(1).mapInArrow(learn, "weights binary, bias double").collect()
+    if not trained:
+        return Classifier(labels, np.zeros(BUCKETS), 0.0)
+    return Classifier(labels, np.frombuffer(bytes(trained[0]["weights"]), np.float32).astype(np.float64), trained[0]["bias"])
+
+
+def _score(model: Classifier):
+    bias, packed = model.bias, model.weights.astype(np.float32).tobytes()
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Scores(np.frombuffer(packed, np.float32))
+        for batch in batches:
+            yield pa.array([score(raw or b"", known, bias) for raw in utf8(batch)], pa.float64())
+
+    return scored
+
+
+def _weak(model: Classifier):
+    labels = model.labels
+
+    @F.arrow_udf("double")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = Kinds()
+        for batch in batches:
+            yield pa.array([labels.posterior.get(pattern(votes(raw or b"", kinds)), labels.good) for raw in utf8(batch)], pa.float64())
+
+    return judged
 
 
 def classify(docs: DataFrame, model: Classifier, least: float = 0.5, text: str = "text") -> DataFrame:
     """All columns of docs and __weak, __score, __keep: the posterior label from the votes, the scorer's
     probability of good quality and whether it is at least `least`.
 
-    Null and empty texts have no votes and the score of a text without words.
+    Null and empty texts have no votes and the score of a text without words.  Texts of any length are read whole.
+    Repeated rows have equal results; an empty table gives no rows.  Columns of docs may have any names; those
+    called __weak, __score or __keep are replaced.  Only texts go to Python.
     """
-    labels, bias, packed = model.labels, model.bias, model.weights.astype(np.float32).tobytes()
-    schema = docs.withColumn("__weak", F.lit(0.0)).withColumn("__score", F.lit(0.0)).schema
-    at = docs.columns.index(text)
+    lean(docs.sparkSession)
+    whole = F.col(place_of(docs, text)).cast("string")
+    out = plain(docs).withColumns({"weak": _weak(model)(whole), "score": _score(model)(whole)}).withColumn("keep", F.col("score") >= least)
+    return with_columns(out, docs.columns, __weak="weak", __score="score", __keep="keep")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Scores(np.frombuffer(packed, np.float32))
-        for batch in batches:
-            weak, out = [], []
-            for raw in utf8(batch.column(at)):
-                weak.append(labels.posterior.get(pattern(votes(raw or b"")), labels.good))
-                out.append(score(raw or b"", known, bias))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weak, pa.float64()), pa.array(out, pa.float64())], names=schema.names)
-
-    return docs.mapInArrow(judge, schema).withColumn("__keep", F.col("__score") >= least)
 
+def filter_quality(docs: DataFrame, least: float = 0.5, text: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, that the classifier, fitted to docs, keeps.
 
-def filter_quality(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of docs, all columns, that the classifier keeps."""
-    return classify(docs, fit(docs, **options), least).where("__keep").select(*docs.columns)
+    Null and empty texts are judged as texts without words.  Of repeated rows all stay or none.  An empty table gives
+    no rows.  Texts of any length are read whole, columns may have any names, and only texts go to Python.
+    """
+    scored = _score(fit(docs, text=text, **options))
+    lean(docs.sparkSession)
+    kept = plain(docs).where(scored(F.col(place_of(docs, text)).cast("string")) >= least)
+    return kept.toDF(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
