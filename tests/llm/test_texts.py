@@ -96,16 +96,15 @@ def test_words_are_the_pattern():
         assert [w.decode() for w in words(t.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def brute_labels(text, least, width):
-    found = words(text.encode())
-    out = {}
-    for a, b in blocks(len(found), width):
-        for label, template in TEMPLATES.items():
-            t = set(words(template.encode()))
+def brute_blocks(text, least):
+    found, out = words(text.encode()), []
+    for label, template in TEMPLATES.items():
+        t, width = set(words(template.encode())), len(words(template.encode()))
+        for a, b in blocks(len(found), width):
             share = len(t & set(found[a:b])) / len(t)
             if share >= least - 1e-12:
-                out[label] = max(out.get(label, 0), share)
-    return out
+                out.append((label, a, b, share))
+    return sorted(out)
 
 
 def test_scan_licenses(spark):
@@ -116,19 +115,25 @@ def test_scan_licenses(spark):
     texts += [" ".join(r.choice(vocabulary) for _ in range(r.randint(5, 300))) for _ in range(30)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
     got = {r["doc_id"]: r for r in scan_licenses(docs).collect()}
-    width = max(len(words(t.encode())) for t in TEMPLATES.values())
     for i, t in enumerate(texts):
         found = [w.decode() for w in words((t or "").encode())]
         places = [(k, label) for phrase, label in PHRASES.items() for k in range(len(found)) if found[k : k + len(phrase.split())] == phrase.split()]
-        met, row = brute_labels(t or "", 0.8, width), got[i]
+        met, row = brute_blocks(t or "", 0.8), got[i]
         base = sorted({label for _, label in places})
         assert (row["n_words"], row["n_base"]) == (len(found), len(places))
         assert (row["first_word"], row["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
-        assert (row["base_labels"], row["labels"]) == (",".join(base), ",".join(sorted({*base, *met})))
-        assert row["score"] == pytest.approx(max(met.values(), default=float(bool(places))))
+        assert (row["base_labels"], row["labels"]) == (",".join(base), ",".join(sorted({*base, *(m[0] for m in met)})))
+        assert row["score"] == pytest.approx(max((m[3] for m in met), default=float(bool(places))))
+        assert [tuple(b) for b in row["blocks"]] == met
     assert scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_words_scattered_beyond_twice_a_template_do_not_meet_it(spark):
+    text = "The band released a new record last year under the old name, although nobody had bought a license for the songs"
+    docs = spark.createDataFrame([(1, text), (2, "Here: released under the MIT License.")], "doc_id long, text string")
+    assert [r["labels"] for r in scan_licenses(docs).orderBy("doc_id").collect()] == ["", "mit,mit-notice"]
+
+
 def test_index_loses_no_block_whatever_the_frequencies():
     r = random.Random(6)
     for _ in range(100):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import table, utf8
+from thicket.llm.common import lean, plain, table, utf8
 
 #: Phrases that name a license, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -47,11 +47,12 @@ class Index:
     """Templates as sets in global frequency order, with an inverted list of the tokens of their prefixes.
 
     A block holds at least the share `least` of a template's set only if they share `need` tokens.  The template's
-    prefix, its size - need + 1 rarest tokens, then holds one of the block's.
+    prefix, its size - need + 1 rarest tokens, then holds one of the block's.  The blocks of a template are of twice
+    its own number of words.
     """
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], least: float) -> None:
-        self.least, self.sets, self.need = least, {}, {}
+        self.least, self.sets, self.need, self.width = least, {}, {}, {}
         rank = lambda w: (frequency.get(w, 0), w)
         self.lists: dict[bytes, list[tuple[str, int]]] = {}
         for label, text in sorted(templates.items()):
@@ -59,11 +60,38 @@ class Index:
             if not tokens:
                 continue
             need = max(1, math.ceil(least * len(tokens) - 1e-9))
-            self.sets[label], self.need[label] = tokens, need
+            self.sets[label], self.need[label], self.width[label] = tokens, need, len(words(text.encode()))
             for place in range(len(tokens) - need + 1):
                 self.lists.setdefault(tokens[place], []).append((label, place))
         self.prefix = frozenset(self.lists)
 
+    def met(self, found: list[bytes]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, end, containment) of every block of a text that meets its template.
+
+        Only blocks with a token of the template's prefix are looked at, from the first of those on in its order."""
+        if self.prefix.isdisjoint(found):
+            return []
+        first: dict[tuple[str, int], int] = {}  # label and number of the block: place of the first shared token
+        for at, token in enumerate(found):
+            for label, place in self.lists.get(token, ()):
+                k = at // self.width[label]
+                for key in ((label, k - 1), (label, k)):
+                    first[key] = min(place, first.get(key, place))
+        n, out = len(found), []
+        for (label, k), place in first.items():
+            width, need, tokens = self.width[label], self.need[label], self.sets[label]
+            a = k * width
+            if not 0 <= a < max(1, n - width):  # no block begins there
+                continue
+            b = min(n, a + 2 * width)
+            if b - a < need or len(tokens) - place < need:  # by length; by position
+                continue
+            block = set(found[a:b])
+            shared = sum(t in block for t in tokens[place:])
+            if shared >= need:
+                out.append((label, a, b, shared / len(tokens)))
+        return sorted(out)
+
     def scores(self, block: frozenset[bytes]) -> dict[str, float]:
         """Every template that the block meets, with its containment."""
         first: dict[str, int] = {}
@@ -101,55 +129,60 @@ def _base(found: list[bytes]) -> tuple[int, int | None, int | None, set[str]]:
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+BLOCKS = "blocks array<struct<label: string, first_word: int, end_word: int, containment: double>>"
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, text: str = "text") -> DataFrame:
-    """One row for each document: the places of the base phrases, and the labels of the templates of which some
-    block of the text holds at least the share `least` of the words.
+    """One row for each document: the places of the base phrases, the labels of the templates of which some block of
+    the text holds at least the share `least` of the words, and all blocks that do.
 
-    Two passes over whole texts: the first counts in how many blocks each template word stands, which gives the
-    frequency order; the second joins.  Counts and templates are bounded by the templates, so both are sent to
-    the tasks.  A block is twice the longest template; blocks overlap by half.  score is the largest containment
+    Two passes over whole texts: the first counts the places of each template word, which gives the frequency order;
+    the second joins.  Counts and templates are bounded by the templates, so both are sent to the tasks.  A block is
+    twice its template; blocks overlap by half, and adjacent ones may both meet it.  score is the largest containment
     of a template that was met, 1 where only a phrase was found, else 0.  Null and empty texts have no words and
-    no labels.  Repeated rows give repeated results.  Columns other than doc_id and the text are not read.
+    no labels.  Repeated rows give repeated results.  Columns other than doc_id and the text are not read.  An empty
+    table gives no rows; a template without words is never met.
     """
+    lean(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
     vocabulary = frozenset(w for t in templates.values() for w in words(t.encode()))
-    width = max([8, *(len(words(t.encode())) for t in templates.values())])
+    tails = tuple(phrase.split()[-1].encode() for phrase in PHRASES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
             for raw in utf8(batch.column(0)):
                 found = words(raw)
-                if vocabulary.isdisjoint(found):
-                    continue
-                for a, b in blocks(len(found), width):
-                    seen.update(vocabulary.intersection(found[a:b]))
+                if not vocabulary.isdisjoint(found):
+                    seen.update(filter(vocabulary.__contains__, found))
         yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = docs.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    both = plain(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")))
+    counted = both.select("c1").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     index = Index(templates, {r["word"].encode(): r["n"] for r in counted.collect()}, least)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    types = [kinds[c.split()[1]] for c in SCHEMA.split(", ")]
+    block = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("containment", pa.float64())]))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
+            out: list[list] = [[] for _ in range(8)]
             for raw in utf8(batch.column(1)):
                 found = words(raw)
-                n, first, last, base = _base(found) if raw and b"icense" in raw.lower() else (0, None, None, set())
-                met: dict[str, float] = {}
-                if not index.prefix.isdisjoint(found):
-                    for a, b in blocks(len(found), width):
-                        for label, score in index.scores(frozenset(found[a:b])).items():
-                            met[label] = max(score, met.get(label, 0.0))
-                for name, value in zip(out, (None, len(found), n, first, last, ",".join(sorted(base)), ",".join(sorted(base | set(met))), max(met.values(), default=float(n > 0))), strict=True):
-                    out[name].append(value)
-            out["doc_id"] = batch.column(0)
-            types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], types[t]) if c != "doc_id" else batch.column(0) for c, t in (x.split() for x in SCHEMA.split(", "))], names=list(out))
+                low = raw.lower() if raw else b""
+                n, first, last, base = _base(found) if any(t in low for t in tails) else (0, None, None, set())
+                met = index.met(found)
+                labels = base | {label for label, _, _, _ in met}
+                row = (len(found), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), max((m[3] for m in met), default=float(n > 0)))
+                for to, value in zip(out, (*row, [dict(zip(("label", "first_word", "end_word", "containment"), m, strict=True)) for m in met]), strict=True):
+                    to.append(value)
+            arrays = [batch.column(0), *(pa.array(x, t) for x, t in zip(out, [*types[1:], block], strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "blocks"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(join, SCHEMA)
+    return both.mapInArrow(join, f"{SCHEMA}, {BLOCKS}")
 
 
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(*(c.split()[0] for c in SCHEMA.split(", ")), F.size("blocks").cast("long").alias("n_blocks"))
