@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import table
+from thicket.llm.common import lean, table
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -57,9 +57,10 @@ def spans(turns: list[Turn], template: Template = tagged) -> tuple[str, list[tup
     turn changed what earlier ones had rendered.
 
     The template is a black box.  Turn k spans what its rendering adds to that of the turns before it.  Where the
-    text stands inside that span is found by two renderings of the prefix with one-character texts: they share
-    what stands before the text, and reversed what stands after it.  When history is rewritten, the spans of the
-    turns before are void, and count from the last common character.
+    text stands inside that span is found by rendering the prefix with a one-character text that appears once in it;
+    where it doesn't, by two such texts: their renderings share what stands before the text, and reversed what stands
+    after it.  When history is rewritten, the spans of the turns before are void, and count from the last common
+    character.  Prefixes are rendered whole, so the work grows with the turns times the characters of a conversation.
     """
     before, found, rewrites = template([]), [], False
     for k, (role, text) in enumerate(turns):
@@ -69,9 +70,14 @@ def spans(turns: list[Turn], template: Template = tagged) -> tuple[str, list[tup
         if not now.startswith(before):
             rewrites, start = True, _shared(before, now)
             found = [(min(a, start), min(b, start), min(c, start), min(d, start)) for a, b, c, d in found]
-        a, b = (template([*head, (role, x)]) for x in _PROBES)
-        left = start + _shared(a[start:], b[start:])
-        right = _shared(a[left:][::-1], b[left:][::-1])
+        a = template([*head, (role, _PROBES[0])])
+        if a.startswith(before) and a.count(_PROBES[0], start) == 1:
+            left = a.index(_PROBES[0], start)
+            right = len(a) - left - 1
+        else:
+            b = template([*head, (role, _PROBES[1])])
+            left = start + _shared(a[start:], b[start:])
+            right = _shared(a[left:][::-1], b[left:][::-1])
         found.append((start, min(left, len(now)), max(len(now) - right, left), len(now)))
         before = now
     return before, found, rewrites
@@ -114,8 +120,10 @@ def format_chats(conversations: DataFrame, template: Template = tagged, texts: b
     Turns stand in the order of `turn` (nulls first), then role, then text; repeated rows are turns of their own.
     A null role or text counts as empty; null conv_ids are one conversation.  Conversations are dealt by id and
     sorted inside the partitions, so that a task holds one conversation at a time.  Columns other than the four
-    are not read.  An empty table gives no rows.
+    are not read.  An empty table gives no rows.  A task renders a conversation's prefixes one after another, and holds
+    two of them.
     """
+    lean(conversations.sparkSession)
     schema = FULL if texts else DIGEST
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import table, utf8
+from thicket.llm.common import lean, table, utf8
 
 #: Default place of the vocabulary; never copied into the repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -119,6 +119,7 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], mark: bytes = b" ", text:
     repeated results; columns other than doc_id and the text are not read.  The vocabulary has a fixed size and
     is sent to the tasks once.
     """
+    lean(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(b"\n".join(base64.b64encode(p) for p in pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
