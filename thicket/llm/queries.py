@@ -14,6 +14,7 @@ from thicket.llm.jaccard import ORACLE as JACCARD_SQL
 from thicket.llm.jaccard import op8_jaccard
 from thicket.llm.license_scan import op10_license
 from thicket.llm.mix import op2_mix
+from thicket.llm.oracles import CHATS, LICENSES, REPEATS, SHARDS, TOKENS
 from thicket.llm.quality import op1_quality
 from thicket.llm.shard import op5_shard
 from thicket.llm.suffix_dedup import op4_suffix_dedup
@@ -32,4 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license": op10_license,
 }
 
-ORACLES: dict[str, str] = {"op8_jaccard": JACCARD_SQL, "op9_decontaminate": DECONTAMINATE_SQL}
+ORACLES: dict[str, str] = {
+    "op3_tokens": TOKENS,
+    "op4_suffix_dedup": REPEATS,
+    "op5_shard": SHARDS,
+    "op7_chat": CHATS,
+    "op8_jaccard": JACCARD_SQL,
+    "op9_decontaminate": DECONTAMINATE_SQL,
+    "op10_license": LICENSES,
+}
