@@ -11,6 +11,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ LABELLERS = ("runs", "capitals", "symbols", "shouts", "lines", "variety", "separ
 ABSTAIN = 2
 
 #: Longer words count as pieces of so many bytes; words that a task remembers.
-PIECE, REMEMBERED = 64, 50_000
+PIECE, REMEMBERED = 64, 150_000
 
 
 class Kinds(dict):
@@ -140,14 +141,18 @@ def fit_labels(counts: dict[int, int], labellers: int = len(LABELLERS), rounds:
 
 
 BUCKETS = 1 << 16
-_UPPER, _LOWER, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
+#: Letters and digits by their kind; runs of one kind count once in a word's shape.
+_KIND = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+_RUN = re.compile(rb"(?<=A)A+|(?<=a)a+|(?<=0)0+")
 
 
 def _hash(x: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for b in x:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ (h >> 32)) % BUCKETS
+    return xxhash.xxh32_intdigest(x) % BUCKETS
+
+
+def buckets(word: bytes) -> tuple[int, int]:
+    """The hash buckets of a word: of itself and of its shape."""
+    return _hash(b"w" + word), _hash(b"s" + _RUN.sub(b"", word.translate(_KIND)))
 
 
 def split_words(raw: bytes) -> list[bytes]:
@@ -159,13 +164,12 @@ def split_words(raw: bytes) -> list[bytes]:
 
 
 class Features(dict):
-    """The hash buckets of a word: of itself and of its shape; filled as words come, cleared when full."""
+    """The hash buckets of words, filled as words come, cleared when full."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        out = (_hash(b"w" + word), _hash(b"s" + _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))))
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = out
+        self[word] = out = buckets(word)
         return out
 
 
@@ -213,10 +217,10 @@ class Scores(dict):
 
     def __init__(self, weights: np.ndarray) -> None:
         super().__init__()
-        self.weights, self.features = weights, Features()
+        self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        a, b = self.features[word]
+        a, b = buckets(word)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = out = float(self.weights[a] + self.weights[b])
@@ -308,14 +312,18 @@ def _score(model: Classifier):
     return scored
 
 
-def _weak(model: Classifier):
-    labels = model.labels
+def _judge(model: Classifier):
+    labels, bias, packed = model.labels, model.bias, model.weights.astype(np.float32).tobytes()
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<weak: double, score: double>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kinds = Kinds()
+        kinds, known = Kinds(), Scores(np.frombuffer(packed, np.float32))
         for batch in batches:
-            yield pa.array([labels.posterior.get(pattern(votes(raw or b"", kinds)), labels.good) for raw in utf8(batch)], pa.float64())
+            weak, scores = [], []
+            for raw in utf8(batch):
+                weak.append(labels.posterior.get(pattern(votes(raw or b"", kinds)), labels.good))
+                scores.append(score(raw or b"", known, bias))
+            yield pa.StructArray.from_arrays([pa.array(weak, pa.float64()), pa.array(scores, pa.float64())], names=["weak", "score"])
 
     return judged
 
@@ -330,7 +338,8 @@ def classify(docs: DataFrame, model: Classifier, least: float = 0.5, text: str =
     """
     lean(docs.sparkSession)
     whole = F.col(place_of(docs, text)).cast("string")
-    out = plain(docs).withColumns({"weak": _weak(model)(whole), "score": _score(model)(whole)}).withColumn("keep", F.col("score") >= least)
+    judged = plain(docs).withColumn("judged", _judge(model)(whole))
+    out = judged.withColumns({"weak": F.col("judged.weak"), "score": F.col("judged.score"), "keep": F.col("judged.score") >= least})
     return with_columns(out, docs.columns, __weak="weak", __score="score", __keep="keep")
 
 
