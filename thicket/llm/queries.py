@@ -19,6 +19,7 @@ from thicket.llm.quality import op1_quality
 from thicket.llm.shard import op5_shard
 from thicket.llm.suffix_dedup import op4_suffix_dedup
 from thicket.llm.token_count import op3_tokens
+from thicket.llm.token_files import op13_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_decontaminate": op9_decontaminate,
     "op10_license": op10_license,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
