@@ -115,3 +115,31 @@ FROM w LEFT JOIN base USING (rid) LEFT JOIN met USING (rid)
 
 
 LICENSES = licenses()
+
+_FEATURES = """list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"""
+
+#: Every feature written out, CRC-32 by its table, gains and scores in doubles, and the draw by a sort of all rows.
+RESAMPLES = rf"""
+WITH RECURSIVE bits(k, v, step) AS (SELECT k, k, 0 FROM range(0, 256) AS t(k) UNION ALL SELECT k, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, step + 1 FROM bits WHERE step < 8),
+crc AS MATERIALIZED (SELECT k, v FROM bits WHERE step = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+f AS MATERIALIZED (SELECT rid, unnest({_FEATURES}) AS g FROM d),
+e AS MATERIALIZED (SELECT unnest({_FEATURES}) AS g FROM (SELECT {_WORDS} AS w FROM benchmark)),
+walk(g, h, c) AS (
+    SELECT g, hex(encode(g)), 4294967295::BIGINT FROM (SELECT g FROM f UNION SELECT g FROM e)
+    UNION ALL
+    SELECT g, substr(h, 3), xor(c // 256, v) FROM walk JOIN crc ON k = xor(c & 255, ('0x' || substr(h, 1, 2))::BIGINT) WHERE h <> ''),
+bucket AS MATERIALIZED (SELECT g, xor(c, 4294967295) % 10000 AS b FROM walk WHERE h = ''),
+s AS (SELECT b, count(*) AS n FROM f JOIN bucket USING (g) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM e JOIN bucket USING (g) GROUP BY b),
+gain AS (
+    SELECT k AS b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM range(0, 10000) AS r(k) LEFT JOIN s ON s.b = k LEFT JOIN t ON t.b = k),
+weighed AS (SELECT rid, count(*) AS n_features, sum(gain) AS weight FROM f JOIN bucket USING (g) JOIN gain USING (b) GROUP BY rid),
+x AS (
+    SELECT rid, doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM d LEFT JOIN weighed USING (rid)),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (rid)
+"""

@@ -14,8 +14,9 @@ from thicket.llm.jaccard import ORACLE as JACCARD_SQL
 from thicket.llm.jaccard import op8_jaccard
 from thicket.llm.license_scan import op10_license
 from thicket.llm.mix import op2_mix
-from thicket.llm.oracles import CHATS, LICENSES, REPEATS, SHARDS, TOKENS
+from thicket.llm.oracles import CHATS, LICENSES, REPEATS, RESAMPLES, SHARDS, TOKENS
 from thicket.llm.quality import op1_quality
+from thicket.llm.resample import op12_resample
 from thicket.llm.shard import op5_shard
 from thicket.llm.suffix_dedup import op4_suffix_dedup
 from thicket.llm.token_count import op3_tokens
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_decontaminate": op9_decontaminate,
     "op10_license": op10_license,
+    "op12_resample": op12_resample,
     "op13_token_files": op13_token_files,
 }
 
@@ -43,4 +45,5 @@ ORACLES: dict[str, str] = {
     "op8_jaccard": JACCARD_SQL,
     "op9_decontaminate": DECONTAMINATE_SQL,
     "op10_license": LICENSES,
+    "op12_resample": RESAMPLES,
 }
