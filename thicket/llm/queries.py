@@ -21,6 +21,7 @@ from thicket.llm.shard import op5_shard
 from thicket.llm.suffix_dedup import op4_suffix_dedup
 from thicket.llm.token_count import op3_tokens
 from thicket.llm.token_files import op13_token_files
+from thicket.llm.whitening import op11_whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_decontaminate": op9_decontaminate,
     "op10_license": op10_license,
+    "op11_whiten": op11_whiten,
     "op12_resample": op12_resample,
     "op13_token_files": op13_token_files,
 }
