@@ -7,16 +7,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.special import welch_p
+from thicket.operators.series import BLOCK_ROWS, gaussian_smooth, moving_average, running_sums  # noqa: F401
 
 
-def running(df: DataFrame, value: str, keys: list[str], order: str, out: str) -> DataFrame:
-    """Running sum of a value within keys."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+def running(df: DataFrame, value: str, keys: list[str], order: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Running sum of a value within keys; a long series is dealt to many tasks."""
+    return running_sums(df, keys, order, {out: F.col(value)}, block_rows=block_rows)
 
 
-def cumulative_regret(df: DataFrame, best: str = "best_mean", chosen: str = "chosen_mean", keys: tuple[str, ...] = ("agent",), order: str = "draw") -> DataFrame:
-    return running(df.withColumn("regret", F.col(best) - F.col(chosen)), "regret", list(keys), order, "cum_regret")
+def cumulative_regret(df: DataFrame, best: str = "best_mean", chosen: str = "chosen_mean", keys: tuple[str, ...] = ("agent",), order: str = "draw", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return running(df.withColumn("regret", F.col(best) - F.col(chosen)), "regret", list(keys), order, "cum_regret", block_rows)
+
+
+def cumulative_share(df: DataFrame, weight: str, keys: list[str], order: str, out: str = "share", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Running sum of weights within keys over their total: the distribution function that a weighted draw inverts.
+    Null where the total is 0 or null."""
+    made = running_sums(df, keys, order, {"__run": F.col(weight)}, {"__all": F.col(weight)}, block_rows=block_rows)
+    return made.withColumn(out, F.try_divide(F.col("__run").cast("double"), F.col("__all").cast("double"))).drop("__run", "__all")
 
 
 def logged_step(draw: Column, last: int) -> Column:
@@ -109,32 +116,6 @@ def growth_fits(df: DataFrame, t: str, value: str, keys: list[str]) -> DataFrame
     return out.withColumn("best", F.when(F.col("aic_power") < F.col("aic_log"), "power").otherwise("log"))
 
 
-def moving_average(df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str = "smooth") -> DataFrame:
-    """Centred mean over an odd width that shrinks at the edges."""
-    if width % 2 == 0:
-        raise ValueError("the width must be odd")
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width // 2), width // 2)
-    return df.withColumn(out, F.avg(value).over(w))
-
-
-def gaussian_smooth(df: DataFrame, keys: list[str], order: str, value: str, sigma: float, out: str = "smooth") -> DataFrame:
-    """Gaussian weights up to four deviations, the series reflected at its edges."""
-    import math
-
-    reach = int(4 * sigma + 0.5)
-    weight = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
-    shifts = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    spread = ranked.withColumn("__k", shifts).withColumn("__m", F.pmod(F.col("__i") + F.col("__k"), 2 * F.col("__n")))
-    spread = spread.withColumn("__to", F.when(F.col("__m") < F.col("__n"), F.col("__m")).otherwise(2 * F.col("__n") - 1 - F.col("__m")))
-    source = ranked.select(*keys, F.col("__i").alias("__to"), F.col(value).alias("__v"))
-    by = F.get(F.array(*map(F.lit, weight)), F.col("__k") + reach)
-    keep = [c for c in df.columns if c not in keys]
-    joined = spread.join(source, [*keys, "__to"])
-    return joined.groupBy(*keys, *keep).agg((F.sum(by * F.col("__v")) / F.lit(sum(weight))).alias(out))
-
-
 def first_split(roots: DataFrame, correct: int) -> DataFrame:
     """Share of draws whose root splits on the right feature, and how often the root's feature changes."""
     before = F.lag("var").over(Window.partitionBy("chain").orderBy("draw"))

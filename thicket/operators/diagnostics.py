@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.operators.series import BLOCK_ROWS, lag_sums, running_sums
+
 
 def psrf(df: DataFrame, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
     """Gelman-Rubin factor sqrt(V / W) with sample variances."""
@@ -36,13 +38,17 @@ def geweke(df: DataFrame, value: str = "value", first: float = 0.1, last: float
     return by.select("chain", ((F.col("m1") - F.col("m2")) / F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2"))).alias("z"))
 
 
-def autocorrelation(df: DataFrame, lags: int, value: str = "value") -> DataFrame:
-    """Pearson correlation of each chain with itself, for lags 1 to `lags`."""
-    w = Window.partitionBy("chain").orderBy("draw")
-    spread = df.withColumns({f"__l{k}": F.lag(value, k).over(w) for k in range(1, lags + 1)})
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"__l{k}").alias("before")) for k in range(1, lags + 1)])
-    long = spread.select("chain", F.col(value).alias("__v"), F.explode(pairs).alias("p")).where(F.col("p.before").isNotNull())
-    return long.groupBy("chain", F.col("p.lag").alias("lag")).agg(F.corr("__v", F.col("p.before")).alias("rho"))
+def autocorrelation(df: DataFrame, lags: int, value: str = "value", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pearson correlation of each chain with itself, for lags 1 to `lags`; no row where a chain has no pair of a lag, null
+    where one of the two has no variance.  A long chain is dealt to many tasks, and its rows move as often for many lags as
+    for one."""
+    mean = F.try_divide(F.col("__sum"), F.col("__n"))
+    placed = running_sums(df, ["chain"], "draw", {"__i": F.lit(1).cast("long")}, {"__n": F.when(F.col(value).isNotNull(), 1), "__sum": F.col(value).cast("double")}, block_rows=block_rows)
+    sums = lag_sums(placed.select("chain", (F.col("__i") - 1).alias("__i"), (F.col(value) - mean).alias("__v")), ["chain"], "__i", "__v", lags, block_rows)
+    n = F.col("n")
+    spread = lambda c: F.greatest(F.col(f"{c}2") - F.col(c) * F.col(c) / n, F.lit(0.0))
+    rho = F.try_divide(F.col("both") - F.col("now") * F.col("before") / n, F.sqrt(spread("now") * spread("before")))
+    return sums.where("n > 0").select("chain", "lag", rho.alias("rho"))
 
 
 def effective_size(df: DataFrame, lags: int, value: str = "value") -> DataFrame:
