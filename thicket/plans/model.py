@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from thicket.functions.columns import normal_cdf
 from thicket.operators import forest as fo
 from thicket.operators import posterior as po
+from thicket.operators import traces as tr
 from thicket.operators.preprocess import Preprocessor, decode_labels, encode_labels, vocabulary
 from thicket.plans.chain import LogisticChain, RegressionChain, Settings, Tree
 from thicket.sources.files import stored
@@ -57,7 +59,7 @@ class Model:
     categories: int = 1
     shards: int = 1
     rows: DataFrame | None = field(default=None, repr=False)
-    _forests: dict | None = field(default=None, repr=False)
+    _found: list | None = field(default=None, repr=False)
 
     # -- trace ------------------------------------------------------------------------------------------------
 
@@ -65,18 +67,17 @@ class Model:
     def per_chain(self) -> int:
         return math.ceil(self.settings.ndpost / self.chains)
 
-    def forests(self) -> dict[tuple[int, int, int, int], tuple[list[fo.Tree], float]]:
-        """Forest and noise variance by (chain, shard, draw, category): the draws after the initial state.  The trace is
-        bounded by draws and trees, whatever the number of rows."""
-        if self._forests is None:
-            rows = self.trace.where("draw >= 0").collect()
-            self._forests = {(r["chain"], r["shard"], r["draw"], r["category"]): (to_forest(r["trees"]), r["sigma2"]) for r in rows}
-        return self._forests
+    def _draws(self) -> list[tuple[int, int, float]]:
+        """(chain, draw, noise variance) of the draws after the initial state, chain after chain; with shards the mean of
+        their variances.  Three numbers a draw are all of the trace that the driver gets."""
+        if self._found is None:
+            rows = self.trace.where("draw >= 0 and category = 0").groupBy("chain", "draw").agg(F.avg("sigma2").alias("v")).collect()
+            self._found = sorted((r["chain"], r["draw"], r["v"]) for r in rows)
+        return self._found
 
     def _keys(self) -> list[tuple[int, int]]:
         """(chain, draw) of the posterior draws, chain after chain, as many as were asked for."""
-        found = sorted({(c, d) for c, _, d, _ in self.forests()})
-        return found[: self.settings.ndpost]
+        return [(c, d) for c, d, _ in self._draws()[: self.settings.ndpost]]
 
     def trace_length(self) -> int:
         return self.trace.where("chain = 0 and shard = 0 and category = 0").count()
@@ -95,27 +96,26 @@ class Model:
     def _features(self, df: DataFrame) -> DataFrame:
         return df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in self.prep.features]))
 
-    def _values(self, df: DataFrame, keys: list[tuple[int, int]], out: str, category: int = 0) -> DataFrame:
-        """Latent draws; with shards, the mean of the shards' draws (consensus)."""
-        found = self.forests()
-        forests = [found[(c, s, d, category)][0] for c, d in keys for s in range(self.shards)]
-        made = fo.with_draws(self._features(df), forests, "__x", out).drop("__x")
-        if self.shards == 1:
-            return made
-        n = F.lit(self.shards)
-        groups = F.sequence(F.lit(0), F.lit(len(keys) - 1))
-        return made.withColumn(out, F.transform(groups, lambda k: po.array_mean(F.slice(F.col(out), k * n + 1, n))))
+    def _sums(self, df: DataFrame, places: list[tuple[int, int, int, float]], columns: int, out: str) -> DataFrame:
+        """Adds an array of `columns` weighted sums of draws; places are (chain, draw, column, weight), and a draw's
+        categories follow each other from its column on.  The trace stays a table: its draws are packed by tasks and
+        reach the rows in chunks."""
+        spark = df.sparkSession
+        at = F.broadcast(spark.createDataFrame(places, "__c int, __d int, __k int, __w double"))  # four numbers a draw
+        there = self.trace.join(at, (F.col("chain") == F.col("__c")) & (F.col("draw") == F.col("__d")))
+        return tr.evaluated(self._features(df), there, F.col("__k") + F.col("category"), F.col("__w") / self.shards, columns, "__x", out).drop("__x")
+
+    def _values(self, df: DataFrame, keys: list[tuple[int, int]], out: str) -> DataFrame:
+        """Latent draws, for each all categories; with shards, the mean of the shards' draws (consensus)."""
+        n = self.categories if self.kind == "logistic" else 1
+        return self._sums(df, [(c, d, k * n, 1.0) for k, (c, d) in enumerate(keys)], len(keys) * n, out)
 
     def posterior_f(self, df: DataFrame, out: str = "draws", backtransform: bool = True) -> DataFrame:
         """Adds the posterior draws of f, an array for each row; for several categories an array of draws by category."""
-        if self.kind == "logistic":
-            made, parts = df, []
-            for c in range(self.categories):
-                made = self._values(made, self._keys(), f"__f{c}", c)
-                parts.append(f"__f{c}")
-            joined = F.arrays_zip(*parts)
-            return made.withColumn(out, F.transform(joined, lambda z: F.array(*[z[p] for p in parts]))).drop(*parts)
         made = self._values(df, self._keys(), out)
+        if self.kind == "logistic":
+            draws = F.sequence(F.lit(0), F.lit(len(self._keys()) - 1))
+            return made.withColumn(out, F.transform(draws, lambda k: F.slice(F.col(out), k * self.categories + 1, self.categories)))
         if self.kind != "regression" or not backtransform:
             return made
         factor, offset = self.prep.scale()
@@ -124,13 +124,9 @@ class Model:
     def predict_trace(self, df: DataFrame, k: int, out: str = "f") -> DataFrame:
         """f of posterior draw k alone; logistic models give class probabilities."""
         key = self._keys()[k]
-        if self.kind == "logistic":
-            made = df
-            for c in range(self.categories):
-                made = self._values(made, [key], f"__f{c}", c)
-            scores = F.array(*[F.get(f"__f{c}", 0) for c in range(self.categories)])
-            return made.withColumn(out, _softmax(scores)).drop(*[f"__f{c}" for c in range(self.categories)])
         made = self._values(df, [key], out)
+        if self.kind == "logistic":
+            return made.withColumn(out, _softmax(F.col(out)))
         value = F.get(out, 0)
         return made.withColumn(out, self.prep.backtransform(value) if self.kind == "regression" else value)
 
@@ -155,15 +151,12 @@ class Model:
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Posterior mean (regression), or the index of the likelier class and its label in out + "_label"."""
         if self.kind == "regression":
-            if self.chains > 1:  # the mean of the chains' means, untrimmed
-                found = sorted({(c, d) for c, _, d, _ in self.forests()})
-                factor, offset = self.prep.scale()
-                made = self._values(df, found, "__d")
-                sizes = [sum(1 for c, _ in found if c == k) for k in range(self.chains)]
-                starts = np.cumsum([0, *sizes]).tolist()
-                means = [po.array_mean(F.slice("__d", a + 1, n)) for a, n in zip(starts, sizes, strict=False)]
-                return made.withColumn(out, sum(means[1:], means[0]) / F.lit(self.chains) * F.lit(factor) + F.lit(offset)).drop("__d")
-            return po.posterior_mean(self.posterior_f(df, "__d"), "__d", out).drop("__d")
+            # the mean of the chains' means, untrimmed with several chains: one weighted sum, without an array of draws
+            found = self._draws() if self.chains > 1 else self._draws()[: self.settings.ndpost]
+            sizes = Counter(c for c, _, _ in found)
+            factor, offset = self.prep.scale()
+            made = self._sums(df, [(c, d, 0, 1 / (sizes[c] * len(sizes))) for c, d, _ in found], 1, "__d")
+            return made.withColumn(out, F.get("__d", 0) * F.lit(factor) + F.lit(offset)).drop("__d")
         made = self.predict_proba(df, "__p")
         best = F.array_position("__p", F.array_max("__p")).cast("int") - 1
         if self.kind == "probit":
@@ -174,8 +167,7 @@ class Model:
     def posterior_predict(self, df: DataFrame, key: str, seed: int = 0, out: str = "predicted") -> DataFrame:
         """Draws of new targets: noise of the same draw's variance on the scaled axis, or classes."""
         if self.kind == "regression":
-            found = self.forests()
-            sigma = [float(np.mean([found[(c, s, d, 0)][1] for s in range(self.shards)])) for c, d in self._keys()]
+            sigma = [v for _, _, v in self._draws()[: self.settings.ndpost]]
             made = po.predictive(self.posterior_f(df, "__d", backtransform=False), key, sigma, seed, "__d", out)
             factor, offset = self.prep.scale()
             return made.withColumn(out, F.transform(out, lambda z: z * F.lit(factor) + F.lit(offset))).drop("__d")
@@ -200,7 +192,7 @@ class Model:
 
     def range_post(self) -> range:
         """The posterior draws among the trace's: the last ndpost."""
-        n = len({(c, d) for c, _, d, _ in self.forests()})
+        n = len(self._draws())
         if n < self.settings.ndpost:
             raise ValueError("fewer draws than asked for")
         return range(n - self.settings.ndpost, n)
@@ -234,8 +226,10 @@ class Model:
 
     def value_chains(self, probes: DataFrame, key: str) -> DataFrame:
         """(key, chain, draw, value) of f on probes."""
-        keys = sorted({(c, d) for c, _, d, _ in self.forests()})
+        keys = [(c, d) for c, d, _ in self._draws()]
         made = self._values(probes, keys, "__d")
+        if self.kind == "logistic":  # of the first category
+            made = made.withColumn("__d", F.transform(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda k: F.get("__d", k * self.categories)))
         places = F.array(*[F.struct(F.lit(c).alias("chain"), F.lit(d).alias("draw")) for c, d in keys])
         return made.select(key, F.explode(F.arrays_zip(F.col("__d").alias("value"), places.alias("at"))).alias("z")).select(key, "z.at.chain", "z.at.draw", "z.value")
 
@@ -246,7 +240,7 @@ class Model:
     def without(self, k: int) -> Model:
         """The model without posterior draw k."""
         chain, draw = self._keys()[k]
-        return replace(self, trace=self.trace.where(~((F.col("chain") == chain) & (F.col("draw") == draw))), settings=replace(self.settings, ndpost=self.settings.ndpost - 1), _forests=None)
+        return replace(self, trace=self.trace.where(~((F.col("chain") == chain) & (F.col("draw") == draw))), settings=replace(self.settings, ndpost=self.settings.ndpost - 1), _found=None)
 
     # -- more rows --------------------------------------------------------------------------------------------
 
