@@ -227,10 +227,34 @@ def test_classifier_is_that_of_brute_force(spark, sf):
 
 def test_sample_of_the_scorer_is_bounded_whatever_is_repeated(spark, monkeypatch):
     buckets = quality.BUCKETS
-    monkeypatch.setattr(quality, "train", lambda rows, target: (np.full(buckets, len(rows)), 0.0))
+    monkeypatch.setattr(quality, "train", lambda rows, target, copies: (np.full(buckets, len(rows)), float(copies.sum())))
     docs = spark.createDataFrame([(1, "the same words of a text here")] * 300 + [(k, f"text {k}") for k in range(50)], "doc_id long, text string")
     model = fit(docs, sample_rows=40)
-    assert isinstance(model, Classifier) and 0 < model.weights[0] <= 40
+    assert isinstance(model, Classifier) and 0 < model.weights[0] <= 40 and abs(model.bias - 40) < 10
+
+
+JUNK = "click here!!! click here!!! click here!!! buy now!!! $$$ $$$ $$$ buy now!!! " * 3
+FINE = "The committee met in the morning and agreed that the river should be measured again before the spring."
+
+
+@pytest.mark.parametrize("ids", [[1], [2], [3], [4, 5], range(7)])
+def test_alike_rows_never_leave_the_scorer_untrained(spark, ids):
+    """20,000 rows of one text, or of a few ids, get the posterior's verdict, whatever their hashes are."""
+    n = 20_000 // len(ids)
+    docs = spark.range(n).crossJoin(spark.createDataFrame([(k, JUNK) for k in ids], "doc_id long, text string")).select("doc_id", "text")
+    model = fit(docs)
+    assert model.weights.any()
+    [(weak, keep)] = classify(docs, model).select("__weak", "__keep").distinct().collect()
+    assert keep == (weak >= 0.5) and weak < 0.01
+
+
+def test_a_class_of_very_many_rows_is_in_the_sample(spark):
+    """Half of 30,000 rows are one text: it is judged as its votes say, and so are the others."""
+    other = spark.range(15_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(FINE), F.lit(" Line "), F.col("id")).alias("text"))
+    docs = other.unionByName(spark.range(15_000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(JUNK).alias("text")))
+    model = fit(docs, sample_rows=500)
+    got = {(r["doc_id"] == -1, r["__weak"] >= 0.5, r["__keep"]) for r in classify(docs, model).select("doc_id", "__weak", "__keep").distinct().collect()}
+    assert all(weak == keep for _, weak, keep in got) and {a for a, *_ in got} == {True, False}
 
 
 def test_ranks_of_hot_groups_and_alike_rows(spark):

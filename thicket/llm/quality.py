@@ -188,20 +188,22 @@ def row_features(raw: bytes, features: Features) -> tuple[np.ndarray, np.ndarray
     return np.append(bucket, _TWICE), np.append(n / len(words), twice / len(words))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, steps: int = 150, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic scorer for posterior labels: full gradients with adaptive steps."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, copies: np.ndarray, steps: int = 150, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic scorer for posterior labels: full gradients with adaptive steps.  A row counts
+    as so many copies of it."""
     weights, bias = np.zeros(BUCKETS), 0.0
     if not rows:
         return weights, bias
     at = np.concatenate([r[0] for r in rows])
     value = np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    share = np.clip(target.mean(), 1e-3, 1 - 1e-3)
+    part = copies / copies.sum()
+    share = np.clip(target @ part, 1e-3, 1 - 1e-3)
     balance = np.where(target > 0.5, 0.5 / share, 0.5 / (1 - share))
     m, s, mb, sb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * weights[at], len(rows)) + bias, -30, 30)))
-        error = (p - target) * balance / len(rows)
+        error = (p - target) * balance * part
         g = np.bincount(at, value * error[row], BUCKETS) + penalty * weights
         gb = error.sum()
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
@@ -247,8 +249,10 @@ class Classifier:
 def fit(docs: DataFrame, sample_rows: int = 6000, text: str = "text", key: str = "doc_id") -> Classifier:
     """The label model is fitted to the votes on every document; the scorer to a sample with their posterior labels.
 
-    The sample is the sample_rows documents with the smallest hashes of key and whole text, so it has no more rows
-    whatever the table; of rows that are alike in both, as many as fit are drawn.  Null and empty texts have no votes
+    Rows that are alike in key and whole text are one class.  A class of m of all N rows stands for
+    floor(m * sample_rows / N + u) rows of the sample, u a number in [0, 1) from its hash, or for m where N is smaller; the
+    at most sample_rows classes that stand for most of them are trained on, each once with that weight.  So a class of
+    very many rows is always among them, and no table but an empty one leaves the scorer untrained.  Null and empty texts have no votes
     and the features of a text without words; an empty table gives a model without weights.  Texts of any length are
     read whole; columns other than the two are not read.
     """
@@ -268,33 +272,43 @@ def fit(docs: DataFrame, sample_rows: int = 6000, text: str = "text", key: str =
     counts = {r["code"]: r["n"] for r in counted.collect()}
     labels = fit_labels(counts)
 
-    # about twice the wanted rows pass by their hash, and become features; the smallest hashes of them are taken
+    # the classes' hashes and sizes are all that is shuffled; those of the sample are few, and so is what is kept of them
     total = sum(counts.values())
-    least = -(1 << 63) + min((1 << 64) - 1, (2 * sample_rows << 64) // max(1, total))
-    drawn = both.select(F.xxhash64("c1", "c0").alias("h"), "c0").where(F.col("h") <= least)
+    h = F.xxhash64("c1", "c0")
+    part = F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
+    copies = F.floor(F.col("m") * F.lit(min(1.0, sample_rows / max(1, total))) + part)
+    picked = both.groupBy(h.alias("h")).agg(F.count("*").alias("m")).select("h", F.least(copies, F.col("m")).alias("copies")).where("copies > 0").orderBy(F.desc("copies"), "h").limit(sample_rows)
+    drawn = both.select(h.alias("h"), "c0").join(F.broadcast(picked), "h").select("h", "c0", "copies")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, kinds = Features(), Kinds()
+        """The features of each class once a task."""
+        features, kinds, seen = Features(), Kinds(), set()
         for batch in batches:
-            codes, ats, values = [], [], []
-            for raw in utf8(batch.column(1)):
+            hs, weights, codes, ats, values = [], [], [], [], []
+            for h, raw, copies in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                if h in seen:
+                    continue
+                seen.add(h)
                 at, value = row_features(raw or b"", features)
+                hs.append(h)
+                weights.append(copies)
                 codes.append(pattern(votes(raw or b"", kinds)))
                 ats.append(at.astype(np.uint16).tobytes())
                 values.append(value.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_pydict({"h": batch.column(0), "code": pa.array(codes, pa.int64()), "at": pa.array(ats, pa.binary()), "value": pa.array(values, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(hs, pa.int64()), "copies": pa.array(weights, pa.int64()), "code": pa.array(codes, pa.int64()), "at": pa.array(ats, pa.binary()), "value": pa.array(values, pa.binary())})
 
     posterior, rest = labels.posterior, labels.good
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((c, a, v) for b in batches for c, a, v in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-        rows = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for _, a, v in found]
-        weights, bias = train(rows, np.array([posterior.get(c, rest) for c, _, _ in found]))
+        found = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
+        rows = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for *_, a, v in found]
+        weights, bias = train(rows, np.array([posterior.get(r[2], rest) for r in found]), np.array([r[1] for r in found], dtype=float))
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
     # one task has the bounded sample; the driver gets the weights only
-    sample = drawn.mapInArrow(extract, "h long, code long, at binary, value binary").orderBy("h", "code", "at", "value").limit(sample_rows)
-    trained = sample.select("code", "at", "value").coalesce(1).mapInArrow(learn, "weights binary, bias double").collect()
+    each = drawn.mapInArrow(extract, "h long, copies long, code long, at binary, value binary")
+    sample = each.groupBy("h").agg(F.max(F.struct("copies", "code", "at", "value")).alias("r")).select("h", "r.*")
+    trained = sample.coalesce(1).mapInArrow(learn, "weights binary, bias double").collect()
     if not trained:
         return Classifier(labels, np.zeros(BUCKETS), 0.0)
     return Classifier(labels, np.frombuffer(bytes(trained[0]["weights"]), np.float32).astype(np.float64), trained[0]["bias"])
