@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -249,13 +250,32 @@ def test_decontamination_is_exact_containment(spark):
     assert decontaminated(docs, known.limit(0)).count() == len(texts)
 
 
-def test_decontamination_in_several_blocks(spark, monkeypatch):
-    from thicket.llm import decontaminate
+@pytest.mark.parametrize("at_once", [0, 2, 10**6])
+def test_decontamination_by_broadcast_and_by_shuffle(spark, monkeypatch, at_once):
+    from thicket.llm import common, decontaminate
 
-    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 2)
-    items = spark.createDataFrame([(k, " ".join(f"i{k}x{j}" for j in range(9))) for k in range(5)], "item_id long, text string")
-    docs = items.select((F.col("item_id") + 10).alias("doc_id"), F.concat(F.lit("a b "), "text").alias("text"))
-    assert sorted((r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()) == [(k + 10, k) for k in range(5)]
+    for module, name in ((decontaminate, "ITEMS_AT_ONCE"), (decontaminate, "VALUES_AT_ONCE"), (common, "ROWS_AT_ONCE")):
+        monkeypatch.setattr(module, name, at_once)
+    texts = [" ".join(f"i{k % 5}x{j}" for j in range(9)) for k in range(7)] + [None, ""]
+    items = spark.createDataFrame([(None if k == 4 else k, t) for k, t in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(k + 10, None if t is None else f"a b {t} c") for k, t in enumerate(texts)] + [(10, f"a b {texts[0]} c")], "doc_id long, text string")
+    got = contaminated(docs, items).collect()
+    want = [(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if i["text"] and i["text"] in (d["text"] or "")]
+    assert sorted(map(str, ((r["doc_id"], r["item_id"]) for r in got))) == sorted(map(str, want)) and len(want) == 13
+    assert sorted(r["doc_id"] for r in decontaminated(docs, items).collect()) == [17, 18]
+
+
+def test_the_plan_does_not_grow_with_the_items(spark):
+    docs = spark.createDataFrame([(k, f"one two three four five six w{k}") for k in range(50)], "doc_id long, text string")
+
+    def planned(n):
+        items = spark.range(n).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.lit("w3"), *(F.concat(F.lit(f"t{j}x"), "id") for j in range(12))).alias("text"))
+        begun = time.perf_counter()
+        made = contaminated(docs, items)
+        return len(made._jdf.queryExecution().optimizedPlan().toString()), time.perf_counter() - begun, made.count()
+
+    (few, _, a), (many, seconds, b) = planned(10), planned(30_000)
+    assert abs(few - many) < 400 and seconds < 60 and a == b == 0
 
 
 def test_nearest_on_every_row_is_brute_force(spark):

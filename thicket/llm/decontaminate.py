@@ -6,26 +6,24 @@ says nothing of the item.  So the item's signature, its smallest shingle hashes,
 hashes of the document.  Items are partitioned by size; in a partition of at most u shingles, a document that
 holds the share t of an item misses at most (1 - t) u of its shingles, so one more than that many smallest hashes
 make a signature of which at least one value is found.  The search therefore loses no match.
+
+Signatures are a saved table.  The documents' shingle hashes meet its values in one join, by broadcast where the values
+are few and by shuffle of hashes and row names otherwise; only the documents that a value is found in are read again, for
+the verification.  The plan has the same size whatever the number of items, and the driver sees none of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import place_of, plain, table
+from thicket.llm.common import at_once, certainly_named, place_of, plain, saved, table
 
-#: Signature values looked up in one pass over the documents, and items that are sent to all tasks at once.
-VALUES_AT_ONCE, ITEMS_AT_ONCE = 20_000, 5_000
+#: Signature values (16 bytes each) and items (their shingles) that are sent to all tasks; more are joined by shuffle.
+VALUES_AT_ONCE, ITEMS_AT_ONCE = 1_000_000, 5_000
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-#: An item's id, its distinct shingles and its signature.
-Item = tuple[int | None, list[str], list[int]]
-
-
 def word_list(text: Column) -> Column:
     """Lower-cased words: maximal runs of ASCII letters, digits and all characters beyond ASCII."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK), "")
@@ -56,74 +54,52 @@ def size_limit(n: Column) -> Column:
 
 
 def signatures(items: DataFrame, least: float, n: int) -> DataFrame:
-    """item_id, its distinct shingles, its size and its signature."""
-    sized = items.select("item_id", "text").where(F.size(word_list(F.col("text"))) > 0)
-    rows = sized.select("item_id", shingles(word_list(F.col("text")), n).alias("item_shingles"), F.array_sort(F.array_distinct(hashes(word_list(F.col("text")), n))).alias("sorted"))
-    rows = rows.withColumn("n_item", F.size("item_shingles"))
+    """A saved row for each distinct set of shingles: at, item_ids (of all items that have it), item_shingles, n_item and
+    signature.  Items without words have none."""
+    words = word_list(F.col("text"))
+    sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.size(words) > 0)
+    sets = sized.select("item_id", F.array_sort(shingles(words, n)).alias("item_shingles"), F.array_sort(F.array_distinct(hashes(words, n))).alias("sorted"))
+    rows = sets.groupBy("item_shingles", "sorted").agg(F.collect_list(F.struct("item_id")).alias("item_ids")).withColumn("n_item", F.size("item_shingles"))
     missing = F.floor((1.0 - least) * size_limit(F.col("n_item")) + 1e-9).cast("int")
-    return rows.select("item_id", "item_shingles", "n_item", F.slice("sorted", F.lit(1), F.least(missing + 1, F.col("n_item"))).alias("signature"))
+    signature = F.slice("sorted", F.lit(1), F.least(missing + 1, F.col("n_item")))
+    return saved(rows.select(F.monotonically_increasing_id().alias("at"), "item_ids", "item_shingles", "n_item", signature.alias("signature")), "items")
+
+
+def _candidates(rows: DataFrame, words: Column, sets: DataFrame, n: int) -> DataFrame:
+    """file, row and at: the named rows in which a value of an item's signature is found, once for each item."""
+    values = sets.select("at", F.explode("signature").alias("value"))
+    few = values.limit(VALUES_AT_ONCE + 1).count() <= VALUES_AT_ONCE
+    own = rows.select(F.col("file").alias("f"), F.col("row").alias("r"), F.explode(_let(words, lambda w: F.array_distinct(hashes(w, n)))).alias("own"))
+    return own.join(F.broadcast(values) if few else values, F.col("own") == F.col("value")).select("f", "r", "at").distinct()
+
+
+def _matches(rows: DataFrame, words: Column, sets: DataFrame, least: float, n: int) -> DataFrame:
+    """The named rows with each item set that they hold: columns of rows, item_ids, n_shared and n_item."""
+    found = saved(_candidates(rows, words, sets, n), "candidates")
+    named = rows.join(at_once(found), (F.col("file") == F.col("f")) & (F.col("row") == F.col("r"))).withColumn("own", _let(words, lambda w: shingles(w, n))).drop("f", "r")
+    items = sets.select(F.col("at").alias("of"), "item_ids", "item_shingles", F.col("n_item").cast("long").alias("n_item"))
+    items = F.broadcast(items) if items.limit(ITEMS_AT_ONCE + 1).count() <= ITEMS_AT_ONCE else items
+    scored = named.join(items, F.col("at") == F.col("of")).withColumn("n_shared", F.size(F.array_intersect("own", "item_shingles")).cast("long"))
+    return scored.where(F.col("n_shared") >= F.ceil(F.col("n_item") * least - 1e-9))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int = 5, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, item_id, n_shared, n_item and containment of every document row and item of which the document
     holds at least the share `least` of the distinct n-word shingles.
 
-    The documents are only mapped, never shuffled; the items go to the tasks in blocks of a fixed size, each
-    with one pass.  An item of fewer than n words counts as one shingle, and so does a document.  Null and empty
-    texts on either side match nothing; a repeated row is matched on its own, a repeated item too, under its
-    item_id.  Empty tables give no rows.  Columns of docs other than keep and the text are not read.
+    An item of fewer than n words counts as one shingle, and so does a document: such an item is found in documents of just
+    those words.  Null and empty texts on either side match nothing; a repeated row is matched on its own, a repeated item
+    too, under its item_id.  Empty tables give no rows.  Columns of docs other than keep and the text are not read.  The
+    documents' texts are read twice, and not shuffled unless more than 500,000 pairs of a document and an item are to
+    be verified or there are more than 5,000 different items; then those documents are, that a value was found in.  A
+    table that isn't a selection of rows of Parquet files is saved first.
     """
-    spark = docs.sparkSession
-    out = None
-    kept = [F.col(c) for c in keep]
-    schema = docs.select(*kept).schema
-    for block in _blocks(items, least, n):
-        wanted, place = _lookup(block)
-        sets = spark.createDataFrame([(at, item, len(own), own) for at, (item, own, _) in enumerate(block)], "__at int, item_id long, n_item long, item_shingles array<string>")
-
-        hits = _let(word_list(F.col(text)), lambda w: F.array_intersect(hashes(w, n), wanted))
-        found = docs.select(*kept, F.col(text).alias("__text"), hits.alias("__hits")).where(F.size("__hits") > 0)
-        pairs = found.select(*kept, "__text", F.explode(_owners(F.col("__hits"), place)).alias("__at"))
-        joined = pairs.join(F.broadcast(sets), "__at")
-        own = _let(word_list(F.col("__text")), lambda w: shingles(w, n))
-        scored = joined.select(*kept, "item_id", F.size(F.array_intersect(own, F.col("item_shingles"))).cast("long").alias("n_shared"), "n_item")
-        match = scored.where(F.col("n_shared") >= F.ceil(F.col("n_item") * least - 1e-9)).withColumn("containment", F.col("n_shared") / F.col("n_item"))
-        out = match if out is None else out.unionByName(match)
-    if out is None:
-        out = spark.createDataFrame([], schema).select("*", F.lit(0).cast("long").alias("item_id"), *(F.lit(0).cast("long").alias(c) for c in ("n_shared", "n_item")), F.lit(0.0).alias("containment"))
-    return out
-
-
-def _long(v: int) -> str:
-    return f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)"
-
-
-def _blocks(items: DataFrame, least: float, n: int) -> Iterator[list[Item]]:
-    """The items in blocks of a fixed size; the driver holds one block at a time."""
-    block: list[Item] = []
-    values = 0
-    for r in signatures(items, least, n).toLocalIterator():
-        if block and (values + len(r["signature"]) > VALUES_AT_ONCE or len(block) >= ITEMS_AT_ONCE):
-            yield block
-            block, values = [], 0
-        block.append((r["item_id"], r["item_shingles"], r["signature"]))
-        values += len(r["signature"])
-    if block:
-        yield block
-
-
-def _lookup(block: list[Item]) -> tuple[Column, Column]:
-    """The signature values of a block, and a map from each to the places of its items in the block."""
-    owners: dict[int, list[int]] = {}
-    for at, (_, _, values) in enumerate(block):
-        for v in values:
-            owners.setdefault(v, []).append(at)
-    pairs = (f"{_long(v)},array({','.join(map(str, ats))})" for v, ats in owners.items())
-    return F.expr(f"array({','.join(map(_long, owners))})"), F.expr(f"map({','.join(pairs)})")
-
-
-def _owners(hits: Column, place: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.element_at(place, h))))
+    kept = docs.select(*keep, text)
+    rows = certainly_named(plain(kept))
+    found = _matches(rows, word_list(F.col(f"c{len(keep)}").cast("string")), signatures(items, least, n), least, n)
+    each = found.select(*(f"c{k}" for k in range(len(keep))), F.explode("item_ids").alias("i"), "n_shared", "n_item")
+    out = each.select(*(f"c{k}" for k in range(len(keep))), "i.item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return out.toDF(*kept.columns[:-1], "item_id", "n_shared", "n_item", "containment")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int = 5, text: str = "text") -> DataFrame:
@@ -131,26 +107,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int
 
     A document holds an item if it has at least the share `least` of the item's distinct n-word shingles.  Rows with
     null or empty texts stay, items without words match nothing, repeated rows go or stay together, and texts are read
-    whole.  Without items all rows stay; an empty table gives no rows.  Columns may have any names.
+    whole.  Without items all rows stay; an empty table gives no rows.  Columns may have any names.  What isn't a
+    selection of rows of Parquet files is saved first; whole rows move only if more than 500,000 go.
     """
-    out, words = plain(docs), F.col(place_of(docs, text)).cast("string")
-    for block in _blocks(items, least, n):
-        wanted, place = _lookup(block)
-        sets = F.expr(f"array({','.join('array(' + ','.join(map(_quoted, own)) + ')' for _, own, _ in block)})")
-
-        def holds(own: Column, at: Column) -> Column:
-            return _let(F.get(sets, at), lambda s: F.size(F.array_intersect(own, s)) >= F.ceil(F.size(s) * least - 1e-9))
-
-        def judge(w: Column) -> Column:
-            verify = lambda hits: _let(shingles(w, n), lambda own: F.exists(_owners(hits, place), lambda at: holds(own, at)))
-            return _let(F.array_intersect(hashes(w, n), wanted), lambda hits: F.when(F.size(hits) > 0, verify(hits)).otherwise(F.lit(False)))
-
-        out = out.withColumn("hit", _let(word_list(words), judge)).where("not hit").drop("hit")
-    return out.toDF(*docs.columns)
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = certainly_named(plain(docs))
+    words = word_list(F.col(place_of(docs, text)).cast("string"))
+    found = _matches(rows.select(place_of(docs, text), "file", "row"), words, signatures(items, least, n), least, n)
+    gone = at_once(saved(found.select(F.col("file").alias("f"), F.col("row").alias("r")).distinct(), "gone"))
+    return rows.join(gone, (F.col("file") == F.col("f")) & (F.col("row") == F.col("r")), "left_anti").select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
