@@ -41,6 +41,39 @@ NORMAL_CDF_SQL = (
 )
 
 
+# The rational approximations of Wichura's algorithm AS 241 (1988), highest power first
+QUANTILE_MIDDLE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+)
+QUANTILE_TAIL = (
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
+)
+QUANTILE_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.2426609473880784386e-3, 0.026532189526576123093, 0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0),
+)
+
+
+def _ratio(both: tuple[tuple[float, ...], tuple[float, ...]], x: Column) -> Column:
+    def polynomial(c: tuple[float, ...]) -> Column:
+        out = F.lit(c[0])
+        for v in c[1:]:
+            out = out * x + F.lit(v)
+        return out
+
+    return polynomial(both[0]) / polynomial(both[1])
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the normal distribution function for p in (0, 1), to about 16 digits."""
+    q = p - F.lit(0.5)
+    r = F.sqrt(-F.ln(F.least(p, F.lit(1.0) - p)))
+    tail = F.when(r <= 5, _ratio(QUANTILE_TAIL, r - F.lit(1.6))).otherwise(_ratio(QUANTILE_FAR, r - F.lit(5.0)))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(QUANTILE_MIDDLE, F.lit(0.180625) - q * q)).otherwise(F.signum(q) * tail)
+
+
 def log_add_exp(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(F.least(a, b) - F.greatest(a, b)))
 

@@ -16,6 +16,7 @@ from thicket.functions import special as sp
 from thicket.operators import analytics as an
 from thicket.operators import diagnostics as dg
 from thicket.operators import forest as fo
+from thicket.operators import long_traces as lt
 from thicket.operators import posterior as po
 from thicket.operators import preprocess as pp
 from thicket.operators import sampling as sa
@@ -316,7 +317,7 @@ _INV = f"CASE WHEN u < 0.02425 OR u > 0.97575 THEN if(u < 0.5, 1, -1) * {_TAIL}
     "SELECT round(max(r), 4) + 0.0 AS rhat FROM (SELECT kind, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)) AS r FROM b GROUP BY kind)"
 )
 def rank_rhat(spark, sf):
-    found = dg.rank_diagnostics(chains(spark, sf).withColumn("one", F.lit(1)), ["one"])
+    found = lt.rank_rhats(chains(spark, sf).withColumn("one", F.lit(1)), ["one"], block_rows=1000)
     return found.select(r("rhat", 4).alias("rhat"))
 
 
