@@ -44,6 +44,31 @@ def coverage(df: DataFrame, y: Column) -> DataFrame:
     return df.agg(F.avg(((y >= F.col("lo")) & (y <= F.col("hi"))).cast("double")).alias("coverage"), F.avg(F.col("hi") - F.col("lo")).alias("length"))
 
 
+def sketches(long: DataFrame, keys: list[str], value: str = "f", k: int = 400) -> DataFrame:
+    """(keys, sketch): a quantile sketch (KLL) of each key's draws, of bounded size whatever their number.
+
+    Sketches of chains, or of chunks of a trace, are merged by `merged_sketches`.  Quantiles are draws whose rank differs
+    from the wanted one by at most `rank_error(k)` of all draws (with 99 % chance); up to k draws all are kept, and the
+    quantiles are exact: the least draw that the share q of them doesn't exceed."""
+    return long.groupBy(*keys).agg(F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame, keys: list[str]) -> DataFrame:
+    return parts.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def rank_error(k: int) -> float:
+    """The part of all draws by which a sketch's rank may be off."""
+    return 2.296 / k**0.9021  # fixed values of the sketch
+
+
+def sketch_intervals(merged: DataFrame, level: float = 0.95) -> DataFrame:
+    """merged with lo and hi instead of its sketch."""
+    tail = (1 - level) / 2
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return merged.withColumn("lo", at(tail)).withColumn("hi", at(1 - tail)).drop("sketch")
+
+
 def long_draws(df: DataFrame, keep: list[str], draws: str = "draws") -> DataFrame:
     return df.select(*keep, F.posexplode(draws).alias("draw", "f"))
 
