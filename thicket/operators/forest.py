@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -335,3 +336,14 @@ def to_dot(tree: Tree, name: str = "tree") -> str:
     body = [f'  n{i} [label="{n.leaf:.4g}", shape=box];' if n.var == LEAF else f'  n{i} [label="x{n.var} <= {n.thr:.4g}"];' for i, n in sorted(tree.items())]
     body += [f'  n{i} -> n{2 * i + side} [label="{word}"];' for i in splits(tree) for side, word in ((1, "yes"), (2, "no"))]
     return "\n".join([f"digraph {name} {{", *body, "}"])
+
+
+def texts(nodes: DataFrame, keys: list[str], of: Callable[[Tree], str]) -> DataFrame:
+    """(keys, text) of trees in a table (keys, node, var, thr, leaf): a tree is a group, many are dealt over the tasks."""
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        tree = {int(i): leaf(v) if k < 0 else split(int(k), t) for i, k, t, v in zip(g["node"], g["var"], g["thr"], g["leaf"], strict=True)}
+        return pd.DataFrame([[*key, of(check(tree))]], columns=[*keys, "text"])
+
+    return nodes.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "text string"]))

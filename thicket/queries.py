@@ -312,22 +312,35 @@ def leaf_resid_sums(spark, sf):
     return st.leaf_stats(residuals(spark, sf), F.col("e")).select("leaf", "n", r("r", 4).alias("r"), r("q", 4).alias("q"))
 
 
-_NODES = " UNION ALL ".join(f"SELECT 'tree{k}' AS tree, {i} AS node, {n.var} AS var" for k, t in enumerate(FOREST) for i, n in sorted(t.items()))
+# a tree for each supplier: the root splits, and its children as the number of the supplier's items and its own are divisible
+_NODES = (
+    "SELECT 'tree' || s AS tree, ((s // 3) % 2)::INT AS chain, (s // 3)::INT AS draw, node::INT AS node, var::INT AS var, if(var < 0, NULL, (n * 7 + node) % 50)::DOUBLE AS thr, if(var < 0, (n + node) % 10 / CAST(10 AS DOUBLE), NULL) AS leaf "
+    "FROM (SELECT l_suppkey AS s, count(*) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT * FROM (VALUES (0, s % 4, true), (1, if(n % 2 = 0, n % 3, -1), true), (2, if(s % 3 = 0, 3, -1), true), "
+    "(3, -1, n % 2 = 0), (4, -1, n % 2 = 0), (5, -1, s % 3 = 0), (6, -1, s % 3 = 0)) t(node, var, there)) WHERE there"
+)
 _DEPTH = "(ceil(log2(node + 2)) - 1)"
 
 
-def nodes(spark):
-    return st.node_table(spark, {f"tree{k}": t for k, t in enumerate(FOREST)})
+def nodes(spark, sf):
+    """(tree, chain, draw, node, var, thr, leaf)."""
+    s, n, node, var = (F.col(c) for c in ("s", "n", "node", "var"))
+    by = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.count("*").alias("n"))
+    even, third = n % 2 == 0, s % 3 == 0
+    kinds = [s % 4, F.when(even, n % 3).otherwise(-1), F.when(third, F.lit(3)).otherwise(-1), *[F.when(even, -1)] * 2, *[F.when(third, -1)] * 2]
+    each = by.select("s", "n", F.posexplode(F.array(*[k.cast("int") for k in kinds])).alias("node", "var")).where("var is not null")
+    draw = F.floor(s / 3).cast("int")
+    thr, leaf = F.when(var >= 0, ((n * 7 + node) % 50).cast("double")), F.when(var < 0, (n + node) % 10 / F.lit(10.0))
+    return each.select(F.concat(F.lit("tree"), s).alias("tree"), (draw % 2).alias("chain"), draw.alias("draw"), "node", "var", thr.alias("thr"), leaf.alias("leaf"))
 
 
 @query(f"SELECT tree, round(sum(CASE WHEN var = -1 THEN ln(1 - exp(ln(0.95) - 2.0 * ln(1 + {_DEPTH}))) ELSE ln(0.95) - 2.0 * ln(1 + {_DEPTH}) END), 6) + 0.0 AS log_prior FROM ({_NODES}) GROUP BY 1")
 def tree_log_prior(spark, sf):
-    return st.log_prior(nodes(spark)).select("tree", r("log_prior").alias("log_prior"))
+    return st.log_prior(nodes(spark, sf)).select("tree", r("log_prior").alias("log_prior"))
 
 
 @query(f"SELECT tree, round(sum(CASE WHEN var = -1 THEN ln(1 - exp({_DEPTH} * ln(0.45))) ELSE {_DEPTH} * ln(0.45) END), 6) + 0.0 AS log_prior FROM ({_NODES}) GROUP BY 1")
 def tree_log_prior_quick_decay(spark, sf):
-    return st.log_prior(nodes(spark), 0.45, quick_decay=True).select("tree", r("log_prior").alias("log_prior"))
+    return st.log_prior(nodes(spark, sf), 0.45, quick_decay=True).select("tree", r("log_prior").alias("log_prior"))
 
 
 _LM = f"-0.5 * (sum(ln(n / {SIGMA2 / FSIGMA2!r} + 1)) + (sum(q) - sum(r * r / n) + sum(r * r / n / (n / {SIGMA2 / FSIGMA2!r} + 1))) / {SIGMA2!r})"
@@ -392,7 +405,7 @@ def mh_ratio_prune(spark, sf):
     "sum(CASE WHEN (SELECT count(*) FROM n c WHERE c.tree = n.tree AND c.var = -1 AND c.node IN (2 * n.node + 1, 2 * n.node + 2)) = 2 THEN 1 ELSE 0 END)::BIGINT AS n_terminal FROM n GROUP BY 1"
 )
 def transition_counts(spark, sf):
-    return st.terminal_counts(nodes(spark))
+    return st.terminal_counts(nodes(spark, sf))
 
 
 @query(f"SELECT round(stddev_pop(y), 3) + 0.0 AS sigma_hat FROM {ITEMS}")
@@ -531,49 +544,43 @@ def predict_trace_k(spark, sf):
     return fo.with_draws(with_x(items(spark, sf)), [TRACE[5]]).groupBy("l_returnflag").agg(r(F.avg(F.get("draws", 0))).alias("f"))
 
 
-@query("SELECT unnest(range(3, 8)) AS draw")
+@query(f"SELECT draw, count(DISTINCT tree) AS trees FROM ({_NODES}) WHERE draw > (SELECT max(draw) FROM ({_NODES})) - 5 GROUP BY 1")
 def range_post(spark, sf):
-    return po.last_draws(spark.range(len(TRACE)).withColumnRenamed("id", "draw"), len(TRACE), 5)
-
-
-_TRACE_NODES = "(" + " UNION ALL ".join(f"SELECT {d % 2} AS chain, {d} AS draw, {k} AS tree, {i} AS node, {n.var} AS var" for d, f in enumerate(TRACE) for k, t in enumerate(f) for i, n in sorted(t.items())) + ") n"
-
+    """The trees of the last five draws."""
+    trace = nodes(spark, sf)
+    return po.last_draws(trace, trace.agg(F.max("draw")).first()[0] + 1, 5).groupBy("draw").agg(F.count_distinct("tree").alias("trees"))
 
-def trace_nodes(spark):
-    rows = [(d % 2, d, k, i, n.var) for d, f in enumerate(TRACE) for k, t in enumerate(f) for i, n in sorted(t.items())]
-    return spark.createDataFrame(rows, "chain int, draw int, tree int, node int, var int")
 
+_HIST = f"(SELECT d.draw, v.var, count(n.node) AS n FROM (SELECT DISTINCT draw FROM ({_NODES})) d CROSS JOIN (SELECT unnest(range(4)) AS var) v LEFT JOIN ({_NODES}) n ON n.draw = d.draw AND n.var = v.var GROUP BY 1, 2) h"
 
-_HIST = f"(SELECT d.draw, v.var, (SELECT count(*) FROM {_TRACE_NODES} WHERE n.draw = d.draw AND n.var = v.var) AS n FROM (SELECT unnest(range(8)) AS draw) d, (SELECT unnest(range(4)) AS var) v) h"
 
-
-def histogram(spark):
-    return po.split_histogram(trace_nodes(spark), 4)
+def histogram(spark, sf):
+    return po.split_histogram(nodes(spark, sf), 4)
 
 
 @query(f"SELECT CAST(draw AS INTEGER) AS draw, CAST(var AS INTEGER) AS var, n FROM {_HIST}")
 def split_histogram(spark, sf):
-    return histogram(spark)
+    return histogram(spark, sf)
 
 
 @query(f"SELECT CAST(var AS INTEGER) AS var, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS inclusion FROM {_HIST} GROUP BY 1")
 def inclusion_probability(spark, sf):
-    return po.inclusion_probability(histogram(spark)).select("var", r("inclusion").alias("inclusion"))
+    return po.inclusion_probability(histogram(spark, sf)).select("var", r("inclusion").alias("inclusion"))
 
 
 @query(f"SELECT CAST(var AS INTEGER) AS var, round(sum(n) / (SELECT sum(n) FROM {_HIST}), 6) + 0.0 AS frequency FROM {_HIST} GROUP BY 1")
 def inclusion_frequency_split(spark, sf):
-    return po.inclusion_frequency(histogram(spark), "split").select("var", r("frequency").alias("frequency"))
+    return po.inclusion_frequency(histogram(spark, sf), "split").select("var", r("frequency").alias("frequency"))
 
 
 @query(f"SELECT CAST(var AS INTEGER) AS var, round(avg(n / a), 6) + 0.0 AS frequency FROM (SELECT var, n, sum(n) OVER (PARTITION BY draw) AS a FROM {_HIST}) WHERE a > 0 GROUP BY 1")
 def inclusion_frequency_per_draw(spark, sf):
-    return po.inclusion_frequency(histogram(spark), "per_draw").select("var", r("frequency").alias("frequency"))
+    return po.inclusion_frequency(histogram(spark, sf), "per_draw").select("var", r("frequency").alias("frequency"))
 
 
 @query(f"SELECT CAST(var AS INTEGER) AS var, round(avg(f), 6) + 0.0 AS frequency FROM (SELECT draw % 2 AS chain, var, sum(n) / sum(sum(n)) OVER (PARTITION BY draw % 2) AS f FROM {_HIST} GROUP BY 1, 2) GROUP BY 1")
 def inclusion_multichain(spark, sf):
-    made = po.chain_frequency(po.split_histogram(trace_nodes(spark), 4, ("chain", "draw")))
+    made = po.chain_frequency(po.split_histogram(nodes(spark, sf), 4, ("chain", "draw")))
     return made.select("var", r("frequency").alias("frequency"))
 
 
@@ -772,14 +779,19 @@ def cumulative_regret(spark, sf):
     return an.cumulative_regret(rows, keys=("arm",), order="t").select("arm", "t", r("cum_regret", 3).alias("cum_regret"))
 
 
-_T = "(SELECT unnest(range(2, 1200)) AS t) ts"
+_T = "(SELECT event_id + 2 AS t FROM events) ts"
+
+
+def steps(spark, sf):
+    """The steps of a log: one for each event, from 2."""
+    return table(spark, sf, "events").select((F.col("event_id") + 2).alias("t"))
+
 
 
 @query(f"SELECT t, {', '.join(f'CAST({fc.REFRESH_SQL[s].format(t='t')} AS BIGINT) AS {s}' for s in fc.SCHEDULES)}, " + " AND ".join([f"CAST({fc.REFRESH_SQL['log'].format(t='t')} AS BIGINT) > CAST({fc.REFRESH_SQL['log'].format(t='(t - 1)')} AS BIGINT)"]) + f" AS due FROM {_T}")
 def refresh_schedule(spark, sf):
-    ts = spark.range(2, 1200).withColumnRenamed("id", "t")
     at = fc.refresh_index
-    return ts.select("t", *[at(F.col("t"), s).alias(s) for s in fc.SCHEDULES], (at(F.col("t"), "log") > at(F.col("t") - 1, "log")).alias("due"))
+    return steps(spark, sf).select("t", *[at(F.col("t"), s).alias(s) for s in fc.SCHEDULES], (at(F.col("t"), "log") > at(F.col("t") - 1, "log")).alias("due"))
 
 
 @query(f"SELECT t, (SELECT min(u) FROM (SELECT unnest(range(1, 2000)) AS u) us WHERE u > t AND ceil(0.57 * sqrt(u)) > ceil(0.57 * sqrt(u - 1))) - t AS steps FROM (SELECT unnest(range(2, 1000)) AS t) ts")
@@ -792,8 +804,7 @@ def steps_to_refresh(spark, sf):
 
 @query(f"SELECT t, CAST(least(2000, greatest(100, ceil(0.2 * t))) AS INTEGER) AS bins, CAST(greatest(100, least(500, t * 3)) AS INTEGER) AS draws FROM {_T}")
 def adaptive_max_bins(spark, sf):
-    ts = spark.range(2, 1200).withColumnRenamed("id", "t")
-    return ts.select("t", fc.max_bins(F.col("t")).alias("bins"), fc.draws_needed(F.col("t"), F.lit(2), 500).alias("draws"))
+    return steps(spark, sf).select("t", fc.max_bins(F.col("t")).alias("bins"), fc.draws_needed(F.col("t"), F.lit(2), 500).alias("draws"))
 
 
 @query(f"SELECT min(n) >= 5 AS enough, min(n) AS least FROM (SELECT a, count(arm) AS n FROM (SELECT unnest(range(6)) AS a) arms LEFT JOIN {LOG} ON arm = a GROUP BY 1)")

@@ -22,7 +22,7 @@ from thicket.operators import preprocess as pp
 from thicket.operators import sampling as sa
 from thicket.plans.chain import CONTRARY, Gaussian, LogisticChain, Proposer, RegressionChain, Settings, logistic_shape
 from thicket.plans.chain import Tree as ChainTree
-from thicket.queries import CHAINS, FEATURES, FOREST, ITEMS, LOG, TRACE, TREE, _fit, _friedman, chains, final, items, log, query, r, table, with_x, xs
+from thicket.queries import _NODES, CHAINS, FEATURES, FOREST, ITEMS, LOG, TRACE, TREE, _fit, _friedman, chains, final, items, log, nodes, query, r, table, with_x, xs
 from thicket.sources import files as fi
 from thicket.sources.prior import heatmap
 from thicket.sources.scenarios import SCENARIOS, generate, grid
@@ -139,56 +139,81 @@ def boosted_forest(spark, sf):
     return items(spark, sf).groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.sum(fo.case_forest(fo.from_boosted(_DUMP), xs())), 4).alias("total"))
 
 
-@query(values([(0, "#0 x0 <= 25"), (1, "| #1 x1 <= 0.05"), (2, "| | #3 = -0.2"), (3, "| | #4 = 0.1"), (4, "| #2 = 0.3")], "line, text"))
+_TENTH = "if((leaf * 10)::INT = 0, '0', '0.' || (leaf * 10)::INT)"
+_RULE = f"if(var < 0, '= ' || {_TENTH}, 'x' || var || ' <= ' || thr::INT)"
+# the place of a heap number in preorder, by its path
+_PATH = "CASE node WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 2 THEN 4 WHEN 5 THEN 5 ELSE 6 END"
+
+
+@query(f"SELECT tree, string_agg(repeat('| ', (ceil(log2(node + 2)) - 1)::INT) || '#' || node || ' ' || {_RULE}, chr(10) ORDER BY {_PATH}) AS text FROM ({_NODES}) GROUP BY 1")
 def tree_listing(spark, sf):
-    return spark.createDataFrame(list(enumerate(fo.to_text(TREE).splitlines())), "line int, text string")
+    return fo.texts(nodes(spark, sf), ["tree"], fo.to_text)
 
 
-_DOT = ["digraph tree {", '  n0 [label="x0 <= 25"];', '  n1 [label="x1 <= 0.05"];', '  n2 [label="0.3", shape=box];', '  n3 [label="-0.2", shape=box];', '  n4 [label="0.1", shape=box];']
-_DOT += ['  n0 -> n1 [label="yes"];', '  n0 -> n2 [label="no"];', '  n1 -> n3 [label="yes"];', '  n1 -> n4 [label="no"];', "}"]
+_BOX = f"'  n' || node || ' [label=\"' || if(var < 0, {_TENTH} || '\", shape=box];', 'x' || var || ' <= ' || thr::INT || '\"];')"
 
 
-@query(values(list(enumerate(_DOT)), "line, text"))
+@query(
+    f"WITH n AS ({_NODES}), e AS (SELECT tree, node, side, '  n' || node || ' -> n' || (2 * node + side) || ' [label=\"' || if(side = 1, 'yes', 'no') || '\"];' AS l FROM n, (SELECT unnest([1, 2]) AS side) WHERE var >= 0) "
+    f"SELECT tree, 'digraph tree {{' || chr(10) || string_agg({_BOX}, chr(10) ORDER BY node) || chr(10) || any_value(ls) || chr(10) || '}}' AS text FROM n JOIN (SELECT tree, string_agg(l, chr(10) ORDER BY node, side) AS ls FROM e GROUP BY 1) USING (tree) GROUP BY 1"
+)
 def tree_dot(spark, sf):
-    return spark.createDataFrame(list(enumerate(fo.to_dot(TREE).splitlines())), "line int, text string")
+    return fo.texts(nodes(spark, sf), ["tree"], fo.to_dot)
 
 
 # -- functions -----------------------------------------------------------------------------------------------------------
 
-_Q, _DF = (0.05, 0.25, 0.5, 0.9, 0.99), (2, 4, 6)
+# parameters from each event
+_QUANTILE = "(SELECT event_id, value / (value + 50) AS q, (2 + 2 * (user_id % 3))::INT AS df FROM events WHERE value > 0)"
 
 
-@query(f"SELECT q, df, q AS back, round(CASE WHEN df = 2 THEN -2 * ln(1 - q) END, 7) AS x FROM ({values([(q, d) for q in _Q for d in _DF], 'q, df')})")
+@query(f"SELECT event_id, df, round(q, 9) + 0.0 AS back, round(CASE WHEN df = 2 THEN -2 * ln(1 - q) END, 6) AS x FROM {_QUANTILE}")
 def chi2_quantiles(spark, sf):
     """The distribution function of even degrees is a finite sum, which leads back from each quantile."""
-    rows = []
-    for q in _Q:
-        for d in _DF:
-            x = sp.chi2_ppf(q, d)
-            back = 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(d // 2))
-            rows.append((q, d, round(back, 9), round(x, 7) if d == 2 else None))
-    return spark.createDataFrame(rows, "q double, df int, back double, x double")
+
+    @F.pandas_udf("double")
+    def quantile(q: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([sp.chi2_ppf(a, b) for a, b in zip(q, df, strict=True)], dtype=float)
+
+    e = table(spark, sf, "events").where("value > 0").select("event_id", (F.col("value") / (F.col("value") + 50)).alias("q"), (2 + 2 * (F.col("user_id") % 3)).cast("int").alias("df"))
+    h = F.col("x") / 2
+    back = 1 - F.exp(-h) * (1 + F.when(F.col("df") > 2, h).otherwise(0.0) + F.when(F.col("df") > 4, h * h / 2).otherwise(0.0))
+    return e.withColumn("x", quantile("q", "df")).select("event_id", "df", r(back, 9).alias("back"), F.when(F.col("df") == 2, F.round("x", 6)).alias("x"))
+
+
+def _by_rows(made, kind: str = "double", rows: int = 256):
+    """A column function of NumPy arrays that takes some rows at a time."""
+
+    @F.pandas_udf(kind)
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        parts = [made(*(x.to_numpy(dtype=float)[k : k + rows] for x in (a, b, c))) for k in range(0, len(a), rows)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return run
 
 
-_X = (0.3, 1.0, 4.5, 20.0, 150.0)
-_HALF = "(0.5 * ln(pi() / (2 * x)) - x)"
+_ORDERS = "(SELECT event_id, value / 10 + CAST(0.3 AS DOUBLE) AS x, user_id % 3 + CAST(0.5 AS DOUBLE) AS v FROM events WHERE value >= 0)"
 
 
-@query(f"SELECT x, v, round({_HALF} + ln(CASE v WHEN 0.5 THEN 1 WHEN 1.5 THEN 1 + 1 / x ELSE 1 + 3 / x + 3 / (x * x) END), 5) + 0.0 AS k FROM ({values([(x, v) for x in _X for v in (0.5, 1.5, 2.5)], 'x, v')})")
+@query(f"SELECT event_id, round(0.5 * ln(pi() / (2 * x)) - x + ln(CASE v WHEN 0.5 THEN 1 WHEN 1.5 THEN 1 + 1 / x ELSE 1 + 3 / x + 3 / (x * x) END), 5) + 0.0 AS k FROM {_ORDERS}")
 def bessel_of_half_orders(spark, sf):
-    return spark.createDataFrame([(x, v, round(float(sp.log_bessel_k(v, x)), 5) + 0.0) for x in _X for v in (0.5, 1.5, 2.5)], "x double, v double, k double")
+    bessel = _by_rows(lambda v, x, _: sp.log_bessel_k(v, x))
+    x, v = F.col("value") / 10 + F.lit(0.3), F.col("user_id") % 3 + F.lit(0.5)
+    return table(spark, sf, "events").where("value >= 0").select("event_id", r(bessel(v, x, F.lit(0.0)), 5).alias("k"))
 
 
-_GIG = [(0.5, 2.0, 3.0), (1.5, 0.7, 1.1), (-0.5, 4.0, 0.25), (2.0, 0.0, 3.0), (0.75, 0.0, 0.5), (-1.5, 2.0, 0.0)]
 _W = "sqrt(chi * psi)"
+_GIG = "(SELECT event_id, CAST([0.5, 1.5, -0.5][user_id % 3 + 1] AS DOUBLE) AS eta, if(user_id % 3 < 2 AND user_id % 7 = 0, 0, value / 5 + CAST(0.1 AS DOUBLE)) AS chi, user_id % 5 + CAST(0.2 AS DOUBLE) AS psi FROM events WHERE value >= 0)"
 
 
 @query(
-    f"SELECT eta, chi, psi, round(CASE WHEN chi = 0 THEN lgamma(eta) + eta * ln(2 / psi) WHEN psi = 0 THEN lgamma(-eta) + eta * ln(chi / 2) "
-    f"ELSE ln(2) + 0.5 * ln(pi() / (2 * {_W})) - {_W} + CASE WHEN abs(eta) = 1.5 THEN ln(1 + 1 / {_W}) ELSE 0 END + eta / 2 * ln(chi / psi) END, 5) + 0.0 AS z FROM ({values(_GIG, 'eta, chi, psi')})"
+    f"SELECT event_id, round(CASE WHEN chi = 0 THEN lgamma(eta) + eta * ln(2 / psi) ELSE ln(2) + 0.5 * ln(pi() / (2 * {_W})) - {_W} + CASE WHEN eta = 1.5 THEN ln(1 + 1 / {_W}) ELSE 0 END + eta / 2 * ln(chi / psi) END, 5) + 0.0 AS z FROM {_GIG}"
 )
 def inverse_gaussian_normaliser(spark, sf):
-    return spark.createDataFrame([(e, c, p, round(float(sp.log_gig_norm(e, c, p)), 5) + 0.0) for e, c, p in _GIG], "eta double, chi double, psi double, z double")
+    u, norm = F.col("user_id"), _by_rows(lambda e, c, p: sp.log_gig_norm(e, c, p))
+    eta = F.element_at(F.array(F.lit(0.5), F.lit(1.5), F.lit(-0.5)), (u % 3 + 1).cast("int"))
+    chi = F.when((u % 3 < 2) & (u % 7 == 0), F.lit(0.0)).otherwise(F.col("value") / 5 + F.lit(0.1))
+    return table(spark, sf, "events").where("value >= 0").select("event_id", r(norm(eta, chi, u % 5 + F.lit(0.2)), 5).alias("z"))
 
 
 @query("SELECT event_id, round(ln(exp(value / 10) + exp(-value / 5)), 6) + 0.0 AS z FROM events")
@@ -196,9 +221,11 @@ def log_add_exp(spark, sf):
     return table(spark, sf, "events").select("event_id", r(fc.log_add_exp(F.col("value") / 10, -F.col("value") / 5)).alias("z"))
 
 
-@query(values([(n, *(round(v, 6) for v in (n / 6.125 + 0.5, n / 6.125))) for n in (1, 25, 50, 200)], "n, c, d"))
+@query("SELECT l_suppkey, n, round(n / CAST(6.125 AS DOUBLE) + 0.5, 6) + 0.0 AS c, round(n / CAST(6.125 AS DOUBLE), 6) + 0.0 AS d FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)")
 def logistic_leaf_shape(spark, sf):
-    return spark.createDataFrame([(n, *(round(v, 6) for v in logistic_shape(n))) for n in (1, 25, 50, 200)], "n int, c double, d double")
+    """As many trees as a supplier has items."""
+    c, d = logistic_shape(F.col("n"))
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).select("l_suppkey", "n", r(c).alias("c"), r(d).alias("d"))
 
 
 _MOMENTS = [(0.5, 2.0, 3.0), (1.5, 1.0, 1.0), (-0.5, 1.0, 2.0), (3.0, 0.0, 2.0), (-4.0, 2.0, 0.0)]
@@ -340,11 +367,12 @@ def tree_edits(spark, sf):
     return sums.select("l_returnflag", F.explode(F.array(*[F.struct(F.lit(k).alias("edit"), F.col(k).alias("total")) for k in _EDITS])).alias("e")).select("e.edit", "l_returnflag", "e.total")
 
 
-@query(values([("stump", 8, 1), ("TREE", 8, 5), ("deep", 32, 9)], "tree, size, nodes"))
+@query(f"SELECT tree, greatest(8, power(2, length(bin(max(node) + 1))))::INT AS size, count(*) AS nodes FROM ({_NODES}) GROUP BY 1")
 def heap_sizes(spark, sf):
-    deep = fo.split_leaf(fo.split_leaf(TREE, 4, 0, 3.0), 10, 0, 2.0)
-    rows = [(k, len(fo.heap(t)[0]), sum(v != fo.ABSENT for v in fo.heap(t)[0])) for k, t in (("stump", {0: fo.leaf(0.0)}), ("TREE", TREE), ("deep", deep)) if fo.from_heap(*fo.heap(t)) == t]
-    return spark.createDataFrame(rows, "tree string, size int, nodes int")
+    """The arrays of each supplier's tree: their size, and the nodes that they hold."""
+    shown = fo.texts(nodes(spark, sf), ["tree"], lambda t: f"{len(fo.heap(t)[0])} {sum(v != fo.ABSENT for v in fo.heap(fo.from_heap(*fo.heap(t)))[0])}")
+    part = F.split("text", " ")
+    return shown.select("tree", F.get(part, 0).cast("int").alias("size"), F.get(part, 1).cast("long").alias("nodes"))
 
 
 _CHAIN_TREE = ChainTree({0: (0, 12.0), 2: (1, 1.0)}, {1: -0.5, 5: 0.25, 6: 1.0}, np.zeros(0, dtype=np.int64))
@@ -427,21 +455,53 @@ def model_params(spark, sf):
     return spark.createDataFrame([(k, str(v)) for k, v in literal(spark).params().items() if k in keep], "name string, value string")
 
 
-@query("SELECT k, true AS fitted FROM range(5, 8) t(k)")
+def of_suppliers(spark, sf):
+    """A model whose draws are the suppliers' trees, three a draw, in two chains; its trace is derived by Spark."""
+    from thicket.plans import model as mo
+
+    node = F.struct("node", "var", F.coalesce("thr", F.lit(0.0)).alias("thr"), F.coalesce("leaf", F.lit(0.0)).alias("leaf"))
+    trees = nodes(spark, sf).groupBy("chain", "draw", "tree").agg(F.collect_list(node).alias("t")).groupBy("chain", "draw").agg(F.collect_list("t").alias("trees"))
+    trace = trees.select("chain", F.lit(0).alias("shard"), "draw", F.lit(0).alias("category"), (0.5 + 0.1 * (F.col("draw") % 7)).cast("double").alias("sigma2"), F.lit(None).cast("array<double>").alias("s"), "trees")
+    n = trace.count()
+    return mo.Model("regression", pp.Preprocessor(FEATURES, "y", 2, 0.0, 100000.0, [[] for _ in FEATURES]), Settings(n_trees=3, ndpost=n, nskip=0), 2, 0, trace, spark.createDataFrame([], mo.MOVES))
+
+
+_SIGMAS = "(SELECT DISTINCT (d % 2)::INT AS chain, d::INT AS draw, 0.5 + 0.1 * (d % 7) AS sigma2 FROM (SELECT l_suppkey // 3 AS d FROM lineitem))"
+
+
+@query(f"SELECT k, true AS fitted FROM (SELECT count(*) AS n FROM {_SIGMAS}), LATERAL (SELECT unnest(range(n - 3, n)) AS k)")
 def model_control(spark, sf):
-    m = literal(spark).set_ndpost(3)
+    """The last three of a model's draws."""
+    m = of_suppliers(spark, sf).set_ndpost(3)
     return spark.createDataFrame([(k, m.is_fitted) for k in m.range_post()], "k long, fitted boolean")
 
 
-@query("SELECT k // 4 AS chain, count(*) AS n, round(sum(0.5 + 0.1 * k), 6)::DOUBLE AS sigma2 FROM range(8) t(k) GROUP BY 1")
+@query(f"SELECT chain, count(*) AS n, round(sum(sigma2), 6)::DOUBLE AS sigma2 FROM {_SIGMAS} GROUP BY 1")
 def collected_by_chain(spark, sf):
-    made = literal(spark).collect(lambda g: g.groupby("chain", as_index=False).agg(n=("draw", "size"), sigma2=("sigma2", "sum")), "chain int, n long, sigma2 double")
-    return made.select(F.col("chain").cast("long").alias("chain"), "n", r("sigma2").alias("sigma2"))
+    made = of_suppliers(spark, sf).collect(lambda g: g.groupby("chain", as_index=False).agg(n=("draw", "size"), sigma2=("sigma2", "sum")), "chain int, n long, sigma2 double")
+    return made.select("chain", "n", r("sigma2").alias("sigma2"))
 
 
-@query("SELECT (k // 4)::INT AS chain, (k % 4)::INT AS draw, round(CAST(0.5 + 0.1 * k AS DOUBLE), 6) AS value FROM range(8) t(k)")
+@query(f"SELECT chain, draw, round(sigma2::DOUBLE, 6) AS value FROM {_SIGMAS}")
 def noise_chains(spark, sf):
-    return literal(spark).sigma_chains().select("chain", "draw", r("value").alias("value"))
+    return of_suppliers(spark, sf).sigma_chains().select("chain", "draw", r("value").alias("value"))
+
+
+@query(
+    f"WITH n AS MATERIALIZED ({_NODES}), i AS (SELECT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, month(l_shipdate)::DOUBLE AS month FROM lineitem), "
+    "x AS MATERIALIZED (SELECT l_returnflag, l_quantity, l_discount, l_tax, month, count(*) AS c FROM i GROUP BY ALL), "
+    "a AS (SELECT x.*, tree, CASE var WHEN 0 THEN l_quantity WHEN 1 THEN l_discount WHEN 2 THEN l_tax ELSE month END <= thr AS l FROM x, n WHERE node = 0), "
+    "b AS (SELECT a.*, n.node, n.leaf, n.var, CASE n.var WHEN 0 THEN l_quantity WHEN 1 THEN l_discount WHEN 2 THEN l_tax ELSE month END <= n.thr AS m FROM a JOIN n ON n.tree = a.tree AND n.node = if(l, 1, 2)), "
+    "c AS (SELECT b.l_returnflag, b.c, coalesce(b.leaf, n.leaf) AS v FROM b LEFT JOIN n ON b.var >= 0 AND n.tree = b.tree AND n.node = if(m, 2 * b.node + 1, 2 * b.node + 2)) "
+    "SELECT l_returnflag, round(sum(c * v) / (SELECT count(DISTINCT draw) FROM n), 4) + 0.0 AS total FROM c GROUP BY 1"
+)
+def chunked_posterior(spark, sf):
+    """Means over the draws of the suppliers' trees, whose trace reaches the rows in passes of a few kilobytes."""
+    from thicket.operators import traces as tr
+
+    m = of_suppliers(spark, sf)
+    made = tr.evaluated(with_x(items(spark, sf)), m.trace, F.lit(0), F.lit(1.0 / m.settings.ndpost), 1, "x", "f", pass_bytes=4_000)
+    return made.groupBy("l_returnflag").agg(r(F.sum(F.get("f", 0)), 4).alias("total"))
 
 
 @query(f"SELECT count(*) AS n, true AS mean_near, true AS spread_near FROM {ITEMS}")

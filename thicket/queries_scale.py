@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from thicket.operators import analytics as an
 from thicket.operators import boxes as bx
 from thicket.operators import diagnostics as dg
+from thicket.operators import posterior as po
 from thicket.queries import FEATURES, ITEMS, LOG, items, log, query, r, table, xs
+from thicket.queries_parts import place
+from thicket.sources import dumps as du
+from thicket.streaming.leaves import LeafSums
 
 _BLOCK = 500
 
@@ -86,3 +90,51 @@ def box_join_many_leaves(spark, sf):
     return joined.groupBy("leaf").agg(F.count("*").alias("n"), r(F.sum("y"), 2).alias("total"))
 
 
+# -- sketches, files and streams ----------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, hour(ts)::INT AS hour, quantile_disc(value, 0.1) AS lo, quantile_disc(value, 0.9) AS hi FROM events GROUP BY 1, 2")
+def sketched_intervals(spark, sf):
+    """Values as draws of four chains: a sketch a chain, merged.  A sketch of 4,000 keeps all draws of these groups."""
+    e = table(spark, sf, "events").select("event_type", F.hour("ts").alias("hour"), (F.col("user_id") % 4).alias("chain"), F.col("value").alias("f"))
+    merged = po.merged_sketches(po.sketches(e, ["event_type", "hour", "chain"], k=4_000), ["event_type", "hour"])
+    return po.sketch_intervals(merged, 0.8).select("event_type", "hour", "lo", "hi")
+
+
+_GROUPS = "(SELECT l_orderkey AS o, count(*) AS n, round(avg(l_quantity), 3) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1)"
+
+
+@query(
+    f"SELECT node::BIGINT AS node, var::INT AS var, count(*) AS n, round(sum(thr), 3) AS thr, round(sum(leaf), 3) AS leaf FROM {_GROUPS}, LATERAL (SELECT * FROM (VALUES (0, 0, q, NULL, true), (1, -1, NULL, n / 8.0, true), "
+    "(2, if(n % 2 = 0, 2, -1), if(n % 2 = 0, t, NULL), if(n % 2 = 0, NULL, 0.5), true), (5, -1, NULL, t, n % 2 = 0), (6, -1, NULL, -t, n % 2 = 0)) v(node, var, thr, leaf, there)) WHERE there GROUP BY 1, 2"
+)
+def dumped_forest(spark, sf):
+    """A tree for each order, written as one JSON dump a line, read back and unfolded to nodes."""
+    by = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 3).alias("q"), F.max("l_tax").alias("t"))
+    number = lambda c: c.cast("double").cast("string")
+    leaf = lambda at, v: F.concat(F.lit('{"nodeid":'), F.lit(at).cast("string"), F.lit(',"leaf":'), number(v), F.lit("}"))
+    split = lambda at, f, t, a, b, below: F.concat(F.lit(f'{{"nodeid":{at},"split":"f{f}","split_condition":'), number(t), F.lit(f',"yes":{a},"no":{b},"children":['), *below, F.lit("]}"))
+    inner = split(2, 2, F.col("t"), 3, 4, [leaf(3, F.col("t")), F.lit(","), leaf(4, -F.col("t"))])
+    right = F.when(F.col("n") % 2 == 0, inner).otherwise(leaf(2, F.lit(0.5)))
+    path = f"{place(spark)}/dumps"
+    by.select(split(0, 0, F.col("q"), 1, 2, [leaf(1, F.col("n") / 8), F.lit(","), right])).write.text(path)
+    nodes = du.boosted_nodes(du.read_dumps(spark, path), ["tree"])
+    return nodes.groupBy("node", "var").agg(F.count("*").alias("n"), F.round(F.sum("thr"), 3).alias("thr"), F.round(F.sum("leaf"), 3).alias("leaf"))
+
+
+_LEAF_OF = "if(value <= 10, 1, if(user_id % 2 = 0, 5, 6))"
+
+
+@query(f"SELECT {_LEAF_OF}::INT AS leaf, count(*) AS n, round(sum(value), 3) + 0.0 AS s, round(sum(value * value), 2) + 0.0 AS s2 FROM events GROUP BY 1")
+def streamed_leaf_sums(spark, sf):
+    """The events as a stream of files, in two runs of one query: sums by leaf, appended by batch and compacted."""
+    path = place(spark)
+    e = table(spark, sf, "events").select(F.when(F.col("value") <= 10, 1).when(F.col("user_id") % 2 == 0, 5).otherwise(6).alias("leaf"), "value", "event_id")
+    value = F.col("value")
+    state = LeafSums(spark, f"{path}/state", ["leaf"], {"s": value, "s2": value * value}, compact_every=3)
+    halves = e.withColumn("late", F.col("event_id") > e.agg(F.percentile_approx("event_id", 0.5)).first()[0])
+    for late in (False, True):
+        halves.where(F.col("late") == late).drop("late").repartitionByRange(4, "event_id").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        state.start(stream, f"{path}/at").awaitTermination()
+    return state.read().select("leaf", "n", r("s", 3).alias("s"), r("s2", 2).alias("s2"))
