@@ -16,11 +16,12 @@ from thicket.functions import special as sp
 from thicket.operators import analytics as an
 from thicket.operators import diagnostics as dg
 from thicket.operators import forest as fo
+from thicket.operators import gram as gr
 from thicket.operators import long_traces as lt
 from thicket.operators import posterior as po
 from thicket.operators import preprocess as pp
 from thicket.operators import sampling as sa
-from thicket.plans.chain import CONTRARY, Gaussian, LogisticChain, Proposer, RegressionChain, Settings, logistic_shape
+from thicket.plans.chain import CONTRARY, LogisticChain, Proposer, RegressionChain, Settings, logistic_shape
 from thicket.plans.chain import Tree as ChainTree
 from thicket.queries import _NODES, CHAINS, FEATURES, FOREST, ITEMS, LOG, TRACE, TREE, _fit, _friedman, chains, final, items, log, nodes, query, r, table, with_x, xs
 from thicket.sources import files as fi
@@ -613,39 +614,40 @@ def models_by_arm_batch(spark, sf):
     return made.groupBy("event_type").agg(F.count("*").alias("n"), F.max(F.size("every")).alias("models"), F.max(F.size("own")).alias("draws"), F.min(own == F.col("own")).alias("own"))
 
 
-class _Still:
-    """A generator whose normal draws are 0: draws are then means."""
-
-    @staticmethod
-    def standard_normal(n):
-        return np.zeros(n)
-
-
 _S2, _F2 = 0.3, 0.25 / (4 * 5)
+_PAIR = [{0: fo.split(2, 0.04), 1: fo.leaf(0.0), 2: fo.leaf(0.0)}, {0: fo.split(0, 25.0), 1: fo.leaf(0.0), 2: fo.leaf(0.0)}]
 
 
-def _regions(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").toPandas()
-    return n["n_regionkey"].to_numpy(), n["n_nationkey"].to_numpy(dtype=float) / 25 - 0.5
+def _gram(spark, sf):
+    return gr.leaf_gram(items(spark, sf), _PAIR, xs(), (F.col("y") - 50000.0) / 100000.0)
 
 
-_R = "(SELECT n_regionkey AS leaf, count(*) AS n, sum(n_nationkey / CAST(25 AS DOUBLE) - 0.5) AS r, sum(power(n_nationkey / CAST(25 AS DOUBLE) - 0.5, 2)) AS q FROM nation GROUP BY 1)"
+# two trees of two leaves: the first is eliminated by division, which leaves a matrix of two by two
+_CELLS = (
+    f"c AS (SELECT (l_tax > 0.04)::INT AS a, (l_quantity > 25)::INT AS b, (y - 50000.0) / CAST(100000 AS DOUBLE) AS z FROM {ITEMS}), k AS (SELECT a, b, count(*)::DOUBLE AS n, sum(z) AS s FROM c GROUP BY 1, 2), "
+    f"d AS (SELECT a, sum(n) + {_S2 / _F2!r} AS d, sum(s) AS r FROM k GROUP BY 1), e AS (SELECT b, sum(n) + {_S2 / _F2!r} AS d, sum(s) AS r FROM k GROUP BY 1), "
+    "m AS (SELECT k.a, any_value(d.d) AS d, any_value(d.r) AS r, sum(n) FILTER (b = 0) AS n0, sum(n) FILTER (b = 1) AS n1 FROM k JOIN d USING (a) GROUP BY 1), "
+    "t AS (SELECT (SELECT d FROM e WHERE b = 0) - sum(n0 * n0 / d) AS s00, -sum(n0 * n1 / d) AS s01, (SELECT d FROM e WHERE b = 1) - sum(n1 * n1 / d) AS s11, "
+    "(SELECT r FROM e WHERE b = 0) - sum(n0 * r / d) AS v0, (SELECT r FROM e WHERE b = 1) - sum(n1 * r / d) AS v1, sum(r * r / d) AS f, sum(ln(d)) AS l FROM m)"
+)
 
 
-@query(f"SELECT round(-0.5 * (sum(ln(n * {_F2 / _S2!r} + 1)) + (sum(q) - sum(r * r / n) + sum(r * r / n / (n * {_F2 / _S2!r} + 1))) / {_S2!r}), 6) + 0.0 AS many FROM {_R}")
+@query(
+    f"WITH {_CELLS} SELECT round(-0.5 * (l + ln(s00 * s11 - s01 * s01) - 4 * ln({_S2 / _F2!r}) + ((SELECT sum(z * z) FROM c) - f - (s11 * v0 * v0 - 2 * s01 * v0 * v1 + s00 * v1 * v1) / (s00 * s11 - s01 * s01)) / {_S2!r}), 3) + 0.0 AS many FROM t"
+)
 def marginal_of_many_trees(spark, sf):
-    """The likelihood of a whole basis, for one whose columns don't overlap."""
-    at, y = _regions(spark, sf)
-    basis = (at[:, None] == np.unique(at)[None, :]).astype(float)
-    return spark.createDataFrame([(round(float(Gaussian(Settings(n_trees=5)).log_marginal_many(basis, y, _S2)), 6) + 0.0,)], "many double")
+    """The likelihood of two trees at once, from counts of pairs of leaves."""
+    return spark.createDataFrame([(round(gr.log_marginal_many(_gram(spark, sf), _S2, _F2), 3) + 0.0,)], "many double")
 
 
-@query(f"SELECT leaf::INT AS leaf, round(r / (n + {_S2 / _F2!r}), 6) + 0.0 AS mean FROM {_R}")
+@query(
+    f"WITH {_CELLS}, w AS (SELECT (s11 * v0 - s01 * v1) / (s00 * s11 - s01 * s01) AS w0, (s00 * v1 - s01 * v0) / (s00 * s11 - s01 * s01) AS w1 FROM t) "
+    "SELECT 0 AS tree, (a + 1)::INT AS leaf, round((r - n0 * w0 - n1 * w1) / d, 6) + 0.0 AS mean FROM m, w UNION ALL SELECT 1, 1, round(w0, 6) + 0.0 FROM w UNION ALL SELECT 1, 2, round(w1, 6) + 0.0 FROM w"
+)
 def leaves_of_many_trees(spark, sf):
-    at, y = _regions(spark, sf)
-    basis = (at[:, None] == np.unique(at)[None, :]).astype(float)
-    drawn = Gaussian(Settings(n_trees=5)).draw_many(_Still(), basis, y, _S2)
-    return spark.createDataFrame([(int(k), round(float(v), 6) + 0.0) for k, v in zip(np.unique(at), drawn, strict=True)], "leaf int, mean double")
+    g = _gram(spark, sf)
+    mean, _ = gr.leaf_posterior_many(g, _S2, _F2)
+    return spark.createDataFrame([(t, k, round(float(v), 6) + 0.0) for (t, k), v in zip(g.columns, mean, strict=True)], "tree int, leaf int, mean double")
 
 
 @query(values([("change", 0, True, "change"), ("grow", 1, True, "prune"), ("prune", -1, True, "grow"), ("swap", 0, True, "swap")], "move, splits, filled, undone"))
