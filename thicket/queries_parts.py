@@ -543,14 +543,17 @@ def chain_bookkeeping(spark, sf):
     return moves.join(trace, "chain")
 
 
-@query("SELECT true AS explained, true AS covered")
+@query("SELECT count(*) AS n, true AS explained, true AS covered FROM events WHERE event_id % 5 = 0")
 def fitted_model(spark, sf):
-    """The posterior mean explains the greater part of Friedman's function, and intervals hold the more of it the longer they are."""
-    rows = _friedman(spark, sf)
-    made = po.intervals(po.posterior_mean(_fit(spark, sf).posterior_f(rows)))
+    """Friedman's function with noise of deviation 1, fitted to four fifths of the rows: on the others the mean explains the
+    greater part of it, and intervals of 90 % of predictive draws hold between 0.80 and 0.98 of the targets."""
+    noise = sum((sa.uniform(F.col("row_id"), k, 11) for k in range(12)), F.lit(-6.0))
+    rows = _friedman(spark, sf).withColumn("y", F.col("y") + noise)
+    m, held = _fit(spark, sf, rows.where("row_id % 5 <> 0")), rows.where("row_id % 5 = 0")
+    made = po.intervals(m.posterior_predict(m.predict(held, "mean"), "row_id", 3, "draws"), level=0.9)
     inside = ((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("double")
-    s = made.agg(F.avg((F.col("mean") - F.col("y")) ** 2).alias("e"), F.var_pop("y").alias("v"), F.avg(inside).alias("c"), F.min(F.col("hi") - F.col("lo")).alias("w"))
-    return s.select((F.col("e") < 0.3 * F.col("v")).alias("explained"), ((F.col("c") > 0.05) & (F.col("w") >= 0)).alias("covered"))
+    s = made.agg(F.count("*").alias("n"), F.avg((F.col("mean") - F.col("y")) ** 2).alias("e"), F.var_pop("y").alias("v"), F.avg(inside).alias("c"))
+    return s.select("n", (F.col("e") < 0.3 * F.col("v")).alias("explained"), F.col("c").between(0.8, 0.98).alias("covered"))
 
 
 @query("SELECT kind, true AS better FROM (SELECT unnest(['logistic', 'probit']) AS kind)")
