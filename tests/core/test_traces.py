@@ -71,12 +71,26 @@ def test_broadcasts_stay_under_the_limit(trace):
     packed = tr.pack(trace[1], F.col("k"), F.col("weight"))
     n = packed.agg(F.sum(F.octet_length("blob"))).first()[0]
     assert tr.packed_bytes(trace[1]) == n
-    passes = [[b for c in chunks for _, _, b in c.value] for chunks in tr._passes(packed, 2500, False)]
+    passes = [[b for c in chunks for *_, b in c.value] for chunks in tr._passes(packed, 2500, False)]
     assert len(passes) > 1 and sum(len(b) for p in passes for b in p) == n
     assert all(len(p) == 1 or sum(map(len, p)) <= 2500 for p in passes)
     assert [len(p) for p in tr._passes(packed, 1, False)] == [1] * 15
 
 
+@pytest.mark.parametrize("pass_bytes", [1 << 26, 2500])
+def test_rows_meet_the_draws_of_their_group(spark, trace, pass_bytes):
+    draws, given = trace
+    rows = [(i, x, [None, "g0", "g1", "none"][i % 4]) for i, x in points(40)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, g string")
+    of = F.concat(F.lit("g"), F.col("k") % 2)
+    got = {r["id"]: r["f"] for r in tr.evaluated(df, given, F.floor(F.col("k") / 2), F.col("weight"), 4, "x", "f", pass_bytes, of, "g").collect()}
+    for i, x, g in rows:
+        want = np.zeros(4)
+        for k, w, forest in draws:
+            want[k // 2] += w * value(forest, x) if g == f"g{k % 2}" else 0.0
+        assert got[i] == pytest.approx(want.tolist())
+
+
 def test_without_draws_or_rows(spark, trace):
     df = spark.createDataFrame([(1, [0.0, 0.0])], "id int, x array<double>")
     assert tr.evaluated(df, trace[1].where("k > 99"), F.col("k"), F.col("weight"), 2, "x", "f").first()["f"] == [0.0, 0.0]

@@ -23,7 +23,7 @@ CHUNK_BYTES, PASS_BYTES = 8 << 20, 64 << 20
 #: Bytes of results that a task makes at a time.
 BLOCK_BYTES = 16 << 20
 
-PACKED = "k int, weight double, blob binary"
+PACKED = "k int, weight double, of string, blob binary"
 
 
 def pack_forest(tree: np.ndarray, node: np.ndarray, var: np.ndarray, thr: np.ndarray, leaf: np.ndarray) -> bytes:
@@ -75,8 +75,9 @@ class PackedForest:
         return out
 
 
-def pack(trace: DataFrame, k: Column, weight: Column, trees: str = "trees") -> DataFrame:
-    """PACKED: each row's forest as one value, its column k and its weight in it; rows without k are left out.
+def pack(trace: DataFrame, k: Column, weight: Column, trees: str = "trees", of: Column | None = None) -> DataFrame:
+    """PACKED: each row's forest as one value, its column k, its weight in it and the rows that it is for (`of`, null for
+    all); rows without k are left out.
 
     `trees` holds for each tree an array of (node, var, thr, leaf).  A task packs a row at a time; the trace is not moved."""
 
@@ -84,14 +85,15 @@ def pack(trace: DataFrame, k: Column, weight: Column, trees: str = "trees") -> D
         for batch in batches:
             blobs = []
             for row in range(batch.num_rows):
-                forest = batch.column(2)[row].values
+                forest = batch.column(3)[row].values
                 nodes = forest.flatten()
                 sizes = np.diff(forest.offsets.to_numpy(zero_copy_only=False))
                 field = lambda name, kind, nodes=nodes: nodes.field(name).to_numpy(zero_copy_only=False).astype(kind)
                 blobs.append(pack_forest(np.repeat(np.arange(len(sizes)), sizes), field("node", np.int64), field("var", np.int64), field("thr", float), field("leaf", float)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["k", "weight", "blob"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["k", "weight", "of", "blob"])
 
-    return trace.select(k.cast("int").alias("k"), weight.cast("double").alias("weight"), trees).where(F.col("k").isNotNull()).mapInArrow(run, PACKED)
+    of = F.lit(None) if of is None else of
+    return trace.select(k.cast("int").alias("k"), weight.cast("double").alias("weight"), of.cast("string").alias("of"), trees).where(F.col("k").isNotNull()).mapInArrow(run, PACKED)
 
 
 def packed_bytes(trace: DataFrame, trees: str = "trees") -> int:
@@ -114,31 +116,33 @@ def _passes(packed: DataFrame, pass_bytes: int, one: bool) -> Iterator[list[Broa
         if full:
             yield chunks
             chunks, passed = [], 0
-        held.append((r["k"], r["weight"], bytes(r["blob"])))
+        held.append((r["k"], r["weight"], r["of"], bytes(r["blob"])))
         size, passed = size + n, passed + n
     if held:
         yield [*chunks, context.broadcast(held)]
 
 
-def evaluated(df: DataFrame, trace: DataFrame, k: Column, weight: Column, columns: int, x: str, out: str, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def evaluated(df: DataFrame, trace: DataFrame, k: Column, weight: Column, columns: int, x: str, out: str, pass_bytes: int = PASS_BYTES, of: Column | None = None, group: str | None = None) -> DataFrame:
     """df with `out`, an array whose place k is the weighted sum, over the trace's rows of that k, of their forests' values.
 
+    With `group`, a string column of df, a row meets only the trace's rows whose `of` is its group.
+
     x is an array of doubles.  Rows are not moved.  One pass is part of the result's own plan; where there are several, each
     but the last is written before the next begins, and its broadcasts are given up."""
-    made, name = df, df.columns.index(x)
+    made, name, by = df, df.columns.index(x), None if group is None else df.columns.index(group)
     schema = df.withColumn(out, F.array(F.lit(0.0))).schema
     before: list[Broadcast] = []
-    for chunks in _passes(pack(trace, k, weight), pass_bytes, packed_bytes(trace) <= pass_bytes):
+    for chunks in _passes(pack(trace, k, weight, of=of), pass_bytes, packed_bytes(trace) <= pass_bytes):
         if before:
             made = stored(made, "draws")
             for chunk in before:
                 chunk.destroy()
-        made = made.mapInArrow(_evaluating(chunks, columns, name, schema.names, bool(before)), schema)
+        made = made.mapInArrow(_evaluating(chunks, columns, name, by, schema.names, bool(before)), schema)
         before = chunks
     return made if before else df.withColumn(out, F.array_repeat(F.lit(0.0), columns))
 
 
-def _evaluating(chunks: list[Broadcast], columns: int, at: int, names: list[str], again: bool):
+def _evaluating(chunks: list[Broadcast], columns: int, at: int, by: int | None, names: list[str], again: bool):
     step = max(1, BLOCK_BYTES // (8 * columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +152,23 @@ def _evaluating(chunks: list[Broadcast], columns: int, at: int, names: list[str]
                 z, n = vectors(batch.column(at)), batch.num_rows
                 own = batch.columns[:-1] if again else batch.columns
                 sums = vectors(batch.column(batch.num_columns - 1)).copy() if again else np.zeros((n, columns))
+                rows = None if by is None else _places(batch.column(by).to_pylist())
                 for chunk in chunks:
-                    for k, weight, blob in chunk.value:
-                        sums[:, k] += weight * PackedForest(blob)(z)
+                    for k, weight, of, blob in chunk.value:
+                        if rows is None:
+                            sums[:, k] += weight * PackedForest(blob)(z)
+                        elif of in rows:
+                            sums[rows[of], k] += weight * PackedForest(blob)(z[rows[of]])
                 ends = pa.array(np.arange(n + 1, dtype=np.int32) * columns)
                 yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))], names=names)
 
     return run
+
+
+def _places(names: list) -> dict[str, np.ndarray]:
+    """The rows of each group but null."""
+    found: dict[str, list[int]] = {}
+    for row, name in enumerate(names):
+        if name is not None:
+            found.setdefault(name, []).append(row)
+    return {name: np.array(rows) for name, rows in found.items()}

@@ -39,10 +39,6 @@ def _unpack(packed, x: np.ndarray) -> list[Tree]:
     return out
 
 
-def to_forest(packed) -> list[fo.Tree]:
-    return [{int(n[0]): fo.leaf(n[3]) if n[1] < 0 else fo.split(int(n[1]), n[2]) for n in nodes} for nodes in packed]
-
-
 @dataclass
 class Model:
     """A fitted model.  `kind` is regression, probit or logistic; the trace has a row for each chain, shard, draw and

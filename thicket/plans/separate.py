@@ -4,18 +4,16 @@ evaluates all models."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.operators import forest as fo
+from thicket.operators import traces as tr
 from thicket.plans.chain import LogisticChain, RegressionChain, Settings
-from thicket.plans.model import NODE, _pack, to_forest
+from thicket.plans.model import NODE, _pack
 from thicket.sources.files import stored
 
 TRACE = f"model string, chain int, draw int, category int, sigma2 double, low double, high double, rows long, trees array<array<{NODE}>>"
@@ -38,26 +36,24 @@ class Models:
     _held: dict | None = field(default=None, repr=False)
 
     def names(self) -> list[str]:
-        return sorted(self._forests())
+        return sorted(self._draws())
 
     def __len__(self) -> int:
-        return len(self._forests())
+        return len(self._draws())
 
     def __getitem__(self, name) -> DataFrame:
         """The trace of one model."""
         return self.trace.where(F.col("model") == str(name))
 
-    def _forests(self) -> dict[str, tuple[float, float, list[list[list[fo.Tree]]]]]:
-        """For each model its range and, by category, the forests of its draws, chain after chain."""
+    def _draws(self) -> dict[str, tuple[float, float, list[tuple[int, int]]]]:
+        """For each model its range and the (chain, draw) of its posterior draws, chain after chain: all that the driver
+        gets of the trace."""
         if self._held is None:
+            rows = self.trace.where("draw >= 0 and category = 0").select("model", "chain", "draw", "low", "high").collect()
             found: dict[str, list] = {}
-            for r in self.trace.where("draw >= 0").collect():
+            for r in sorted(rows, key=lambda r: (r["model"], r["chain"], r["draw"])):
                 found.setdefault(r["model"], []).append(r)
-            self._held = {}
-            for name, rows in found.items():
-                rows.sort(key=lambda r: (r["category"], r["chain"], r["draw"]))
-                by = [[to_forest(r["trees"]) for r in rows if r["category"] == c][: self.settings.ndpost] for c in range(self.categories if self.kind == "logistic" else 1)]
-                self._held[name] = (rows[0]["low"], rows[0]["high"], by)
+            self._held = {name: (own[0]["low"], own[0]["high"], [(r["chain"], r["draw"]) for r in own[: self.settings.ndpost]]) for name, own in found.items()}
         return self._held
 
     def posterior_f_batch(self, df: DataFrame, out: str = "draws") -> DataFrame:
@@ -75,39 +71,37 @@ class Models:
         return made.withColumn(out, F.transform_values(out, lambda _, v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)))
 
     def _with(self, df: DataFrame, out: str, every: bool) -> DataFrame:
-        packed = {name: (low, high, [fo.Packed(f) for f in by]) for name, (low, high, by) in self._forests().items()}
-        shipped, kind = df.sparkSession.sparkContext.broadcast(packed), self.kind
+        """The trace stays a table; its draws reach the rows packed, in chunks under a byte limit.  Where a row needs its own
+        model only, it meets no other's draws."""
+        spark, found = df.sparkSession, self._draws()
+        if not found:
+            return df.withColumn(out, F.create_map().cast("map<string,array<double>>") if every else F.lit(None).cast("array<double>"))
+        n = self.categories if self.kind == "logistic" else 1
+        sizes = {name: len(keys) * n for name, (_, _, keys) in found.items()}
+        starts = dict(zip(sizes, np.cumsum([0, *sizes.values()])[:-1].tolist(), strict=True)) if every else dict.fromkeys(sizes, 0)
+        places = [(name, c, d, starts[name] + k * n) for name, (_, _, keys) in found.items() for k, (c, d) in enumerate(keys)]
+        at = F.broadcast(spark.createDataFrame(places, "__m string, __c int, __d int, __k int"))  # four values a draw
+        there = self.trace.join(at, (F.col("model") == F.col("__m")) & (F.col("chain") == F.col("__c")) & (F.col("draw") == F.col("__d")))
         x = F.array(*[F.col(c).cast("double") for c in self.features])
-        rows = df.withColumns({"__x": x, "__model": F.lit("") if every else F.col(self.by).cast("string")})
-        at, of = rows.columns.index("__x"), rows.columns.index("__model")
-        schema = df.withColumn(out, F.lit(None).cast("map<string,array<double>>" if every else "array<double>")).schema
-
-        def draws(name: str, z: np.ndarray) -> np.ndarray:
-            low, high, by = shipped.value[name]
-            if kind == "logistic":
-                f = [p.all(z) for p in by]
-                return 1 / (1 + sum(np.exp(g - f[1]) for c, g in enumerate(f) if c != 1))
-            f = by[0].all(z)
-            return (high - low) * (f + 0.5) + low if kind == "regression" and high > low else f
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                z = fo.vectors(batch.column(at))
-                own = [c for k, c in enumerate(batch.columns) if k not in (at, of)]
-                if every:
-                    made = {name: draws(name, z) for name in shipped.value} if len(z) else {}
-                    values = pa.array([[(name, m[i].tolist()) for name, m in made.items()] for i in range(len(z))], pa.map_(pa.string(), pa.list_(pa.float64())))
-                else:
-                    found: list = [None] * len(z)
-                    names = np.array(batch.column(of).to_pylist(), dtype=object)
-                    for name in {n for n in names if n in shipped.value}:
-                        rows_of = np.flatnonzero(names == name)
-                        for i, v in zip(rows_of.tolist(), draws(name, z[rows_of]).tolist(), strict=True):
-                            found[i] = v
-                    values = pa.array(found, pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*own, values], names=schema.names)
-
-        return rows.mapInArrow(run, schema)
+        rows = df.withColumns({"__x": x, "__own": F.col(self.by).cast("string")})
+        columns = sum(sizes.values()) if every else max(sizes.values())
+        made = tr.evaluated(rows, there, F.col("__k") + F.col("category"), F.lit(1.0), columns, "__x", "__f", of=F.col("model"), group=None if every else "__own")
+
+        def draws(name: str) -> Column:
+            low, high, keys = found[name]
+            f = F.slice("__f", starts[name] + 1, sizes[name])
+            if self.kind == "logistic":
+                each = F.transform(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda k: F.slice(f, k * n + 1, n))
+                return F.transform(each, lambda z: F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda s, v: s + F.exp(v - F.get(z, 1))))
+            if self.kind == "regression" and high > low:
+                return F.transform(f, lambda v: F.lit(high - low) * (v + F.lit(0.5)) + F.lit(low))
+            return f
+
+        if every:
+            value = F.create_map(*[c for name in sizes for c in (F.lit(name), draws(name))])
+        else:
+            value = F.coalesce(*[F.when(F.col("__own") == name, draws(name)) for name in sizes])
+        return made.withColumn(out, value).drop(*({"__x", "__own", "__f"} - {out}))
 
     def refit(self, rows: DataFrame) -> Models:
         """The models of the groups in `rows` anew from these rows; the others stay as they are."""
