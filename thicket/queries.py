@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -794,12 +795,15 @@ def refresh_schedule(spark, sf):
     return steps(spark, sf).select("t", *[at(F.col("t"), s).alias(s) for s in fc.SCHEDULES], (at(F.col("t"), "log") > at(F.col("t") - 1, "log")).alias("due"))
 
 
-@query(f"SELECT t, (SELECT min(u) FROM (SELECT unnest(range(1, 2000)) AS u) us WHERE u > t AND ceil(0.57 * sqrt(u)) > ceil(0.57 * sqrt(u - 1))) - t AS steps FROM (SELECT unnest(range(2, 1000)) AS t) ts")
+@query(f"SELECT t, floor(power(ceil(0.57 * sqrt(t)) / CAST(0.57 AS DOUBLE), 2))::BIGINT + 1 - t AS steps FROM {_T}")
 def steps_to_refresh(spark, sf):
-    ts = spark.range(2, 2000).withColumnRenamed("id", "t")
-    due = fc.refresh_index(F.col("t"), "sqrt") > fc.refresh_index(F.col("t") - 1, "sqrt")
-    after = Window.orderBy("t").rowsBetween(1, Window.unboundedFollowing)  # a fixed number of steps
-    return ts.withColumn("next", F.min(F.when(due, F.col("t"))).over(after)).where("t < 1000").select("t", (F.col("next") - F.col("t")).alias("steps"))
+    from thicket.streaming.agents import steps_to_refresh as wait
+
+    @F.pandas_udf("long")
+    def left(t: pd.Series) -> pd.Series:
+        return t.map(lambda k: wait(int(k), "sqrt"))
+
+    return steps(spark, sf).select("t", left("t").alias("steps"))
 
 
 @query(f"SELECT t, CAST(least(2000, greatest(100, ceil(0.2 * t))) AS INTEGER) AS bins, CAST(greatest(100, least(500, t * 3)) AS INTEGER) AS draws FROM {_T}")
@@ -1024,10 +1028,10 @@ def train_test_split(spark, sf):
     return train.agg(F.count("*").alias("train")).join(F.broadcast(test.agg(F.count("*").alias("test"))), F.lit(True))
 
 
-@query(f"SELECT k, CAST(row_number() OVER (ORDER BY {sa.uniform_sql('k', 2, 9)}, k) - 1 AS INTEGER) AS place FROM (SELECT unnest(range(200)) AS k)")
+@query(f"SELECT k, CAST(row_number() OVER (ORDER BY {sa.uniform_sql('k', 2, 9)}, k) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT draw::BIGINT AS k FROM ({_NODES}))")
 def posterior_queue(spark, sf):
-    """The order in which 200 posterior draws are used up."""
-    return sa.permutation(spark.range(200).withColumnRenamed("id", "k"), [], "k", 9)
+    """The order in which the draws of the suppliers' trees are used up."""
+    return sa.permutation(nodes(spark, sf).select(F.col("draw").cast("long").alias("k")).distinct(), [], "k", 9)
 
 
 _W = "[1.0, 0.5, 2.0, 0.25, 3.25]"
@@ -1152,7 +1156,7 @@ def update_fit(spark, sf):
 def prior_predictive(spark, sf):
     from thicket.sources.prior import prior_predictive as draw
 
-    return draw(spark, 500, 3, n_trees=20, latent=True).select("row_id", *[r(f"x{k}").alias(f"x{k}") for k in range(3)], r("f").alias("f"), r("y").alias("y"))
+    return draw(spark, table(spark, sf, "events").count(), 3, n_trees=20, latent=True).select("row_id", *[r(f"x{k}").alias(f"x{k}") for k in range(3)], r("f").alias("f"), r("y").alias("y"))
 
 
 @query()

@@ -48,23 +48,37 @@ def place(spark) -> str:
 _COUNTS = {"friedman2": 4, "friedman3": 4, "linear_additive": 10, "smooth_additive": 10, "dgp_1": 3, "dgp_2": 7, "low_lei_candes": 10, "high_lei_candes": 100, "lss": 10, "piecewise_linear_kunzel": 10, "sum": 20, "tree": 10}
 
 
-@query(values([(n, _COUNTS.get(n, 5), 50) for n in sorted(SCENARIOS)], "name, features, n"))
+@query(f"SELECT name, features, (SELECT count(*) FROM events)::INT AS n FROM ({values([(n, _COUNTS.get(n, 5)) for n in sorted(SCENARIOS)], 'name, features')})")
 def scenario_shapes(spark, sf):
-    made = {n: generate(spark, n, 50, noise=0.1) for n in sorted(SCENARIOS)}
-    return spark.createDataFrame([(n, len(df.columns) - 2, df.count()) for n, df in made.items()], "name string, features int, n int")
+    """Each scenario with a row for each event."""
+    n = table(spark, sf, "events").count()
+    made = {name: generate(spark, name, n, noise=0.1) for name in sorted(SCENARIOS)}
+    return spark.createDataFrame([(name, len(df.columns) - 2, df.count()) for name, df in made.items()], "name string, features int, n int")
 
 
-@query("SELECT i AS row_id, round((i % 20) / CAST(19 AS DOUBLE), 6) + 0.0 AS x0, round((i // 20) / CAST(19 AS DOUBLE), 6) + 0.0 AS x1 FROM range(400) t(i)")
+# a mesh of as many points as there are events, or some fewer
+_MESH = "(SELECT i, b FROM (SELECT floor(sqrt(count(*)))::BIGINT AS b FROM events), LATERAL (SELECT unnest(range(b * b)) AS i))"
+
+
+def _bins(spark, sf) -> int:
+    return math.isqrt(table(spark, sf, "events").count())
+
+
+@query(f"SELECT i AS row_id, round((i % b) / (b - 1)::DOUBLE, 6) + 0.0 AS x0, round((i // b) / (b - 1)::DOUBLE, 6) + 0.0 AS x1 FROM {_MESH}")
 def grid_points(spark, sf):
-    return grid(spark, 400, 2, 20).select("row_id", r("x0").alias("x0"), r("x1").alias("x1"))
+    bins = _bins(spark, sf)
+    return grid(spark, bins * bins, 2, bins).select("row_id", r("x0").alias("x0"), r("x1").alias("x1"))
 
 
 _PLANE = [{0: fo.split(0, 0.5), 1: fo.leaf(0.25), 2: fo.split(1, 0.2), 5: fo.leaf(-1.0), 6: fo.leaf(0.75)}, {0: fo.split(1, 0.9), 1: fo.leaf(0.125), 2: fo.leaf(2.0)}]
 
 
-@query("SELECT i AS row_id, if((i % 30) / CAST(29 AS DOUBLE) <= 0.5, 0.25, if((i // 30) / CAST(29 AS DOUBLE) <= 0.2, -1.0, 0.75))::DOUBLE + if((i // 30) / CAST(29 AS DOUBLE) <= 0.9, 0.125, 2.0)::DOUBLE AS f FROM range(900) t(i)")
+_PX, _PY = "(i % b) / (b - 1)::DOUBLE", "(i // b) / (b - 1)::DOUBLE"
+
+
+@query(f"SELECT i AS row_id, if({_PX} <= 0.5, 0.25, if({_PY} <= 0.2, -1.0, 0.75))::DOUBLE + if({_PY} <= 0.9, 0.125, 2.0)::DOUBLE AS f FROM {_MESH}")
 def forest_heatmap(spark, sf):
-    return heatmap(spark, _PLANE, 30).select("row_id", "f")
+    return heatmap(spark, _PLANE, _bins(spark, sf)).select("row_id", "f")
 
 
 @query("SELECT vec_id, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS first, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 5) + 0.0 AS total FROM embeddings")
@@ -88,11 +102,16 @@ def forest_json(spark, sf):
     return items(spark, sf).groupBy("l_returnflag").agg(r(F.sum(fo.case_forest(back, xs())), 4).alias("total"))
 
 
-@query("SELECT k, true AS same FROM range(8) t(k)")
+@query("SELECT event_id, true AS same FROM events")
 def generator_codec(spark, sf):
-    rng = np.random.default_rng(11)
-    again = fi.generator_from_json(fi.generator_to_json(rng))
-    return spark.createDataFrame([(k, bool(rng.random() == again.random())) for k in range(8)], "k long, same boolean")
+    """A generator for each event, written as text and read back: both go on alike."""
+
+    @F.pandas_udf("boolean")
+    def same(ids: pd.Series) -> pd.Series:
+        pairs = ((rng, fi.generator_from_json(fi.generator_to_json(rng))) for rng in (np.random.default_rng([11, k]) for k in ids))
+        return pd.Series([rng.random() == again.random() for rng, again in pairs], dtype=bool)
+
+    return table(spark, sf, "events").select("event_id", same("event_id").alias("same"))
 
 
 @query("SELECT n_regionkey AS k, count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY 1")
@@ -232,15 +251,19 @@ def logistic_leaf_shape(spark, sf):
 _MOMENTS = [(0.5, 2.0, 3.0), (1.5, 1.0, 1.0), (-0.5, 1.0, 2.0), (3.0, 0.0, 2.0), (-4.0, 2.0, 0.0)]
 
 
-@query(values([(e, c, p, True) for e, c, p in _MOMENTS], "eta, chi, psi, near"))
+@query("SELECT (user_id % 5)::INT AS kind, count(*) AS n, true AS near FROM events GROUP BY 1")
 def inverse_gaussian_draws(spark, sf):
-    """Means of 20,000 draws against the closed form."""
-    rng, rows = np.random.default_rng(5), []
-    for eta, chi, psi in _MOMENTS:
-        x = np.array([sp.draw_gig(rng, eta, chi, psi) for _ in range(20_000)])
-        want = math.exp(float(sp.log_gig_norm(eta + 1, chi, psi)) - float(sp.log_gig_norm(eta, chi, psi)))
-        rows.append((eta, chi, psi, bool(abs(x.mean() - want) < 5 * x.std() / math.sqrt(len(x)))))
-    return spark.createDataFrame(rows, "eta double, chi double, psi double, near boolean")
+    """A draw for each event, by one of five parameters: their means against the closed form."""
+
+    @F.pandas_udf("double")
+    def draw(ids: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([float(sp.draw_gig(np.random.default_rng([5, i]), *_MOMENTS[k])) for i, k in zip(ids, kinds, strict=True)], dtype=float)
+
+    means = [math.exp(float(sp.log_gig_norm(e + 1, c, p)) - float(sp.log_gig_norm(e, c, p))) for e, c, p in _MOMENTS]
+    e = table(spark, sf, "events").select("event_id", (F.col("user_id") % 5).cast("int").alias("kind"))
+    s = e.withColumn("x", draw("event_id", "kind")).groupBy("kind").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev("x").alias("d"))
+    want = F.element_at(F.array(*map(F.lit, means)), F.col("kind") + 1)
+    return s.select("kind", "n", (F.abs(F.col("m") - want) < 5 * F.col("d") / F.sqrt("n")).alias("near"))
 
 
 # -- analytics -------------------------------------------------------------------------------------------------------------
@@ -450,12 +473,6 @@ def logistic_posterior(spark, sf):
     return _by_flag(made.withColumn("p", F.get("proba", 1)), "p", 6)
 
 
-@query(values([("chains", "2"), ("kind", "regression"), ("max_bins", "2"), ("n_trees", "3"), ("ndpost", "8"), ("nskip", "0"), ("tree_alpha", "0.95"), ("tree_beta", "2.0")], "name, value"))
-def model_params(spark, sf):
-    keep = ("chains", "kind", "max_bins", "n_trees", "ndpost", "nskip", "tree_alpha", "tree_beta")
-    return spark.createDataFrame([(k, str(v)) for k, v in literal(spark).params().items() if k in keep], "name string, value string")
-
-
 def of_suppliers(spark, sf):
     """A model whose draws are the suppliers' trees, three a draw, in two chains; its trace is derived by Spark."""
     from thicket.plans import model as mo
@@ -470,6 +487,16 @@ def of_suppliers(spark, sf):
 _SIGMAS = "(SELECT DISTINCT (d % 2)::INT AS chain, d::INT AS draw, 0.5 + 0.1 * (d % 7) AS sigma2 FROM (SELECT l_suppkey // 3 AS d FROM lineitem))"
 
 
+_FIXED = [("chains", "2"), ("kind", "regression"), ("max_bins", "2"), ("n_trees", "3"), ("nskip", "0"), ("tree_alpha", "0.95"), ("tree_beta", "2.0")]
+
+
+@query(f"{values(_FIXED, 'name, value')} UNION ALL SELECT 'ndpost', count(*)::VARCHAR FROM {_SIGMAS}")
+def model_params(spark, sf):
+    keep = {"ndpost", *(k for k, _ in _FIXED)}
+    return spark.createDataFrame([(k, str(v)) for k, v in of_suppliers(spark, sf).params().items() if k in keep], "name string, value string")
+
+
+
 @query(f"SELECT k, true AS fitted FROM (SELECT count(*) AS n FROM {_SIGMAS}), LATERAL (SELECT unnest(range(n - 3, n)) AS k)")
 def model_control(spark, sf):
     """The last three of a model's draws."""
@@ -875,12 +902,12 @@ def encode_separate(spark, sf):
     return pp.encode_all_arms(made.drop("arm"), "e", 5, 2, "separate").select("t", r(F.get("encoded", 0)).alias("e0"), r(F.get("encoded", 1)).alias("e1"))
 
 
-@query("SELECT count(*) AS n, true AS inside, true AS varied FROM range(500)")
+@query("SELECT count(*) AS n, true AS inside, true AS varied FROM events")
 def prior_source(spark, sf):
     """Features of the grid lie in the unit cube, and targets stray from the forest's sum."""
     from thicket.sources.prior import prior_predictive
 
-    made = prior_predictive(spark, 500, 3, n_trees=20, latent=True)
+    made = prior_predictive(spark, table(spark, sf, "events").count(), 3, n_trees=20, latent=True)
     inside = (F.least("x0", "x1", "x2") >= 0) & (F.greatest("x0", "x1", "x2") <= 1)
     return made.agg(F.count("*").alias("n"), F.min(inside).alias("inside"), (F.stddev(F.col("y") - F.col("f")) > 0).alias("varied"))
 
