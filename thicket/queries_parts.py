@@ -4,6 +4,7 @@ library's expressions."""
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
@@ -114,11 +115,16 @@ def generator_codec(spark, sf):
     return table(spark, sf, "events").select("event_id", same("event_id").alias("same"))
 
 
-@query("SELECT n_regionkey AS k, count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY 1")
+@query("SELECT user_id, '{\"n\": ' || count(*) || ', \"ids\": [' || min(event_id) || ', ' || max(event_id) || ']}' AS text FROM events GROUP BY 1")
 def builtin_values(spark, sf):
-    found = table(spark, sf, "nation").select("n_regionkey", "n_nationkey").toPandas().groupby("n_regionkey")["n_nationkey"].agg(["size", "sum"])
-    plain = fi.plain({"rows": [(k, v["size"], v["sum"]) for k, v in found.iterrows()]})
-    return spark.createDataFrame([(int(k), n, t) for k, n, t in plain["rows"]], "k long, n long, total long")
+    """Each user's NumPy numbers as built-in ones, which JSON takes."""
+
+    @F.pandas_udf("string")
+    def text(n: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(fi.plain({"n": np.int64(a), "ids": np.array([b, c])})) for a, b, c in zip(n, low, high, strict=True)], dtype=str)
+
+    by = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
+    return by.select("user_id", text("n", "low", "high").alias("text"))
 
 
 @query("SELECT kind, n_nationkey::BIGINT AS n_nationkey, n_name FROM nation, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS kind)")
@@ -399,17 +405,23 @@ def heap_sizes(spark, sf):
     return shown.select("tree", F.get(part, 0).cast("int").alias("size"), F.get(part, 1).cast("long").alias("nodes"))
 
 
-_CHAIN_TREE = ChainTree({0: (0, 12.0), 2: (1, 1.0)}, {1: -0.5, 5: 0.25, 6: 1.0}, np.zeros(0, dtype=np.int64))
-_NATION_LEAF = "if(n_nationkey <= 12, 1, if(n_regionkey <= 1, 5, 6))"
+_CHAIN_TREE = ChainTree({0: (0, 25.0), 2: (1, 6.0)}, {1: -0.5, 5: 0.25, 6: 1.0}, np.zeros(0, dtype=np.int64))
+_ITEM_LEAF = "if(l_quantity <= 25, 1, if(month <= 6, 5, 6))"
 
 
-@query(f"SELECT n_nationkey::BIGINT AS n_nationkey, {_NATION_LEAF}::BIGINT AS leaf, CASE {_NATION_LEAF} WHEN 1 THEN -0.5 WHEN 5 THEN 0.25 ELSE 1.0 END::DOUBLE AS value FROM nation")
+@query(f"SELECT {_ITEM_LEAF}::INT AS leaf, count(*) AS n, round(sum(CASE {_ITEM_LEAF} WHEN 1 THEN -0.5 WHEN 5 THEN 0.25 ELSE 1.0 END), 2)::DOUBLE AS total, true AS kept FROM {ITEMS} GROUP BY 1")
 def appended_rows(spark, sf):
-    """A tree of a chain over some rows takes more rows: the old keep their leaves, the new are routed."""
-    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").toPandas().to_numpy(dtype=float)
-    some = _CHAIN_TREE.extend(n[:10], 0)
-    both = some.extend(n, 10)
-    return spark.createDataFrame([(int(k), int(a), float(v)) for k, a, v in zip(n[:, 0], both.at, both.values(), strict=True)], "n_nationkey long, leaf long, value double")
+    """A tree of a chain over some rows of each batch takes the others: the old keep their leaves, the new are routed."""
+
+    def run(batches):
+        for rows in batches:
+            x = rows.to_numpy(dtype=float)
+            some = _CHAIN_TREE.extend(x[: len(x) // 3], 0)
+            both = some.extend(x, len(x) // 3)
+            yield pd.DataFrame({"leaf": both.at, "value": both.values(), "kept": np.arange(len(x)) >= len(some.at)}).assign(kept=lambda d, s=some: d["kept"] | (d["leaf"].to_numpy() == np.resize(s.at if len(s.at) else [-1], len(d))))
+
+    routed = items(spark, sf).select("l_quantity", "month").mapInPandas(run, "leaf int, value double, kept boolean")
+    return routed.groupBy("leaf").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.min("kept").alias("kept"))
 
 
 # -- literal models -----------------------------------------------------------------------------------------------------------
@@ -749,14 +761,18 @@ def _held(arms: int = 2) -> ag.TreeAgent:
 _SPLIT = "if((if(k % 2 = 0, u, h)) <= 0.5, -0.25 + 0.1 * k, greatest(0.2 * k, 0.1 + 0.2 * k))"
 
 
-@query(f"SELECT k::INT AS draw, round(sum(least(0.5, CAST({_SPLIT} AS DOUBLE))), 6) + 0.0 AS score FROM (SELECT n_nationkey / CAST(25 AS DOUBLE) AS u, n_regionkey / CAST(5 AS DOUBLE) AS h FROM nation), range(4) t(k) GROUP BY 1")
+@query(f"SELECT k::INT AS draw, round(sum(least(0.5, CAST({_SPLIT} AS DOUBLE))), 5) + 0.0 AS score FROM (SELECT value / CAST(100 AS DOUBLE) AS u, hour(ts) / CAST(24 AS DOUBLE) AS h FROM events), range(4) t(k) GROUP BY 1")
 def feel_good_running(spark, sf):
-    """Scores of the draws, kept up to date context by context."""
-    agent = _held()
-    for u, h in table(spark, sf, "nation").select((F.col("n_nationkey") / 25).alias("u"), (F.col("n_regionkey") / 5).alias("h")).collect():
-        agent.update(0, [u, h], 0.5)
-        agent.queue = []
-    return spark.createDataFrame([(k, round(float(s), 6) + 0.0) for k, s in enumerate(agent.score)], "draw int, score double")
+    """Scores of the draws over the contexts of all events: each batch adds to them, and so do the tasks' sums."""
+
+    def run(batches):
+        agent = _held()
+        for rows in batches:
+            agent.score = agent.score + agent._good(rows[["u", "h"]].to_numpy(dtype=float)).sum(axis=0)
+        yield pd.DataFrame({"draw": range(len(agent.score)), "score": agent.score})
+
+    x = table(spark, sf, "events").select((F.col("value") / 100).alias("u"), (F.hour("ts") / 24).alias("h"))
+    return x.mapInPandas(run, "draw int, score double").groupBy("draw").agg(r(F.sum("score"), 5).alias("score"))
 
 
 @query(values([(0, 0.5), (1, 0.5)], "feature, inclusion"))
