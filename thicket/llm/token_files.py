@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,13 +37,18 @@ from thicket.llm.common import lean, shared_dir, table, utf8
 DOCUMENT = np.dtype([("id", "<i8"), ("there", "u1"), ("end", "u1")])
 #: Bytes of ids that a task gathers before it hands them to the writer.
 CHUNK_BYTES = 1 << 20
-#: Words of at most this many bytes are remembered by a worker, and at most this many of them.
-REMEMBERED_BYTES, REMEMBERED_WORDS = 32, 500_000
+#: Words of at most this many bytes are remembered by a worker, and at most twice this many of them.
+REMEMBERED_BYTES, REMEMBERED_WORDS = 32, 250_000
 
 #: The normalizer and the split pattern of tokenizers that treat each word between white space apart.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Small letters of ASCII and Latin-1 in UTF-8: neither normal form nor lower case changes them.
+LETTERS = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
+#: The characters that stand for bytes in byte-level vocabularies: those that don't print are moved beyond 255.
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
 
 def words_apart(description: dict) -> bool:
     """Whether a tokenizer (its JSON) is known to encode a text as its words between white space, one after another."""
@@ -58,24 +64,31 @@ def words_apart(description: dict) -> bool:
 
 
 class WordIds(dict):
-    """The ids of each word as bytes, filled by the tokenizer as words come, of a bounded size.
+    """The ids of each lower-case word as bytes, filled by the tokenizer as words come, of a bounded size: when it is full,
+    its words are forgotten unless they come again before it is full once more.
 
-    Words of ASCII letters are pieces of their own for such a tokenizer, and so is one mark after them."""
+    Words of small Latin letters are pieces of their own for such a tokenizer, and so is one mark after them."""
 
     def __init__(self, tokenizer, kind: str) -> None:
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
+        self.tokenizer, self.before = tokenizer, {}
+        self.packed = [np.array([i], kind).tobytes() for i in range(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
+
+    def _packed(self, ids: Iterable[int]) -> bytes:
+        return b"".join([self.packed[i] for i in ids])
 
     def __missing__(self, word: bytes) -> bytes:
-        low = word.lower()
-        if low.isalpha():
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(low.decode())], self.kind).tobytes()
-        elif low[:-1].isalpha() and low[-1:] in b".,;:!?":
-            found = self[low[:-1]] + self[low[-1:]]
-        else:
-            found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        found = self.before.get(word)
+        if found is None:
+            if LETTERS.fullmatch(word):
+                found = self._packed(t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_LEVEL)))
+            elif word[-1:] in b".,;:!?" and LETTERS.fullmatch(word, 0, len(word) - 1):
+                found = self[word[:-1]] + self[word[-1:]]
+            else:
+                found = self._packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         if len(word) <= REMEMBERED_BYTES:
             if len(self) >= REMEMBERED_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -88,14 +101,18 @@ class Encoder:
 
     def __init__(self, path: str, kind: str) -> None:
         self.tokenizer, self.kind = loaded(path), kind
-        self.words = WordIds(self.tokenizer, self.kind) if words_apart(json.loads(self.tokenizer.to_str())) else None
+        described = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"].encode() for t in described.get("added_tokens") or []]
+        self.words = WordIds(self.tokenizer, self.kind) if words_apart(described) else None
 
     def __call__(self, raw: bytes | None) -> bytes:
         if not raw:
             return b""
         if self.words is None:
             return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.words.__getitem__, raw.split()))
+        if any(t in raw for t in self.added):  # added tokens are found in the text as it is written
+            return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.words.__getitem__, raw.lower().split()))
 
 
 def loaded(path: str):
