@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from thicket.functions.special import chi2_ppf, chi2_ppf_all
-from thicket.streaming.agents import refresh_index, steps_to_refresh
+from thicket.streaming.agents import LinearAgent, RandomAgent, refresh_index, steps_to_refresh
+from thicket.streaming.simulate import _replayed, replay_log
 
 
 @pytest.mark.parametrize("schedule", ["log", "sqrt", "hybrid", "rev_hybrid"])
@@ -28,3 +29,33 @@ def test_chi_squared_quantiles_of_arrays():
     df = np.resize([1.0, 2.0, 3.5, 6.0, 40.0], len(q))
     assert chi2_ppf_all(q, df) == pytest.approx([chi2_ppf(a, b) for a, b in zip(q, df, strict=True)], rel=1e-10)
     assert len(chi2_ppf_all(q[:0], df[:0])) == 0
+
+
+@pytest.mark.parametrize("mode", ["replay", "logged"])
+@pytest.mark.parametrize("make", [lambda: LinearAgent(3, 2, "ucb"), lambda: RandomAgent(3, 2, seed=4), lambda: LinearAgent(3, 2, "ts", seed=1)])
+def test_a_block_of_events_is_replayed_as_one_by_one(make, mode):
+    rng = np.random.default_rng(2)
+    x, action, reward = rng.integers(0, 6, (700, 2)) / 6, rng.integers(0, 3, 700), rng.normal(size=700)
+    action[action == 2] = 1
+    plain, agent = make(), make()
+    want = list(replay_log(zip(range(700), x, action, reward, strict=True), plain, 2, mode))
+    parts = [p for k in (0, 300) for p in _replayed("a", (np.arange(700)[k : k + 300 + k], x[k : k + 300 + k], action[k : k + 300 + k], reward[k : k + 300 + k]), agent, 2, mode)]
+    got = [tuple(r[1:]) for p in parts for r in p.itertuples(index=False, name=None)]
+    assert [(*r[:4], list(r[4])) for r in got] == [(int(r[0]), int(r[1]), *r[2:4], list(r[4])) for r in want]
+    if isinstance(agent, LinearAgent):
+        assert np.array_equal(agent.b, plain.b) and np.array_equal(agent.m, plain.m)
+        assert agent.replay_block(x, action, reward, 1, True) is None or agent.kind == "ucb"  # draws go one by one
+
+
+def test_exact_intervals_beyond_what_a_sketch_keeps(spark):
+    from pyspark.sql import functions as F
+
+    from thicket.operators import posterior as po
+
+    rows = spark.range(40_000).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") % 100_003).cast("double").alias("f"))
+    merged = po.merged_sketches(po.sketches(rows, ["g"], k=50), ["g"])
+    got = {r["g"]: (r["lo"], r["hi"]) for r in po.exact_intervals(rows, ["g"], merged, level=0.8, k=50).collect()}
+    every = rows.toPandas().groupby("g")["f"]
+    assert got == {g: (np.sort(v)[1999], np.sort(v)[17999]) for g, v in every}
+    far = merged.join(rows.where("f < 0").groupBy("g").agg(F.kll_sketch_agg_double("f", F.lit(50)).alias("s")), "g").select("g", F.col("s").alias("sketch"))
+    assert {r["g"]: (r["lo"], r["hi"]) for r in po.exact_intervals(rows, ["g"], far, level=0.8, k=50).collect()} == got  # brackets that miss

@@ -95,10 +95,10 @@ def box_join_many_leaves(spark, sf):
 
 @query("SELECT event_type, hour(ts)::INT AS hour, quantile_disc(value, 0.1) AS lo, quantile_disc(value, 0.9) AS hi FROM events GROUP BY 1, 2")
 def sketched_intervals(spark, sf):
-    """Values as draws of four chains: a sketch a chain, merged.  A sketch of 4,000 keeps all draws of these groups."""
+    """Values as draws of four chains: a sketch a chain, merged; the draws inside its brackets give the exact quantiles."""
     e = table(spark, sf, "events").select("event_type", F.hour("ts").alias("hour"), (F.col("user_id") % 4).alias("chain"), F.col("value").alias("f"))
     merged = po.merged_sketches(po.sketches(e, ["event_type", "hour", "chain"], k=4_000), ["event_type", "hour"])
-    return po.sketch_intervals(merged, 0.8).select("event_type", "hour", "lo", "hi")
+    return po.exact_intervals(e, ["event_type", "hour"], merged, level=0.8, k=4_000).select("event_type", "hour", "lo", "hi")
 
 
 _GROUPS = "(SELECT l_orderkey AS o, count(*) AS n, round(avg(l_quantity), 3) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1)"
