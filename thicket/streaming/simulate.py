@@ -148,6 +148,33 @@ def replay_log(rows, agent, choices: int = 1, mode: str = "replay") -> Iterator[
         yield t, action, int(chosen[0]), int(learn), (np.bincount(chosen, minlength=agent.arms) / choices).tolist()
 
 
+#: Events that are replayed at a time.
+REPLAY_ROWS = 1 << 16
+
+
+def _events(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """t, x, action and reward as arrays, which take a fraction of the frame's memory."""
+    x = np.stack(frame["x"].to_numpy()).astype(float) if len(frame) else np.zeros((0, 0))
+    return frame["t"].to_numpy(), x, frame["action"].to_numpy(), frame["reward"].to_numpy(dtype=float)
+
+
+def _replayed(name: str, events: tuple[np.ndarray, ...], agent, choices: int, mode: str) -> Iterator[pd.DataFrame]:
+    """The replay of events in their order, some at a time, all of those at once where the agent can."""
+    if mode not in ("replay", "logged"):
+        raise ValueError(f"unknown mode {mode!r}")
+    columns = [c.split()[0] for c in REPLAY.split(", ")]
+    for k in range(0, len(events[0]), REPLAY_ROWS):
+        t, x, action, reward = (c[k : k + REPLAY_ROWS] for c in events)
+        plain = action.dtype.kind == "i" and np.isfinite(x).all() and np.isfinite(reward).all()
+        made = agent.replay_block(x, action, reward, choices, mode == "logged") if plain and hasattr(agent, "replay_block") else None
+        if made is None:
+            yield pd.DataFrame([(name, *r) for r in replay_log(zip(t, x, action, reward, strict=True), agent, choices, mode)], columns=columns)
+            continue
+        chosen, learnt = made
+        share = (chosen[:, :, None] == np.arange(agent.arms)).sum(axis=1) / choices
+        yield pd.DataFrame(dict(zip(columns, (name, t, action, chosen[:, 0], np.asarray(learnt).astype(int), list(share)), strict=True)))
+
+
 REPLAY = "agent string, t long, action int, first int, matched int, share array<double>"
 
 
@@ -166,13 +193,10 @@ def replay(log: DataFrame, agents: dict[str, dict], choices: int = 1, mode: str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, agent = None, None
         for frame in frames:
-            out = []
             for name, part in frame.groupby("agent", sort=False):
                 if name != now:
                     now, agent = name, make(agents[name], seed)
-                rows = zip(part["t"], part["x"], part["action"], part["reward"], strict=True)
-                out += [(name, *r) for r in replay_log(rows, agent, choices, mode)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
+                yield from _replayed(name, _events(part), agent, choices, mode)
 
     return spread.repartition("agent").sortWithinPartitions("agent", "t").mapInPandas(run, REPLAY)
 
@@ -239,11 +263,12 @@ def replay_stream(stream: DataFrame, agents: dict[str, dict], choices: int = 1,
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         agent = pickle.loads(state.get[0]) if state.exists else make(agents[key[0]], seed)
-        part = pd.concat(list(frames)).sort_values("t")
-        rows = zip(part["t"], part["x"], part["action"], part["reward"], strict=True)
-        out = [(key[0], *r) for r in replay_log(rows, agent, choices, mode)]
+        parts = [_events(f) for f in frames if len(f)]
+        events = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(events[0], kind="stable")
+        yield from _replayed(key[0], tuple(c[order] for c in events), agent, choices, mode)
         state.update((pickle.dumps(agent),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
 
     return spread.groupBy("agent").applyInPandasWithState(run, REPLAY, "agent binary", "append", GroupStateTimeout.NoTimeout)
 
