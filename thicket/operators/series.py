@@ -112,7 +112,24 @@ def moving_average(df: DataFrame, keys: list[str], order: str, value: str, width
         raise ValueError("the width must be odd")
     half = width // 2
     placed = places(df, keys, order, "__i", block_rows=block_rows)
-    return over_neighbours(placed, keys, "__i", half, half, lambda w: {out: F.avg(value).over(w.rowsBetween(-half, half))}, block_rows).drop("__i")
+    if isinstance(df.schema[value].dataType, T.DecimalType):
+        return over_neighbours(placed, keys, "__i", half, half, lambda w: {out: F.avg(value).over(w.rowsBetween(-half, half))}, block_rows).drop("__i")
+    # a window is the end of one segment of `width` rows and the beginning of the next: two running sums, whatever the width
+    own = placed.withColumn("__seg", F.floor(F.col("__i") / width))
+    w, v = Window.partitionBy(*keys, "__seg"), F.col(value).cast("double")
+    up, down = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("__i").asc(), F.col("__i").desc()))
+    sums = lambda frame: F.struct(F.col("__seg").alias("seg"), F.coalesce(F.sum(v).over(frame), F.lit(0.0)).alias("s"), F.count(v).over(frame).alias("n"))
+    own = own.withColumns({"__head": sums(up), "__tail": sums(down)})
+
+    def ends(w: Window) -> dict[str, Column]:
+        last = F.last("__head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return {"__a": F.lag("__tail", half).over(w), "__z": F.coalesce(F.lead("__head", half).over(w), last)}
+
+    made = over_neighbours(own, keys, "__i", half, half, ends, block_rows)
+    a, z = F.col("__a"), F.col("__z")
+    # without a row that far back the window begins with the first segment; within one segment the end is all of it
+    pick = lambda f: F.when(a.isNull(), z[f]).when(a["seg"] == z["seg"], a[f]).otherwise(a[f] + z[f])
+    return made.withColumn(out, F.try_divide(pick("s"), pick("n"))).select(*df.columns, out)
 
 
 def gaussian_smooth(df: DataFrame, keys: list[str], order: str, value: str, sigma: float, out: str = "smooth", block_rows: int = BLOCK_ROWS) -> DataFrame:
