@@ -59,3 +59,41 @@ def test_exact_intervals_beyond_what_a_sketch_keeps(spark):
     assert got == {g: (np.sort(v)[1999], np.sort(v)[17999]) for g, v in every}
     far = merged.join(rows.where("f < 0").groupBy("g").agg(F.kll_sketch_agg_double("f", F.lit(50)).alias("s")), "g").select("g", F.col("s").alias("sketch"))
     assert {r["g"]: (r["lo"], r["hi"]) for r in po.exact_intervals(rows, ["g"], far, level=0.8, k=50).collect()} == got  # brackets that miss
+
+
+def test_diagnostics_of_rows_are_those_of_each(spark):
+    from thicket.operators import diagnostics as dg
+
+    rng = np.random.default_rng(5)
+    draws = [rng.normal(size=47).tolist(), np.round(rng.normal(size=47)).tolist(), np.cumsum(rng.normal(size=47)).tolist(), [1.0] * 47]
+    rows = spark.createDataFrame(list(enumerate(draws)), "k int, d array<double>")
+    got = dg.rank_diagnostics_of_rows(rows, ["k"], "d", [24, 23]).orderBy("k").toPandas().drop(columns="k").to_numpy()
+    for made, d in zip(got, draws, strict=True):
+        x = np.stack([np.array(d[:23]), np.array(d[24:])])
+        with np.errstate(all="ignore"):
+            want = [dg.rank_rhat(x), dg.bulk_ess(x), dg.mcse(x), dg.mcse(x) / x.std(ddof=1)]
+        assert made == pytest.approx(want, rel=1e-9, nan_ok=True)
+
+
+def test_a_part_of_a_large_mesh_is_that_of_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from thicket.sources.scenarios import _least
+
+    ids = spark.range(60_000)
+    mixed = F.xxhash64("id", F.lit(42))
+    want = {r["id"] for r in ids.orderBy(mixed, "id").limit(20_001).collect()}
+    made = _least(ids, mixed, 20_001)
+    assert {r["id"] for r in made.collect()} == want and made.count() == 20_001 and made.rdd.getNumPartitions() > 1
+
+
+def test_bessel_needs_few_steps():
+    from thicket.functions.special import log_bessel_k
+
+    x = np.geomspace(1e-3, 1e3, 2000)
+    assert np.allclose(log_bessel_k(0.5, x[:2000]), 0.5 * np.log(np.pi / (2 * x[:2000])) - x[:2000], atol=1e-9, rtol=1e-12)
+    assert np.allclose(log_bessel_k(1.5, x[800:2000]), 0.5 * np.log(np.pi / (2 * x[800:2000])) - x[800:2000] + np.log1p(1 / x[800:2000]), atol=1e-9, rtol=1e-12)
+    few = np.linspace(0.3, 30, 20_000)
+    begun = time.perf_counter()
+    log_bessel_k(2.5, few)
+    assert time.perf_counter() - begun < 1.5
