@@ -216,3 +216,26 @@ def test_a_stream_appends_to_what_agents_have_seen(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert len(made[True]) == 180 and made[True] == made[False]
+
+
+def test_only_values_near_a_quantile_are_counted_one_by_one(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from thicket.operators import preprocess as pp
+
+    nan = F.lit(float("nan"))
+    df = spark.range(60_000).select(F.rand(1).alias("a"), F.round(F.rand(2) * 500).alias("b"), F.when(F.rand(3) < 0.9, F.rand(4)).alias("c"), F.when(F.col("id") % 9 == 0, nan).otherwise(F.randn(5)).alias("d")).cache()
+    at = [k / 20 for k in range(20)]
+    near, all_ = pp._near_counts(df, list("abc"), at), pp._counts(df, list("abc"))
+    assert near.count() < all_.count() / 10
+    for i, c in enumerate("abc"):
+        assert near.where(F.col("f") == i).agg(F.sum("count")).first()[0] == df.where(F.col(c).isNotNull()).count()
+    assert repr(pp._ranged_quantiles(near, list("abc"), at)) == repr(pp._ranged_quantiles(all_, list("abc"), at))
+    numbers = lambda found: [sorted(v for v in own if v == v) for own in found]
+    want = numbers(pp._ranged_quantiles(pp._counts(df, list("abcd")), list("abcd"), at))
+    monkeypatch.setattr(pp, "DISTINCT_AT_ONCE", 10)
+    assert numbers(pp.quantile_thresholds(df, list("abcd"), 20)) == want
+    wrong = near.withColumn("loose", F.lit(True))  # a sketch that erred
+    assert pp._ranged_quantiles(wrong, list("abc"), at) is None
+    monkeypatch.setattr(pp, "_near_counts", lambda *args: wrong)
+    assert numbers(pp.quantile_thresholds(df, list("abc"), 20)) == want[:3]
