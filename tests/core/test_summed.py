@@ -88,3 +88,25 @@ def test_many_cells_are_summed(spark, monkeypatch):
     summed = fit(rows, x, "y", **options)
     assert [r["sigma2"] for r in by(summed)] == pytest.approx([r["sigma2"] for r in before], rel=1e-6)
     assert [r["sigma2"] for r in by(summed.update(rows, 4))] == pytest.approx([r["sigma2"] for r in again], rel=1e-6)
+
+
+def test_a_probit_on_running_sums_and_its_latent_draws():
+    hit = np.bincount(OF.ravel(), Y > 0)
+    s = Settings(n_trees=6, ndpost=20, nskip=20)
+    cells = CountedChain(POINTS, N, hit, 0.0, 1.0, CUTS, s, 5, probit=True)
+    sums = SummedChain(CELLS, N, hit, 0.0, 1.0, CUTS, CUTS, s, 5, probit=True)
+    for (_, a), (_, b) in zip(cells.run(), sums.run(), strict=True):
+        alike(a, b)
+    assert ((sums.grid.values(b["trees"]) > 0) == (hit > N / 2)).mean() > 0.9
+
+
+def test_many_latent_draws_are_quick():
+    """Six million rows in 200,000 cells: most draws are plain ones."""
+    cuts = [np.linspace(0, 1, 20, endpoint=False)] * 5
+    codes = np.unique(np.random.default_rng(1).integers(0, 21, (205_000, 5)), axis=0)[:200_000]
+    n, share = np.full(len(codes), 30.0), codes[:, 0] / 20
+    chain = SummedChain(codes, n, np.rint(n * share), 0.0, 1.0, cuts, cuts, Settings(n_trees=5), 1, probit=True)
+    begun = time.perf_counter()
+    z = chain.latent(2 * share - 1)
+    assert time.perf_counter() - begun < 1.5
+    assert np.corrcoef(z, share)[0, 1] > 0.9
