@@ -123,6 +123,46 @@ def test_family_links_join_all_similar_sets():
         assert len(set(zip(parent, want, strict=True))) == len(set(parent)) == len(set(want))
 
 
+PLACED = "tok long, rid long, n int, pos int, cl long, sets int, least_n int, most_n int"
+
+
+def test_sets_that_share_only_late_prefix_tokens_do_not_meet(spark):
+    # loose copies of one text, size 390: 60 tokens of their own come first, what follows is less than a link needs
+    t = Threshold(80, 100)
+    for m, first, want in ((20, 60, 0), (100, 60, 0), (20, 0, 190 * 18)):
+        rows = [(tok, rid, 390, first + tok, rid, 1, 390, 390) for rid in range(m) for tok in range(18)]
+        assert jaccard._met(spark.createDataFrame(rows, PLACED), t).count() == want
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (70, 100), (60, 100)])
+def test_all_links_between_families_meet(spark, num, den):
+    r, t = np.random.default_rng(num), Threshold(num, den)
+    sets = []
+    for _ in range(12):
+        base = r.choice(300, r.integers(1, 70), replace=False)
+        for _ in range(r.integers(1, 8)):
+            kept = r.choice(base, r.integers(max(1, len(base) * 3 // 4), len(base) + 1), replace=False)
+            sets.append(np.unique(np.concatenate([kept, r.integers(0, 300, r.integers(0, 4))])))
+    family = [int(f) for f in r.integers(0, len(sets) // 2, len(sets))]
+    count, rows = Counter(family), []
+    for rid, (s, f) in enumerate(zip(sets, family, strict=True)):
+        sizes = [len(x) for x, g in zip(sets, family, strict=True) if g == f]
+        rows += [(int(tok), rid, len(s), pos, f, count[f], min(sizes), max(sizes)) for pos, tok in enumerate(s[: t.prefix(len(s))])]
+    met = Counter()
+    common = {}
+    for x in jaccard._met(spark.createDataFrame(rows, PLACED), t).collect():
+        met[x["k"], x["y"]] += 1
+        assert common.setdefault((x["k"], x["y"]), x["common"]) == x["common"]
+    links = 0
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets):
+            k, f = family[x], family[y]
+            if k != f and (-count[k], k) < (-count[f], f) and t.similar(len(np.intersect1d(a, b)), len(a), len(b)):
+                links += 1
+                assert met[k, y] >= common[k, y] >= 1
+    assert links > 5
+
+
 def test_threshold_prefix_loses_nothing():
     t = Threshold(85, 100)
     for size in range(1, 200):

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.llm.common import discard, lean, mix64, place_of, plain, saved, table, utf8
@@ -42,6 +42,8 @@ IDS_AT_ONCE = 500_000
 MEMBERS, MEETING, TOKENS = 400, 2000, 500_000
 #: Bytes of texts whose sets are numbered together in a task.
 AT_ONCE = 4 << 20
+#: So many common prefix tokens are asked of two sets, or as many as a link of their sizes must have.
+COMMON = 8
 #: Sets of this share of the asked similarity are of one family.
 ALIKE = 0.35
 
@@ -216,8 +218,7 @@ def _pick(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
-    """(tok, rid, n, pos, last, leader) of the prefix tokens that two or more sets share, saved.  last is the place of
-    the prefix's last token in the order, but for two bits."""
+    """(tok, rid, n, pos, leader) of the prefix tokens that two or more sets share, saved."""
     first = reps.select(F.explode("prefix").alias("tok"))
     counted = first.groupBy("tok").count().where(F.col("count") >= FREQUENT)
     chosen = counted.orderBy(F.desc("count"), "tok").limit(MOST_FREQUENT).select("tok").toArrow()
@@ -241,15 +242,10 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
                     rare = np.concatenate([rare, wide[late]])
                 toks.append(rare[: t.prefix(size)])
             texts = batch.column(3).take(pa.array(again, pa.int64()))
-            last_key = np.zeros(len(toks), dtype=np.int64)
             for k, s in zip(again, shingle_sets(utf8(texts), n, known), strict=True):
                 s = _as_long(s)
                 last = _among(s, frequent)
                 toks[k] = np.concatenate([s[~last], s[last]])[: len(toks[k])]
-            for k, p in enumerate(toks):
-                last_key[k] = (int(p[-1]) & (1 << 64) - 1) >> 2
-            ended = np.array([p[-1] for p in toks], dtype=np.int64)
-            last_key += _among(ended, frequent).astype(np.int64) << np.int64(62)
             lens = np.array([len(p) for p in toks], dtype=np.int64)
             pos = np.concatenate([np.arange(k) for k in lens]) if len(lens) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({
@@ -257,14 +253,14 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
                 "rid": pa.array(np.repeat(batch.column(0).to_numpy(), lens), pa.int64()),
                 "n": pa.array(np.repeat(sizes, lens), pa.int32()),
                 "pos": pa.array(pos, pa.int32()),
-                "last": pa.array(np.repeat(last_key, lens), pa.int64()),
             })
 
-    listed = reps.select("rid", "prefix", "n", text).mapInArrow(reorder, "tok long, rid long, n int, pos int, last long")
-    step = np.log(t.den / t.num)
+    listed = reps.select("rid", "prefix", "n", text).mapInArrow(reorder, "tok long, rid long, n int, pos int")
+    band = F.floor(F.log("n") / F.lit(float(np.log(t.den / t.num)))).cast("int")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Drops lists of one set; leader is the first set of the list in the same band of sizes."""
+        """Drops lists of one set; leader is the set of the list, in the same band of sizes, whose place of the token is
+        the first: it has the fewest tokens of its own, so that the lists of a family's tokens have one leader."""
         held: np.ndarray | None = None  # the last row so far, and whether its list has had another
         more, band_key, leader = False, None, 0
         for batch in batches:
@@ -277,7 +273,7 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
             tok = rows[:, 0]
             same_next = np.append(tok[1:] == tok[:-1], False)
             same_before = np.append(more, tok[1:] == tok[:-1])
-            band = np.floor(np.log(rows[:, 2]) / step).astype(np.int64)
+            band = rows[:, 4]
             new = np.append(band_key != (tok[0], band[0]), (tok[1:] != tok[:-1]) | (band[1:] != band[:-1]))
             start = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
             lead = np.where(start >= 0, rows[start, 1], leader)
@@ -286,14 +282,14 @@ def _entries(reps: DataFrame, n: int, t: Threshold, text: str) -> DataFrame:
             held, more = rows[-1], bool(same_before[-1])
             band_key, leader = (tok[-2], band[-2]), int(lead[-2])
         if held is not None and more:
-            band = int(np.floor(np.log(held[2]) / step))
-            yield _entry_batch(held[None], np.array([leader if band_key == (held[0], band) else held[1]]))
+            yield _entry_batch(held[None], np.array([leader if band_key == (held[0], held[4]) else held[1]]))
 
-    return saved(listed.repartition("tok").sortWithinPartitions("tok", "n", "pos", "rid").mapInArrow(shared, "tok long, rid long, n int, pos int, last long, leader long"), "entries")
+    dealt = listed.repartition("tok").withColumn("band", band).sortWithinPartitions("tok", "band", "pos", "n", "rid")
+    return saved(dealt.mapInArrow(shared, "tok long, rid long, n int, pos int, leader long"), "entries")
 
 
 def _entry_batch(rows: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"tok": pa.array(rows[:, 0], pa.int64()), "rid": pa.array(rows[:, 1], pa.int64()), "n": pa.array(rows[:, 2], pa.int32()), "pos": pa.array(rows[:, 3], pa.int32()), "last": pa.array(rows[:, 4], pa.int64()), "leader": pa.array(leader, pa.int64())})
+    return pa.RecordBatch.from_pydict({"tok": pa.array(rows[:, 0], pa.int64()), "rid": pa.array(rows[:, 1], pa.int64()), "n": pa.array(rows[:, 2], pa.int32()), "pos": pa.array(rows[:, 3], pa.int32()), "leader": pa.array(leader, pa.int64())})
 
 
 class Answers:
@@ -471,8 +467,28 @@ def _links(groups: list[tuple[tuple[int, int], list[int], list[int], list[bytes]
     return pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "y": pa.array(y, pa.int64())})
 
 
-def _prefix_length(size: Column, t: Threshold) -> Column:
-    return size - F.ceil(size * t.num / t.den - 1e-9) + 1
+def _met(placed: DataFrame, t: Threshold) -> DataFrame:
+    """(k, y, common): for each token of the prefix of a set y that a set of the family k has too, a row, unless the
+    token can't be among the first `common` that y shares with a set that it links with.
+
+    With an overlap of o, the i-th common token in the order has o - i of them after it, in either set.  So the first i
+    common tokens have o - i + 1 tokens from their places on, and a link has at least i rows, as long as these tokens
+    are in both prefixes: i - 1 may be (num * (den * small - num * large)) / (den * (num + den)) for sets of these sizes,
+    rounded down.  `common` follows from the sizes of the whole family, as all rows of k and y need the same."""
+    blocks = placed.groupBy("tok", "cl").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("sets").alias("sets"), F.max("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
+    mixed = blocks.groupBy("tok").agg(F.count("*").alias("b")).where("b > 1").select("tok")
+    a = blocks.join(mixed, "tok", "left_semi").alias("a")
+    b = placed.join(mixed, "tok", "left_semi").alias("b")
+    # a block is skipped when none of its sizes is near the set's, or what is left from the shared token on is too little
+    near = (F.col("b.n") * t.den >= F.col("a.low") * t.num) & (F.col("a.high") * t.den >= F.col("b.n") * t.num)
+    lowest, highest = F.ceil(F.col("b.n") * t.num / t.den - 1e-9), F.floor(F.col("b.n") * t.den / t.num + 1e-9)
+    least = F.ceil((F.greatest("a.low", lowest) + F.col("b.n")) * t.num / (t.num + t.den) - 1e-9)
+    sure = lambda n: F.floor((F.least(n, "b.n") * t.den - F.greatest(n, "b.n") * t.num) * t.num / (t.den * (t.num + t.den)))
+    common = F.least(1 + sure(F.greatest("a.least_n", lowest)), 1 + sure(F.least("a.most_n", highest)), F.lit(COMMON))
+    enough = F.least(F.col("a.rest"), F.col("b.n") - F.col("b.pos")) > least - common
+    # the sets of the smaller family meet the block of the larger
+    larger = (F.col("a.sets") > F.col("b.sets")) | (F.col("a.sets") == F.col("b.sets")) & (F.col("a.cl") < F.col("b.cl"))
+    return a.join(b, F.col("a.tok") == F.col("b.tok")).where(larger & near & enough).select(F.col("a.cl").alias("k"), F.col("b.rid").alias("y"), common.alias("common"))
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -503,28 +519,11 @@ def grouped(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: st
     families = saved(families, "families")
     links = _inside(families, texts, n, t)
 
-    count = families.groupBy("fam").agg(F.count("*").alias("sets"))
-    sized = saved(families.join(count, "fam").select(F.col("rid").alias("node"), F.col("fam").alias("component"), "sets"), "sized")
-    placed = entries.join(_small(sized), F.col("rid") == F.col("node"), "left").withColumn("cl", F.coalesce("component", "rid")).withColumn("sets", F.coalesce("sets", F.lit(1))).drop("node", "component", "leader")
-    size = F.col("n") - _prefix_length(F.col("n"), t)
-    blocks = placed.groupBy("tok", "cl").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max(size).alias("after"), F.min("last").alias("first_last"), F.max("last").alias("last_last"), F.max("sets").alias("sets"))
-    mixed = blocks.groupBy("tok").agg(F.count("*").alias("b")).where("b > 1").select("tok")
-    a = blocks.join(mixed, "tok", "left_semi").alias("a")
-    b = placed.join(mixed, "tok", "left_semi").alias("b")
-    # a block is skipped when none of its sizes is near the set's, or what is left after the shared token is too little
-    near = (F.col("b.n") * t.den >= F.col("a.low") * t.num) & (F.col("a.high") * t.den >= F.col("b.n") * t.num)
-    smallest = F.greatest(F.col("a.low"), F.ceil(F.col("b.n") * t.num / t.den - 1e-9))
-    least = F.ceil((smallest + F.col("b.n")) * t.num / (t.num + t.den) - 1e-9)
-    enough = F.least(F.col("a.rest"), F.col("b.n") - F.col("b.pos")) >= least
-    # the sets of the smaller family meet the block of the larger
-    larger = (F.col("a.sets") > F.col("b.sets")) | (F.col("a.sets") == F.col("b.sets")) & (F.col("a.cl") < F.col("b.cl"))
-    # Of two sets, the one whose prefix ends first has all its common prefix tokens in the other's prefix too.  So a
-    # link needs as many common prefix tokens as its overlap has beyond what stands after that prefix.
-    own = F.col("b.n") - _prefix_length(F.col("b.n"), t)
-    after = F.when(F.col("a.last_last") < F.col("b.last"), F.col("a.after")).when(F.col("a.first_last") > F.col("b.last"), own).otherwise(F.greatest(F.col("a.after"), own))
-    met = a.join(b, F.col("a.tok") == F.col("b.tok")).where(larger & near).select(F.col("a.cl").alias("k"), F.col("b.rid").alias("y"), (least - after).alias("need"), enough.alias("enough"))
-    # all common tokens count; what is left after the first of them has to be enough
-    meets = met.groupBy("k", "y").agg(F.count("*").alias("c"), F.min("need").alias("need"), F.max("enough").alias("enough")).where("enough and c >= need").select("k", "y")
+    count = families.groupBy("fam").agg(F.count("*").alias("sets"), F.min("n").cast("int").alias("least_n"), F.max("n").cast("int").alias("most_n"))
+    sized = saved(families.join(count, "fam").select(F.col("rid").alias("node"), F.col("fam").alias("component"), "sets", "least_n", "most_n"), "sized")
+    own = {"cl": F.coalesce("component", "rid"), "sets": F.coalesce("sets", F.lit(1)), "least_n": F.coalesce("least_n", "n"), "most_n": F.coalesce("most_n", "n")}
+    placed = entries.join(_small(sized), F.col("rid") == F.col("node"), "left").withColumns(own).drop("node", "component", "leader")
+    meets = _met(placed, t).groupBy("k", "y").agg(F.count("*").alias("c"), F.min("common").alias("common")).where("c >= common").select("k", "y")
     meets = saved(meets, "meets")
     discard(entries, sized)
     members = families.select(F.col("fam").alias("k"), "rid", "n")
